@@ -13,12 +13,15 @@ from ..constants import CHUNK_BYTES
 from ..functions.bytes import utf8
 
 
-def chunks(docs: DataFrame, overlap: int, chunk_bytes: int = CHUNK_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
+def chunks(docs: DataFrame, overlap: int, chunk_bytes: int = CHUNK_BYTES, keep: tuple[str, ...] = (),
+           bytes_col: F.Column | None = None, own_col: F.Column | None = None) -> DataFrame:
     """``doc_ix, c, cstart, own, cb`` (+ ``keep``): chunk ``c`` owns 1-based positions ``1..own`` of ``cb``,
     i.e. document bytes ``cstart+1 .. cstart+own``; ``cb`` extends ``overlap`` bytes further."""
     overlap = max(0, int(overlap))
-    b = docs.select("doc_ix", *keep, utf8("text").alias("_b"))
-    b = b.withColumn("_len", F.octet_length("_b"))
+    b = docs.select("doc_ix", *keep, (bytes_col if bytes_col is not None else utf8("text")).alias("_b"),
+                    (own_col if own_col is not None else F.lit(None)).alias("_own"))
+    # Owned positions: all bytes, unless the caller owns fewer (e.g. not a trailing terminator).
+    b = b.withColumn("_len", F.coalesce(F.col("_own"), F.octet_length("_b")).cast("int")).drop("_own")
     small = (b.filter(F.col("_len") <= chunk_bytes)
              .select("doc_ix", *keep, F.lit(0).alias("c"), F.lit(0).cast("bigint").alias("cstart"),
                      F.col("_len").alias("own"), F.col("_b").alias("cb")))
