@@ -40,5 +40,36 @@ def find_scan(layout: DataFrame, q: str) -> DataFrame:
                       (F.col("_lt") + 1 + F.col("_eq")).cast("bigint").alias("hi"))
 
 
+def find_scan_many(layout: DataFrame, queries: list[str]) -> DataFrame:
+    """``query, shard, lo, hi`` for a short literal list of queries in ONE pass over the positions
+    (each position's head is compared with every query; aggregation is partial per task)."""
+    shards = layout.select("shard", "shard_bytes").distinct()
+    qs = [q for q in dict.fromkeys(queries) if q != ""]
+    outs = []
+    if qs:
+        maxn = max(len(q.encode("utf-8")) for q in qs)
+        pos = (layout.filter(F.col("doc_len") > 0)
+               .select("shard", terminated_bytes(layout).alias("_bt"),
+                       F.explode(F.sequence(F.lit(1), F.col("doc_len").cast("int"))).alias("_p"))
+               .select("shard", F.substring("_bt", F.col("_p"), F.lit(maxn)).alias("_k")))
+        aggs = []
+        for j, q in enumerate(qs):
+            qb = q.encode("utf-8")
+            head = F.substring("_k", F.lit(1), F.lit(len(qb)))
+            aggs += [F.sum(F.when(head < lit_bytes(qb), 1).otherwise(0)).alias(f"_lt{j}"),
+                     F.sum(F.when(head == lit_bytes(qb), 1).otherwise(0)).alias(f"_eq{j}")]
+        agg = shards.join(pos.groupBy("shard").agg(*aggs), "shard", "left").na.fill(0)
+        for j, q in enumerate(qs):
+            outs.append(agg.select(F.lit(q).alias("query"), F.col("shard").cast("bigint").alias("shard"),
+                                   (F.col(f"_lt{j}") + 1).cast("bigint").alias("lo"),
+                                   (F.col(f"_lt{j}") + 1 + F.col(f"_eq{j}")).cast("bigint").alias("hi")))
+    if "" in queries:
+        outs.append(find_scan(layout, ""))
+    out = outs[0]
+    for o in outs[1:]:
+        out = out.unionByName(o)
+    return out
+
+
 def find_total(intervals: DataFrame) -> DataFrame:
     return intervals.groupBy("query").agg(F.sum(F.col("hi") - F.col("lo")).cast("bigint").alias("cnt"))

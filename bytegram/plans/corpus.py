@@ -71,9 +71,13 @@ class Corpus:
     # ---- layout -------------------------------------------------------------------------------
     @cached_property
     def layout(self) -> DataFrame:
+        """The corpus table. Built once and cut from its lineage with a reliable checkpoint in the shared
+        checkpoint folder (the equivalent of writing the corpus), so every later query starts from it."""
         if self._layout is not None:
             return self._layout
-        return _layout.assign_shards(self.docs, self.num_shards)
+        from ..session import checkpoint_root
+        checkpoint_root(self.spark)
+        return _layout.assign_shards(self.docs, self.num_shards).checkpoint(eager=True)
 
     def write(self, path: str, mode: str = "overwrite") -> str:
         """Write the corpus table, one folder per shard (dynamic partition overwrite keeps other shards)."""

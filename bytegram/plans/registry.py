@@ -22,8 +22,15 @@ Q_GERMAN = "ch"
 Q_ABSENT = "zqzq"
 
 
+_CORPORA: dict = {}
+
+
 def documents(spark: SparkSession, sf_dir: str) -> Corpus:
-    return Corpus.from_parquet(spark, f"{sf_dir}/documents.parquet", num_shards=NUM_SHARDS)
+    """The ``documents`` corpus of ``sf_dir``; one object (and one materialised layout) per session."""
+    key = (id(spark.sparkContext), sf_dir)
+    if key not in _CORPORA:
+        _CORPORA[key] = Corpus.from_parquet(spark, f"{sf_dir}/documents.parquet", num_shards=NUM_SHARDS)
+    return _CORPORA[key]
 
 
 def _bench(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,3 +263,154 @@ def count_batch_terms(spark, sf_dir):
     from pyspark.sql import Window
     q = t.select(F.row_number().over(Window.orderBy("query")).cast("bigint").alias("qid"), "query")
     return documents(spark, sf_dir).count_batch(q)
+
+
+# ---- find by scan --------------------------------------------------------------------------------
+
+from ..operators import find as FD  # noqa: E402
+from ..operators import retrieve as RT  # noqa: E402
+from ..operators import suffix as SX  # noqa: E402
+
+FIND_QUERIES = (Q_COMMON, Q_MULTIBYTE, Q_BORDER, Q_ABSENT)
+
+HEX_SQL = """,
+h AS (
+  SELECT shard, doc_ix, data_offset, doc_len, shard_bytes, metadata, text,
+         hex(encode(text)) || CASE WHEN data_offset + doc_len + 2 = shard_bytes THEN '00' ELSE 'FF' END AS hx
+  FROM c)"""
+
+
+def values_sql(qs) -> str:
+    return "(VALUES " + ", ".join(f"({sq(q)})" for q in qs) + ") AS t(query)"
+
+
+def find_sql(query_table: str, extra_cols: str = "") -> str:
+    """Interval per (query, shard) by comparing the hex of every suffix head with the query's hex."""
+    return f"""
+WITH {LAYOUT_SQL}{HEX_SQL},
+q AS (SELECT {extra_cols} query, hex(encode(query)) AS qx, strlen(query) AS n FROM {query_table}),
+p AS (SELECT shard, hx, unnest(range(0, doc_len)) AS i FROM h),
+cmp AS (
+  SELECT q.query, p.shard,
+         count_if(substr(hx, 2 * i + 1, 2 * n) < qx) AS lt, count_if(substr(hx, 2 * i + 1, 2 * n) = qx) AS eq
+  FROM p, q WHERE n > 0 GROUP BY q.query, p.shard)
+SELECT {extra_cols.replace('qid', 'q.qid') if extra_cols else ''} q.query, s.shard,
+       CAST(CASE WHEN n = 0 THEN 0 ELSE 1 + coalesce(lt, 0) END AS BIGINT) AS lo,
+       CAST(CASE WHEN n = 0 THEN s.shard_bytes ELSE 1 + coalesce(lt, 0) + coalesce(eq, 0) END AS BIGINT) AS hi
+FROM q CROSS JOIN (SELECT DISTINCT shard, shard_bytes FROM c) s
+LEFT JOIN cmp ON cmp.query = q.query AND cmp.shard = s.shard"""
+
+
+@register("find_intervals", find_sql(values_sql(FIND_QUERIES + ("",))))
+def find_intervals(spark, sf_dir):
+    return FD.find_scan_many(documents(spark, sf_dir).layout, list(FIND_QUERIES) + [""])
+
+
+@register("find_total", f"""
+SELECT q AS query, CAST(coalesce(sum(CASE WHEN contains(text, q) THEN
+         CASE q {' '.join(f"WHEN {sq(x)} THEN {overlap_sql('text', sq(x))}" for x in FIND_QUERIES)} END END), 0)
+       AS BIGINT) AS cnt
+FROM {values_sql(FIND_QUERIES).replace('t(query)', 't(q)')} LEFT JOIN documents ON contains(text, q) GROUP BY q""")
+def find_total(spark, sf_dir):
+    return FD.find_total(FD.find_scan_many(documents(spark, sf_dir).layout, list(FIND_QUERIES)))
+
+
+# ---- retrieval by scan -----------------------------------------------------------------------------
+
+POS_SQL = """,
+p AS (SELECT shard, doc_ix, data_offset, doc_len, metadata, hx, unnest(range(0, doc_len)) AS i FROM h
+      WHERE contains(text, {q})),
+m AS (SELECT shard, doc_ix, data_offset, doc_len, metadata, hx, i AS pos, data_offset + 1 + i AS ptr FROM p
+      WHERE substr(hx, 2 * i + 1, 2 * strlen({q})) = hex(encode({q})))"""
+
+
+def windows_sql(q: str, ctx: int) -> str:
+    n = len(q.encode())
+    return f"""
+WITH {LAYOUT_SQL}{HEX_SQL}{POS_SQL.format(q=sq(q))},
+w AS (SELECT *, data_offset + 1 AS ds, data_offset + 1 + doc_len AS de,
+             greatest(data_offset + 1, greatest(ptr - {ctx}, 0)) AS a,
+             least(data_offset + 1 + doc_len, ptr + {n} + {ctx}) AS b FROM m),
+x AS (SELECT *, try(decode(unhex(substr(hx, 2 * (a - ds) + 1, 2 * greatest(b - a, 0))))) AS t FROM w)
+SELECT shard, ptr, doc_ix, CAST(doc_len AS BIGINT) AS doc_len, CAST(greatest(b - a, 0) AS BIGINT) AS disp_len,
+       CAST(greatest(ptr - a, 0) AS BIGINT) AS needle_offset, t AS text,
+       CASE WHEN t IS NULL THEN {sq(RT.DECODE_ERROR)} END AS error, metadata
+FROM x"""
+
+
+@register("match_positions", f"""
+WITH {LAYOUT_SQL}{HEX_SQL}{POS_SQL.format(q=sq(Q_BORDER))}
+SELECT shard, doc_ix, CAST(pos AS BIGINT) AS pos, CAST(ptr AS BIGINT) AS ptr FROM m""")
+def match_positions(spark, sf_dir):
+    m = RT.match_positions(documents(spark, sf_dir).layout, Q_BORDER)
+    return m.withColumn("shard", F.col("shard").cast("bigint"))
+
+
+@register("locate_positions", f"""
+WITH {LAYOUT_SQL}{HEX_SQL}{POS_SQL.format(q=sq(Q_MULTIBYTE))}
+SELECT shard, CAST(ptr AS BIGINT) AS ptr, doc_ix FROM m""")
+def locate_positions(spark, sf_dir):
+    lay = documents(spark, sf_dir).layout
+    pos = RT.match_positions(lay, Q_MULTIBYTE).select("shard", "ptr")
+    return RT.locate_positions(pos, lay).select(F.col("shard").cast("bigint").alias("shard"), "ptr", "doc_ix")
+
+
+@register("context_windows", windows_sql(Q_BORDER, 20))
+def context_windows(spark, sf_dir):
+    lay = documents(spark, sf_dir).layout
+    hits = RT.match_positions(lay, Q_BORDER).select("shard", "ptr", "doc_ix")
+    w = RT.context_windows(hits, lay, len(Q_BORDER.encode()), 20)
+    return w.withColumn("shard", F.col("shard").cast("bigint"))
+
+
+@register("windows_utf8_check", f"""
+WITH x AS ({windows_sql(Q_MULTIBYTE, 3)})
+SELECT ptr, doc_ix, disp_len, needle_offset, text, error FROM x""")
+def windows_utf8_check(spark, sf_dir):
+    lay = documents(spark, sf_dir).layout
+    hits = RT.match_positions(lay, Q_MULTIBYTE).select("shard", "ptr", "doc_ix")
+    w = RT.context_windows(hits, lay, len(Q_MULTIBYTE.encode()), 3, with_metadata=False)
+    return w.select("ptr", "doc_ix", "disp_len", "needle_offset", "text", "error")
+
+
+@register("hits_with_metadata", f"""
+WITH x AS ({windows_sql(Q_GERMAN, 0)})
+SELECT ptr, doc_ix, metadata, json_extract_string(metadata, '$.metadata.source') AS source FROM x""")
+def hits_with_metadata(spark, sf_dir):
+    lay = documents(spark, sf_dir).layout
+    hits = RT.match_positions(lay, Q_GERMAN).select("shard", "ptr", "doc_ix")
+    w = RT.context_windows(hits, lay, len(Q_GERMAN.encode()), 0, with_metadata=True)
+    return w.select("ptr", "doc_ix", "metadata", RT.source_label(F.col("metadata")).alias("source"))
+
+
+@register("source_label", f"""
+WITH {DOCS_SQL} SELECT doc_ix, json_extract_string(metadata, '$.metadata.source') AS label FROM d""")
+def source_label(spark, sf_dir):
+    docs = documents(spark, sf_dir).docs
+    return docs.select("doc_ix", RT.source_label(F.col("metadata")).alias("label"))
+
+
+@register("highlight_spans", f"""
+WITH parts AS (SELECT doc_id AS doc_ix, string_split(text, {sq(Q_COMMON)}) AS p FROM documents),
+sp AS (SELECT doc_ix, flatten(list_transform(p, lambda x, i: CASE WHEN i < len(p)
+         THEN [{{'fragment': x, 'label': NULL::VARCHAR}}, {{'fragment': {sq(Q_COMMON)}, 'label': '0'}}]
+         ELSE [{{'fragment': x, 'label': NULL::VARCHAR}}] END)) AS s FROM parts),
+f AS (SELECT doc_ix, list_filter(s, lambda e: e.fragment <> '') AS s FROM sp),
+u AS (SELECT doc_ix, unnest(s) AS e, generate_subscripts(s, 1) AS k FROM f)
+SELECT doc_ix, CAST(k - 1 AS BIGINT) AS span_ix, e.fragment AS fragment, e.label AS label FROM u""")
+def highlight_spans(spark, sf_dir):
+    docs = documents(spark, sf_dir).docs
+    s = docs.select("doc_ix", F.posexplode(RT.highlight_spans(F.col("text"), Q_COMMON)).alias("span_ix", "e"))
+    return s.select("doc_ix", F.col("span_ix").cast("bigint").alias("span_ix"), "e.fragment", "e.label")
+
+
+@register("kwic_text", f"""
+WITH x AS (SELECT doc_id AS doc_ix,
+  regexp_replace(replace(text, {sq(Q_BORDER)}, {sq('>>>' + Q_BORDER + '<<<')}), '^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+$', '', 'g') AS s
+  FROM documents WHERE contains(text, {sq(Q_BORDER)}))
+SELECT doc_ix, array_to_string(list_transform(string_split(s, chr(10)),
+         lambda ln: CASE WHEN regexp_matches(ln, '[^ \\t\\n\\r\\f]') THEN '    ' || ln ELSE ln END), chr(10)) AS kwic
+FROM x""")
+def kwic_text(spark, sf_dir):
+    docs = documents(spark, sf_dir).docs.filter(F.contains(F.col("text"), F.lit(Q_BORDER)))
+    return docs.select("doc_ix", RT.kwic_text(F.col("text"), Q_BORDER).alias("kwic"))
