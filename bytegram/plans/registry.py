@@ -284,24 +284,40 @@ def values_sql(qs) -> str:
     return "(VALUES " + ", ".join(f"({sq(q)})" for q in qs) + ") AS t(query)"
 
 
-def find_sql(query_table: str, extra_cols: str = "") -> str:
+BLOCK = 256
+
+
+def heads_sql(k: int, name: str = "heads") -> str:
+    """Every text position with the hex of the first ``k`` bytes of ``text || terminator`` from there.
+    Documents are cut into blocks of 256 bytes first so each ``substr`` works on a short string."""
+    return f""",
+{name}_b AS (SELECT shard, doc_ix, data_offset, doc_len, hx, unnest(range(0, doc_len, {BLOCK})) AS j FROM h),
+{name}_bb AS (SELECT shard, doc_ix, data_offset, doc_len, j, substr(hx, 2 * j + 1, 2 * ({BLOCK} + {k})) AS blk
+              FROM {name}_b),
+{name}_p AS (SELECT shard, doc_ix, data_offset, j, blk, unnest(range(0, least({BLOCK}, doc_len - j))) AS o
+             FROM {name}_bb),
+{name} AS (SELECT shard, doc_ix, data_offset + 1 + j + o AS ptr, j + o AS pos, substr(blk, 2 * o + 1, 2 * {k}) AS head
+           FROM {name}_p)"""
+
+
+def find_sql(queries) -> str:
     """Interval per (query, shard) by comparing the hex of every suffix head with the query's hex."""
+    k = max([len(q.encode()) for q in queries] + [1])
     return f"""
-WITH {LAYOUT_SQL}{HEX_SQL},
-q AS (SELECT {extra_cols} query, hex(encode(query)) AS qx, strlen(query) AS n FROM {query_table}),
-p AS (SELECT shard, hx, unnest(range(0, doc_len)) AS i FROM h),
+WITH {LAYOUT_SQL}{HEX_SQL}{heads_sql(k)},
+q AS (SELECT query, hex(encode(query)) AS qx, strlen(query) AS n FROM {values_sql(queries)}),
 cmp AS (
-  SELECT q.query, p.shard,
-         count_if(substr(hx, 2 * i + 1, 2 * n) < qx) AS lt, count_if(substr(hx, 2 * i + 1, 2 * n) = qx) AS eq
-  FROM p, q WHERE n > 0 GROUP BY q.query, p.shard)
-SELECT {extra_cols.replace('qid', 'q.qid') if extra_cols else ''} q.query, s.shard,
+  SELECT q.query, heads.shard,
+         count_if(substr(head, 1, 2 * n) < qx) AS lt, count_if(substr(head, 1, 2 * n) = qx) AS eq
+  FROM heads, q WHERE n > 0 GROUP BY q.query, heads.shard)
+SELECT q.query, s.shard,
        CAST(CASE WHEN n = 0 THEN 0 ELSE 1 + coalesce(lt, 0) END AS BIGINT) AS lo,
        CAST(CASE WHEN n = 0 THEN s.shard_bytes ELSE 1 + coalesce(lt, 0) + coalesce(eq, 0) END AS BIGINT) AS hi
 FROM q CROSS JOIN (SELECT DISTINCT shard, shard_bytes FROM c) s
 LEFT JOIN cmp ON cmp.query = q.query AND cmp.shard = s.shard"""
 
 
-@register("find_intervals", find_sql(values_sql(FIND_QUERIES + ("",))))
+@register("find_intervals", find_sql(FIND_QUERIES + ("",)))
 def find_intervals(spark, sf_dir):
     return FD.find_scan_many(documents(spark, sf_dir).layout, list(FIND_QUERIES) + [""])
 
@@ -414,3 +430,86 @@ FROM x""")
 def kwic_text(spark, sf_dir):
     docs = documents(spark, sf_dir).docs.filter(F.contains(F.col("text"), F.lit(Q_BORDER)))
     return docs.select("doc_ix", RT.kwic_text(F.col("text"), Q_BORDER).alias("kwic"))
+
+
+# ---- suffix table (index) ----------------------------------------------------------------------------
+
+import hashlib  # noqa: E402
+
+from pyspark.errors import AnalysisException  # noqa: E402
+
+from ..session import stable_path  # noqa: E402
+
+
+def suffix_index(spark: SparkSession, sf_dir: str, ranked: bool) -> DataFrame:
+    """The suffix table of the ``documents`` corpus, built once per session into the shared checkpoint
+    folder and reopened by later queries."""
+    tag = hashlib.sha1(f"{sf_dir}|{NUM_SHARDS}|{ranked}".encode()).hexdigest()[:12]
+    path = stable_path(spark, f"suffix-index-{tag}")
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        SX.build_index(documents(spark, sf_dir).layout, path, ranked=ranked)
+        return spark.read.parquet(path)
+
+
+SUFFIX_ROWS_SQL = f"""{heads_sql(32, "heads32")},
+keys AS (
+  SELECT shard, ptr, doc_ix, head AS k FROM heads32
+  UNION ALL SELECT shard, data_offset AS ptr, doc_ix, 'FF' AS k FROM c
+  UNION ALL SELECT shard, max(shard_bytes) - 1 AS ptr, max(doc_ix) AS doc_ix, '00' AS k FROM c GROUP BY shard)"""
+
+
+@register("suffix_table", f"""
+WITH {LAYOUT_SQL}{HEX_SQL}{SUFFIX_ROWS_SQL}
+SELECT shard, CAST(ptr AS BIGINT) AS ptr, doc_ix, k AS key_hex FROM keys""")
+def suffix_table(spark, sf_dir):
+    idx = suffix_index(spark, sf_dir, ranked=False)
+    return idx.select(F.col("shard").cast("bigint").alias("shard"), "ptr", "doc_ix", F.hex("key").alias("key_hex"))
+
+
+@register("count_indexed", f"""
+SELECT q AS query, CAST(coalesce(sum(CASE WHEN contains(text, q) THEN
+         CASE q {' '.join(f"WHEN {sq(x)} THEN {overlap_sql('text', sq(x))}" for x in FIND_QUERIES)} END END), 0)
+       AS BIGINT) AS count
+FROM {values_sql(FIND_QUERIES).replace('t(query)', 't(q)')} LEFT JOIN documents ON contains(text, q) GROUP BY q""")
+def count_indexed(spark, sf_dir):
+    idx = suffix_index(spark, sf_dir, ranked=False)
+    lay = documents(spark, sf_dir).layout
+    out = None
+    for q in FIND_QUERIES:
+        r = SX.count_indexed(idx, lay, q)
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+@register("find_indexed", find_sql(FIND_QUERIES + ("",)))
+def find_indexed(spark, sf_dir):
+    idx = suffix_index(spark, sf_dir, ranked=False)
+    lay = documents(spark, sf_dir).layout
+    out = None
+    for q in FIND_QUERIES + ("",):
+        r = SX.find_indexed(idx, lay, q)
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+@register("find_batch", f"""
+WITH {LAYOUT_SQL}{HEX_SQL}{SUFFIX_ROWS_SQL},
+q AS (SELECT item_id AS qid, text AS query, hex(encode(text)) AS qx, strlen(text) AS n,
+             substr(hex(encode(text)), 1, 64) AS qk FROM benchmark),
+u AS (SELECT shard, k, 1 AS w, 1 AS tag, NULL::BIGINT AS qid FROM keys
+      UNION ALL SELECT s.shard, qk AS k, 0 AS w, 0 AS tag, qid FROM q CROSS JOIN (SELECT DISTINCT shard FROM c) s),
+r AS (SELECT shard, qid, tag,
+             coalesce(sum(w) OVER (PARTITION BY shard ORDER BY k, tag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+             AS before FROM u),
+cand AS (SELECT q.qid, h.shard, substr(h.hx, 2 * (k.ptr - h.data_offset - 1) + 1, 2 * q.n) AS s, q.qx
+         FROM keys k JOIN q ON k.k = q.qk JOIN h ON h.doc_ix = k.doc_ix),
+v AS (SELECT qid, shard, count_if(s < qx) AS lt2, count_if(s = qx) AS eq2 FROM cand GROUP BY qid, shard)
+SELECT q.qid, q.query, r.shard, CAST(r.before + coalesce(lt2, 0) AS BIGINT) AS lo,
+       CAST(r.before + coalesce(lt2, 0) + coalesce(eq2, 0) AS BIGINT) AS hi
+FROM q JOIN r ON r.qid = q.qid AND r.tag = 0 LEFT JOIN v ON v.qid = q.qid AND v.shard = r.shard""")
+def find_batch(spark, sf_dir):
+    idx = suffix_index(spark, sf_dir, ranked=False)
+    lay = documents(spark, sf_dir).layout
+    return SX.find_batch_indexed(idx, lay, _bench(spark, sf_dir), qid="item_id", qcol="text")
