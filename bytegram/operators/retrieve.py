@@ -95,8 +95,11 @@ def ranked_hits(index: DataFrame, q: str, max_per_shard: int | None = None,
         m = index.filter((F.col("key") >= lit_bytes(qb)) & (F.col("key") < lit_bytes(successor(qb))))
     else:
         m = index
-    w = Window.partitionBy("shard").orderBy("rank")
-    m = m.select("shard", "rank", "ptr", "doc_ix", (F.row_number().over(w) - 1).cast("bigint").alias("i"))
+    # Hits of one query form one rank interval per shard, so i = rank - min(rank): a partial aggregate
+    # (one row per shard), no window over a whole shard.
+    lo = m.groupBy("shard").agg(F.min("rank").alias("_lo"))
+    m = (m.join(F.broadcast(lo), "shard")
+         .select("shard", "rank", "ptr", "doc_ix", (F.col("rank") - F.col("_lo")).cast("bigint").alias("i")))
     if max_per_shard is not None:
         m = m.filter(F.col("i") < max_per_shard)
     return m

@@ -513,3 +513,87 @@ def find_batch(spark, sf_dir):
     idx = suffix_index(spark, sf_dir, ranked=False)
     lay = documents(spark, sf_dir).layout
     return SX.find_batch_indexed(idx, lay, _bench(spark, sf_dir), qid="item_id", qcol="text")
+
+
+# ---- ranked access (exact suffix order) ----------------------------------------------------------------
+
+SEARCH_CTX = 20
+SEARCH_MAX = 10
+# The oracle orders hits by the next 64 KiB of their shard's bytes: exact unless two hits share that much.
+ORDER_BYTES = 65536
+
+
+def ranked_sql(q: str) -> str:
+    """Rank-ordered hits of ``q`` with their ranks, plus windows (``w``) — oracle building block."""
+    n = len(q.encode())
+    return f"""
+WITH {LAYOUT_SQL}{HEX_SQL}{heads_sql(max(n, 1))},
+lo AS (SELECT shard, 1 + count_if(substr(head, 1, {2 * n}) < hex(encode({sq(q)}))) AS lo FROM heads GROUP BY shard),
+m AS (SELECT shard, doc_ix, ptr FROM heads WHERE substr(head, 1, {2 * n}) = hex(encode({sq(q)}))),
+sh AS (SELECT shard, string_agg('FF' || hex(encode(text)), '' ORDER BY doc_ix) || '00' AS shx FROM c GROUP BY shard),
+o AS (SELECT m.shard, m.ptr, m.doc_ix,
+             row_number() OVER (PARTITION BY m.shard ORDER BY substr(sh.shx, 2 * m.ptr + 1, {2 * ORDER_BYTES})) - 1 AS i
+      FROM m JOIN sh ON sh.shard = m.shard),
+rk AS (SELECT o.shard, CAST(lo.lo + o.i AS BIGINT) AS rank, CAST(o.i AS BIGINT) AS i, CAST(o.ptr AS BIGINT) AS ptr,
+              o.doc_ix FROM o JOIN lo ON lo.shard = o.shard),
+wi AS (SELECT rk.*, c.data_offset, c.doc_len, c.metadata, h.hx,
+              greatest(c.data_offset + 1, greatest(rk.ptr - {{ctx}}, 0)) AS a,
+              least(c.data_offset + 1 + c.doc_len, rk.ptr + {n} + {{ctx}}) AS b
+       FROM rk JOIN c ON c.doc_ix = rk.doc_ix JOIN h ON h.doc_ix = rk.doc_ix),
+w AS (SELECT *, try(decode(unhex(substr(hx, 2 * (a - data_offset - 1) + 1, 2 * greatest(b - a, 0))))) AS t FROM wi)"""
+
+
+def _ranked_requests(spark, sf_dir, q: str) -> DataFrame:
+    """Requests for every rank of ``q``'s intervals (derived from the index)."""
+    idx = suffix_index(spark, sf_dir, ranked=True)
+    f = SX.find_indexed(idx, documents(spark, sf_dir).layout, q)
+    return (f.filter(F.col("hi") > F.col("lo"))
+            .select(F.col("shard").cast("int").alias("s"), F.explode(F.sequence("lo", F.col("hi") - 1)).alias("rank")))
+
+
+@register("rank_to_ptr", ranked_sql(Q_BORDER).format(ctx=0) + " SELECT shard, rank, ptr, doc_ix FROM rk")
+def rank_to_ptr(spark, sf_dir):
+    idx = suffix_index(spark, sf_dir, ranked=True)
+    r = SX.rank_to_ptr(idx, _ranked_requests(spark, sf_dir, Q_BORDER))
+    return r.select(F.col("s").cast("bigint").alias("shard"), "rank", "ptr", "doc_ix")
+
+
+@register("ranked_hits", ranked_sql(Q_BORDER).format(ctx=0) + " SELECT shard, rank, i, ptr, doc_ix FROM rk")
+def ranked_hits(spark, sf_dir):
+    idx = suffix_index(spark, sf_dir, ranked=True)
+    h = RT.ranked_hits(idx, Q_BORDER)
+    return h.select(F.col("shard").cast("bigint").alias("shard"), "rank", "i", "ptr", "doc_ix")
+
+
+@register("search_round_robin", ranked_sql(Q_BORDER).format(ctx=0)
+          + f" SELECT shard, rank, i, ptr, doc_ix FROM rk ORDER BY i, shard LIMIT {SEARCH_MAX}")
+def search_round_robin(spark, sf_dir):
+    idx = suffix_index(spark, sf_dir, ranked=True)
+    h = RT.search_round_robin(idx, Q_BORDER, SEARCH_MAX)
+    return h.select(F.col("shard").cast("bigint").alias("shard"), "rank", "i", "ptr", "doc_ix")
+
+
+@register("search", ranked_sql(Q_BORDER).format(ctx=200) + f"""
+SELECT CAST(row_number() OVER (ORDER BY i, shard) - 1 AS BIGINT) AS hit, shard, rank, doc_ix,
+       CAST(doc_len AS BIGINT) AS doc_len, CAST(greatest(b - a, 0) AS BIGINT) AS disp_len,
+       CAST(greatest(ptr - a, 0) AS BIGINT) AS needle_offset, metadata, t AS text,
+       CASE WHEN t IS NULL THEN {sq(RT.DECODE_ERROR)} END AS error
+FROM w ORDER BY i, shard LIMIT {SEARCH_MAX}""")
+def search(spark, sf_dir):
+    idx = suffix_index(spark, sf_dir, ranked=True)
+    return RT.search(idx, documents(spark, sf_dir).layout, Q_BORDER, SEARCH_MAX, 200)
+
+
+@register("get_doc_by_rank", ranked_sql(Q_BORDER).format(ctx=SEARCH_CTX) + f"""
+SELECT shard, rank, doc_ix, CAST(doc_len AS BIGINT) AS doc_len, CAST(greatest(b - a, 0) AS BIGINT) AS disp_len,
+       CAST(greatest(ptr - a, 0) AS BIGINT) AS needle_offset, metadata, t AS text,
+       CASE WHEN t IS NULL THEN {sq(RT.DECODE_ERROR)} END AS error
+FROM w""")
+def get_doc_by_rank(spark, sf_dir):
+    idx = suffix_index(spark, sf_dir, ranked=True)
+    req = (_ranked_requests(spark, sf_dir, Q_BORDER)
+           .select(F.col("rank").alias("req_id"), "s", "rank",
+                   F.lit(len(Q_BORDER.encode())).alias("needle_len"), F.lit(SEARCH_CTX).alias("max_ctx_len")))
+    g = RT.get_doc_by_rank(idx, documents(spark, sf_dir).layout, req)
+    return g.select(F.col("shard").cast("bigint").alias("shard"), "rank", "doc_ix", "doc_len", "disp_len",
+                    "needle_offset", "metadata", "text", "error")
