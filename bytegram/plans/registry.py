@@ -597,3 +597,196 @@ def get_doc_by_rank(spark, sf_dir):
     g = RT.get_doc_by_rank(idx, documents(spark, sf_dir).layout, req)
     return g.select(F.col("shard").cast("bigint").alias("shard"), "rank", "doc_ix", "doc_len", "disp_len",
                     "needle_offset", "metadata", "text", "error")
+
+
+# ---- file sources ------------------------------------------------------------------------------------
+
+from ..sources import derive as DV  # noqa: E402
+from ..sources import records as RC  # noqa: E402
+
+_SOURCES: dict = {}
+
+
+def derived_sources(spark: SparkSession, sf_dir: str) -> str:
+    """``documents`` written as JSON-lines files, one per ``source`` (``source=srcN/part-…``) in each of
+    the formats ``jsonl``, ``gz``, ``zst``, plus ``meta`` (``{"text", "meta": {…}}`` lines)."""
+    key = (id(spark.sparkContext), sf_dir)
+    if key in _SOURCES:
+        return _SOURCES[key]
+    tag = hashlib.sha1(sf_dir.encode()).hexdigest()[:12]
+    root = stable_path(spark, f"sources-{tag}")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    plain = F.to_json(F.struct("text", "doc_id", "lang", "n_chars"))
+    for fmt in ("jsonl", "gz", "zst"):
+        DV.write_jsonl(spark, docs, f"{root}/{fmt}", fmt, "source", "doc_id", plain)
+    meta = F.to_json(F.struct("text", F.struct("doc_id", "lang", "n_chars").alias("meta")))
+    DV.write_jsonl(spark, docs, f"{root}/meta", "jsonl", "source", "doc_id", meta)
+    _SOURCES[key] = root
+    return root
+
+
+SCAN_SQL = """
+SELECT doc_id, text, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS BIGINT) AS linenum,
+       'source=' || source AS folder FROM documents"""
+
+
+def _scan(spark, sf_dir, fmt):
+    recs = RC.read_records(spark, f"{derived_sources(spark, sf_dir)}/{fmt}")
+    return recs.select(F.get_json_object("fields", "$.doc_id").cast("bigint").alias("doc_id"), "text", "linenum",
+                       F.regexp_extract("path", r"^(source=[^/]+)/", 1).alias("folder"))
+
+
+@register("scan_jsonl", SCAN_SQL)
+def scan_jsonl(spark, sf_dir):
+    return _scan(spark, sf_dir, "jsonl")
+
+
+@register("scan_json_gz", SCAN_SQL)
+def scan_json_gz(spark, sf_dir):
+    return _scan(spark, sf_dir, "gz")
+
+
+@register("scan_zst", SCAN_SQL)
+def scan_zst(spark, sf_dir):
+    return _scan(spark, sf_dir, "zst")
+
+
+@register("line_numbers", """
+SELECT 'source=' || source AS folder, doc_id,
+       CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS BIGINT) AS linenum FROM documents""")
+def line_numbers(spark, sf_dir):
+    files = [r["path"] for r in RC.list_sources(spark, f"{derived_sources(spark, sf_dir)}/jsonl").collect()]
+    lines = RC.text_line_numbers(spark.read.text(files))
+    return lines.select(F.regexp_extract("_abs", r"/(source=[^/]+)/", 1).alias("folder"),
+                        F.get_json_object("value", "$.doc_id").cast("bigint").alias("doc_id"), "linenum")
+
+
+@register("source_listing")
+def source_listing(spark, sf_dir):
+    root = derived_sources(spark, sf_dir)
+    lst = RC.list_sources(spark, root)
+    base = RC.common_root(lst)
+    return lst.select(RC.relative_path(F.col("path"), base).alias("path"), "length")
+
+
+@register("relative_paths", """
+SELECT DISTINCT 'source=' || source AS folder FROM documents""")
+def relative_paths(spark, sf_dir):
+    recs = RC.read_records(spark, f"{derived_sources(spark, sf_dir)}/zst")
+    return recs.select(F.regexp_extract("path", r"^(source=[^/]+)/", 1).alias("folder")).distinct()
+
+
+@register("records_per_file", """
+SELECT 'source=' || source AS folder, CAST(count(*) AS BIGINT) AS records FROM documents GROUP BY source""")
+def records_per_file(spark, sf_dir):
+    recs = RC.read_records(spark, f"{derived_sources(spark, sf_dir)}/gz")
+    return RC.records_per_file(recs).select(F.regexp_extract("path", r"^(source=[^/]+)/", 1).alias("folder"),
+                                            "records")
+
+
+@register("record_slice", """
+SELECT doc_id, linenum FROM (
+  SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS linenum FROM documents
+  WHERE source = 'src3') WHERE linenum >= 10 AND linenum < 30""")
+def record_slice(spark, sf_dir):
+    root = derived_sources(spark, sf_dir)
+    recs = RC.read_records(spark, f"{root}/jsonl")
+    path = [r["path"] for r in recs.select("path").distinct().collect() if r["path"].startswith("source=src3/")][0]
+    sl = RC.record_slice(recs, path, 10, 30)
+    return sl.select(F.get_json_object("fields", "$.doc_id").cast("bigint").alias("doc_id"), "linenum")
+
+
+@register("pending_sources", """
+SELECT DISTINCT 'source=' || source AS folder FROM documents WHERE 'source=' || source >= 'source=src2'""")
+def pending_sources(spark, sf_dir):
+    root = derived_sources(spark, sf_dir)
+    lst = RC.list_sources(spark, f"{root}/jsonl")
+    # Manifest of finished files (as a resumed job would have written it): folders before src2.
+    manifest = lst.filter(F.regexp_extract("path", r"/(source=[^/]+)/", 1) < F.lit("source=src2"))
+    return (RC.pending_sources(lst, manifest)
+            .select(F.regexp_extract("path", r"/(source=[^/]+)/", 1).alias("folder")))
+
+
+FILE_LAYOUT_SQL = LAYOUT_SQL.replace(
+    "SELECT doc_id AS doc_ix, text, strlen(text) AS doc_len,",
+    "SELECT CAST(row_number() OVER (ORDER BY source, doc_id) - 1 AS BIGINT) AS doc_ix, doc_id, text, "
+    "strlen(text) AS doc_len,")
+
+
+def _file_corpus(spark, sf_dir):
+    from .corpus import Corpus
+    return Corpus.from_files(spark, f"{derived_sources(spark, sf_dir)}/jsonl", num_shards=NUM_SHARDS)
+
+
+@register("global_doc_ix", """
+SELECT doc_id, CAST(row_number() OVER (ORDER BY source, doc_id) - 1 AS BIGINT) AS doc_ix FROM documents""")
+def global_doc_ix(spark, sf_dir):
+    docs = _file_corpus(spark, sf_dir).docs
+    return docs.select(F.get_json_object("metadata", "$.metadata.doc_id").cast("bigint").alias("doc_id"), "doc_ix")
+
+
+@register("write_corpus", f"""
+WITH {FILE_LAYOUT_SQL} SELECT doc_ix, doc_id, shard, data_offset, CAST(doc_len AS BIGINT) AS doc_len FROM c""")
+def write_corpus(spark, sf_dir):
+    from .corpus import Corpus
+    path = stable_path(spark, "corpus-" + hashlib.sha1(sf_dir.encode()).hexdigest()[:12])
+    _file_corpus(spark, sf_dir).write(path)
+    c = Corpus.open(spark, path)
+    return c.layout.select("doc_ix", F.get_json_object("metadata", "$.metadata.doc_id").cast("bigint").alias("doc_id"),
+                           F.col("shard").cast("bigint").alias("shard"), "data_offset", "doc_len")
+
+
+@register("open_corpus", f"""
+WITH {FILE_LAYOUT_SQL} SELECT shard, CAST(count(*) AS BIGINT) AS doc_cnt, CAST(max(shard_bytes) AS BIGINT) AS shard_bytes
+FROM c GROUP BY shard""")
+def open_corpus(spark, sf_dir):
+    from .corpus import Corpus
+    path = stable_path(spark, "corpus-" + hashlib.sha1(sf_dir.encode()).hexdigest()[:12])
+    _file_corpus(spark, sf_dir).write(path)
+    lay = Corpus.open(spark, path).layout
+    return lay.groupBy(F.col("shard").cast("bigint").alias("shard")).agg(
+        F.count(F.lit(1)).cast("bigint").alias("doc_cnt"), F.max("shard_bytes").cast("bigint").alias("shard_bytes"))
+
+
+@register("ingest_per_source", """
+WITH d AS (SELECT source, doc_id, strlen(text) AS doc_len,
+                  row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k FROM documents)
+SELECT source AS corpus, CAST(k AS BIGINT) AS k,
+       CAST(coalesce(sum(doc_len + 1) OVER (PARTITION BY source ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING
+                                          AND 1 PRECEDING), 0) AS BIGINT) AS data_offset,
+       json_object('doc_id', doc_id, 'lang', (SELECT lang FROM documents x WHERE x.doc_id = d.doc_id),
+                   'n_chars', (SELECT n_chars FROM documents x WHERE x.doc_id = d.doc_id))::VARCHAR AS metadata
+FROM d
+UNION ALL
+SELECT source, CAST(count(*) AS BIGINT), CAST(sum(strlen(text) + 1) AS BIGINT), NULL FROM documents GROUP BY source""")
+def ingest_per_source(spark, sf_dir):
+    from ..operators import layout as LY
+    recs = RC.read_records(spark, f"{derived_sources(spark, sf_dir)}/meta", meta_key="meta")
+    recs = LY.global_doc_index(recs).withColumn("corpus", F.regexp_extract("path", r"^source=([^/]+)/", 1))
+    x = LY.exclusive_prefix_sums(recs, "doc_ix", {"_g": F.octet_length("text") + 1})
+    base = x.groupBy("corpus").agg(F.min("_g").alias("_g0"), F.count(F.lit(1)).alias("_n"),
+                                   F.sum(F.octet_length("text") + 1).alias("_tot"))
+    rows = (x.join(F.broadcast(base), "corpus")
+            .select("corpus", "linenum", (F.col("_g") - F.col("_g0")).alias("data_offset"),
+                    F.col("fields").alias("metadata")))
+    # The offsets list of each corpus ends with its total (n + 1 entries).
+    ends = base.select("corpus", F.col("_n").alias("linenum"), F.col("_tot").alias("data_offset"),
+                       F.lit(None).cast("string").alias("metadata"))
+    return rows.unionByName(ends).select("corpus", F.col("linenum").cast("bigint").alias("k"),
+                                         F.col("data_offset").cast("bigint").alias("data_offset"), "metadata")
+
+
+@register("corpus_catalog", """
+SELECT corpus, CAST(count(*) AS BIGINT) AS docs, CAST(sum(strlen(t)) AS BIGINT) AS text_bytes,
+       CAST(sum(strlen(t) + 1) + 1 AS BIGINT) AS size
+FROM (SELECT 'documents' AS corpus, text AS t FROM documents UNION ALL SELECT 'pages', html FROM pages
+      UNION ALL SELECT 'conversations', text FROM conversations) GROUP BY corpus""")
+def corpus_catalog(spark, sf_dir):
+    parts = [("documents", "text"), ("pages", "html"), ("conversations", "text")]
+    u = None
+    for name, col in parts:
+        t = spark.read.parquet(f"{sf_dir}/{name}.parquet").select(F.lit(name).alias("corpus"), F.col(col).alias("t"))
+        u = t if u is None else u.unionByName(t)
+    return u.groupBy("corpus").agg(
+        F.count(F.lit(1)).cast("bigint").alias("docs"), F.sum(F.octet_length("t")).cast("bigint").alias("text_bytes"),
+        (F.sum(F.octet_length("t") + 1) + 1).cast("bigint").alias("size"))

@@ -108,13 +108,17 @@ def text_line_numbers(lines: DataFrame) -> DataFrame:
 
 
 def jsonl_records(spark: SparkSession, files: list[str], root: str, text_key: str = "text",
-                  on_bad: str = "fail") -> DataFrame:
+                  on_bad: str = "fail", meta_key: str | None = None) -> DataFrame:
     """JSON-lines records (``.jsonl``, ``.json.gz``, ``.zst``, ``.zstd``; codec chosen by Spark from the
     file ending). The line reader ends records at ``\\n``, ``\\r\\n`` or a lone ``\\r``."""
     lines = text_line_numbers(spark.read.text(files))
     parsed = lines.select("_abs", "linenum", F.from_json("value", "map<string,variant>").alias("_m"))
     text = F.variant_get(F.element_at(F.col("_m"), F.lit(text_key)), "$", "string")
-    fields = F.to_json(F.map_filter("_m", lambda k, v: k != F.lit(text_key)))
+    if meta_key is None:
+        fields = F.to_json(F.map_filter("_m", lambda k, v: k != F.lit(text_key)))
+    else:
+        # Variant input: metadata is the object under ``meta_key`` (empty object when absent).
+        fields = F.coalesce(F.to_json(F.element_at(F.col("_m"), F.lit(meta_key))), F.lit("{}"))
     rec = parsed.select(
         relative_path(F.col("_abs"), root).alias("path"),
         F.col("linenum"),
@@ -135,7 +139,7 @@ def _bad_rows(rec: DataFrame, on_bad: str) -> DataFrame:
 
 
 def read_records(spark: SparkSession, paths: list[str] | str, text_key: str = "text",
-                 on_bad: str = "fail") -> DataFrame:
+                 on_bad: str = "fail", meta_key: str | None = None) -> DataFrame:
     """All accepted files under ``paths`` as one record table (Parquet and JSON-lines unioned)."""
     listing = list_sources(spark, paths)
     root = common_root(listing)
@@ -147,7 +151,7 @@ def read_records(spark: SparkSession, paths: list[str] | str, text_key: str = "t
     if pq:
         parts.append(parquet_records(spark, pq, root, text_key, on_bad))
     if js:
-        parts.append(jsonl_records(spark, js, root, text_key, on_bad))
+        parts.append(jsonl_records(spark, js, root, text_key, on_bad, meta_key))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
