@@ -790,3 +790,56 @@ def corpus_catalog(spark, sf_dir):
     return u.groupBy("corpus").agg(
         F.count(F.lit(1)).cast("bigint").alias("docs"), F.sum(F.octet_length("t")).cast("bigint").alias("text_bytes"),
         (F.sum(F.octet_length("t") + 1) + 1).cast("bigint").alias("size"))
+
+
+# ---- request table -------------------------------------------------------------------------------------
+
+from . import requests as RQ  # noqa: E402
+
+INDEX_NAME = "documents"
+
+
+def request_table(spark, sf_dir) -> DataFrame:
+    """Requests derived from every ``benchmark`` item: count, find, search and get_doc_by_rank of its whole
+    text, plus an unknown index, an unknown type and a negative rank (error rows)."""
+    b = _bench(spark, sf_dir)
+    kinds = F.array(
+        F.struct(F.lit(0).alias("k"), F.lit(INDEX_NAME).alias("index"), F.lit("count").alias("query_type")),
+        F.struct(F.lit(1).alias("k"), F.lit(INDEX_NAME).alias("index"), F.lit("find").alias("query_type")),
+        F.struct(F.lit(2).alias("k"), F.lit(INDEX_NAME).alias("index"), F.lit("search").alias("query_type")),
+        F.struct(F.lit(3).alias("k"), F.lit(INDEX_NAME).alias("index"), F.lit("get_doc_by_rank").alias("query_type")),
+        F.struct(F.lit(4).alias("k"), F.lit("missing").alias("index"), F.lit("count").alias("query_type")),
+        F.struct(F.lit(5).alias("k"), F.lit(INDEX_NAME).alias("index"), F.lit("grep").alias("query_type")),
+        F.struct(F.lit(6).alias("k"), F.lit(INDEX_NAME).alias("index"), F.lit("get_doc_by_rank").alias("query_type")))
+    x = b.select("item_id", "text", F.explode(kinds).alias("r"))
+    return x.select(
+        (F.col("item_id") * 10 + F.col("r.k")).cast("bigint").alias("req_id"), F.col("r.index").alias("index"),
+        F.col("r.query_type").alias("query_type"), F.col("text").alias("query"),
+        F.when(F.col("r.k") == 3, F.lit(1)).when(F.col("r.k") == 6, F.lit(0)).cast("int").alias("s"),
+        F.when(F.col("r.k") == 3, F.col("item_id") * 997).when(F.col("r.k") == 6, F.lit(-1)).cast("bigint").alias("rank"),
+        F.lit(3).alias("max_results"), F.lit(40).alias("max_ctx_len"))
+
+
+REQUESTS_SQL = """
+WITH k AS (SELECT * FROM (VALUES (0, 'documents', 'count'), (1, 'documents', 'find'), (2, 'documents', 'search'),
+             (3, 'documents', 'get_doc_by_rank'), (4, 'missing', 'count'), (5, 'documents', 'grep'),
+             (6, 'documents', 'get_doc_by_rank')) AS t(k, idx, qt)),
+r AS (SELECT CAST(item_id * 10 + k AS BIGINT) AS req_id, idx, qt AS query_type,
+             CASE WHEN k = 6 THEN -1 ELSE item_id * 997 END AS rank FROM benchmark, k)"""
+
+
+@register("request_errors", REQUESTS_SQL + """
+SELECT req_id, CASE WHEN idx <> 'documents' THEN 'Unknown index ' || idx || '.'
+                    WHEN query_type = 'grep' THEN 'Unknown query_type grep. Allowed: [''count'', ''find'', ''get_doc_by_rank'', ''search''].'
+                    ELSE 'rank must be non-negative, got ' || CAST(rank AS VARCHAR) || '.' END AS error
+FROM r WHERE idx <> 'documents' OR query_type = 'grep' OR rank < 0""")
+def request_errors(spark, sf_dir):
+    v = RQ.validate(request_table(spark, sf_dir), [INDEX_NAME], {INDEX_NAME: NUM_SHARDS})
+    return v.filter(F.col("error").isNotNull()).select("req_id", "error")
+
+
+@register("dispatch_batch")
+def dispatch_batch(spark, sf_dir):
+    corp = documents(spark, sf_dir)
+    idx = suffix_index(spark, sf_dir, ranked=True)
+    return RQ.dispatch({INDEX_NAME: (corp, idx)}, request_table(spark, sf_dir))
