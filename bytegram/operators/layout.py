@@ -104,3 +104,18 @@ def corpus_bytes(layout: DataFrame) -> DataFrame:
     per = shard_sizes(layout)
     return per.agg(F.sum("shard_bytes").cast("bigint").alias("corpus_bytes"),
                    F.count(F.lit(1)).cast("bigint").alias("num_shards"))
+
+
+def explicit_shards(docs: DataFrame) -> DataFrame:
+    """Layout for documents that already carry a ``shard`` column (contiguous runs of ``doc_ix``)."""
+    x = docs.withColumn("doc_len", byte_len("text")).withColumn("_mlen", byte_len("metadata"))
+    x = exclusive_prefix_sums(x, "doc_ix", {"_g": F.col("doc_len") + 1, "_gm": F.col("_mlen") + 1})
+    stats = x.groupBy("shard").agg(
+        F.min("_g").alias("_g0"), F.min("_gm").alias("_gm0"),
+        (F.sum(F.col("doc_len") + 1) + 1).cast("bigint").alias("shard_bytes"),
+        F.count(F.lit(1)).alias("shard_docs"), F.min("doc_ix").alias("shard_first_doc"))
+    x = x.join(F.broadcast(stats), "shard")
+    return (x.withColumn("data_offset", (F.col("_g") - F.col("_g0")).cast("bigint"))
+             .withColumn("meta_offset", (F.col("_gm") - F.col("_gm0")).cast("bigint"))
+             .withColumn("shard", F.col("shard").cast("int"))
+             .drop("_g", "_gm", "_g0", "_gm0", "_g_total", "_gm_total", "_mlen"))

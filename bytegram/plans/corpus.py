@@ -55,11 +55,28 @@ class Corpus:
         recs = _rec.parquet_records(spark, files, root, text_key)
         return cls.from_records(spark, recs, num_shards, get_metadata)
 
+    @classmethod
+    def from_shards(cls, spark: SparkSession, shards: list[list[str]], get_metadata: bool = True) -> "Corpus":
+        """Small in-memory corpus with explicit shards (lists of texts), for tests and examples."""
+        rows, ix = [], 0
+        for s, texts in enumerate(shards):
+            for t in texts:
+                rows.append((ix, s, "mem", ix, t, '{"path":"mem","linenum":%d,"metadata":{}}' % ix))
+                ix += 1
+        docs = spark.createDataFrame(rows, "doc_ix long, shard int, path string, linenum long, text string, "
+                                           "metadata string")
+        lay = _layout.explicit_shards(docs)
+        return cls(spark, docs.drop("shard"), len(shards), layout=lay, get_metadata=get_metadata)
+
     @classmethod
     def open(cls, spark: SparkSession, path: str, get_metadata: bool = True) -> "Corpus":
         """Open a corpus written by :meth:`write` (shard-partitioned Parquet). Checks the schema."""
-        lay = spark.read.parquet(path)
-        missing = [c for c in CORPUS_COLUMNS if c not in lay.columns]
+        try:
+            lay = spark.read.parquet(path)
+            cols = lay.columns
+        except Exception as e:  # noqa: BLE001 - unreadable or not Parquet
+            raise ValueError(f"{path} is not a corpus table: {str(e)[:200]}") from e
+        missing = [c for c in CORPUS_COLUMNS if c not in cols]
         if missing:
             raise ValueError(f"{path} is not a corpus table; missing {missing}")
         if not get_metadata:

@@ -26,6 +26,11 @@ def qualify(path: str) -> str:
     return "file:" + posixpath.abspath(path)
 
 
+def file_path_col() -> F.Column:
+    """``_metadata.file_path`` is URI-encoded; decode it (keeping a literal ``+``) to match listings."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def _suffix_filter(col, suffixes) -> F.Column:
     cond = F.lit(False)
     for s in suffixes:
@@ -79,7 +84,7 @@ def parquet_records(spark: SparkSession, files: list[str], root: str, text_key:
     fields = F.to_json(F.struct(*[F.col(c) for c in others]), {"ignoreNullFields": "false"}) if others \
         else F.lit("{}")
     rec = df.select(
-        relative_path(F.col("_metadata.file_path"), root).alias("path"),
+        relative_path(file_path_col(), root).alias("path"),
         F.col("_metadata.row_index").cast("bigint").alias("linenum"),
         F.col(text_key).alias("text"),
         fields.alias("fields"))
@@ -95,7 +100,7 @@ def text_line_numbers(lines: DataFrame) -> DataFrame:
     by a running sum over the splits of the same file.
     """
     x = lines.select(
-        F.col("_metadata.file_path").alias("_abs"),
+        file_path_col().alias("_abs"),
         F.col("_metadata.file_block_start").alias("_blk"),
         F.monotonically_increasing_id().alias("_mid"),
         F.col("value"))
