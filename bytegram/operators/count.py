@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..constants import SEED_BYTES
 from ..functions.bytes import byte_len, occurrences, utf8
-from .positions import chunks, grams
+from .positions import chunks, grams_multi
 
 # Pieces beyond this estimated size are joined by shuffle instead of broadcast.
 PIECE_BROADCAST_BYTES = 64 << 20
@@ -77,22 +77,23 @@ def count_batch(docs: DataFrame, queries: DataFrame, qid: str = "qid", qcol: str
     counts = []
     if classes:
         ch = chunks(docs, overlap=max(0, maxn - 1))
+        pieces = None
         for s in classes:
-            qs = q.filter(F.least(F.col("n"), F.lit(seed_bytes)) == s)
-            pieces = seed_pieces(qs, s)
-            est = ((int(st["tot"] or 0) // s) + 2 * int(st["cnt"] or 0)) * (s + 48)
-            pj = F.broadcast(pieces) if est <= PIECE_BROADCAST_BYTES else pieces
-            extra = max(0, maxn - s) if s == seed_bytes else 0
-            g = grams(ch, s, extra=extra)
-            j = (g.join(pj, g["gram"] == pj["piece"])
-                 .withColumn("start", F.col("p") - F.col("o"))
-                 .filter((F.col("start") >= 1) & (F.col("start") <= F.col("own"))))
-            single = j.filter(F.col("m") == 1).groupBy("qid").agg(F.count(F.lit(1)).alias("cnt"))
-            multi = (j.filter(F.col("m") > 1)
-                     .groupBy("doc_ix", "c", "start", "qid", "m").agg(F.count(F.lit(1)).alias("_k"))
-                     .filter(F.col("_k") == F.col("m"))
-                     .groupBy("qid").agg(F.count(F.lit(1)).alias("cnt")))
-            counts += [single, multi]
+            ps = seed_pieces(q.filter(F.least(F.col("n"), F.lit(seed_bytes)) == s), s).withColumn("s", F.lit(s))
+            pieces = ps if pieces is None else pieces.unionByName(ps)
+        est = ((int(st["tot"] or 0) // max(1, classes[0])) + 2 * int(st["cnt"] or 0)) * (seed_bytes + 48)
+        pj = F.broadcast(pieces) if est <= PIECE_BROADCAST_BYTES else pieces
+        # Pieces of the longest class may sit up to maxn - s bytes after an owned start.
+        g = grams_multi(ch, classes, extra=max(0, maxn - classes[-1]))
+        j = (g.join(pj, (g["s"] == pj["s"]) & (g["gram"] == pj["piece"]))
+             .withColumn("start", F.col("p") - F.col("o"))
+             .filter((F.col("start") >= 1) & (F.col("start") <= F.col("own"))))
+        single = j.filter(F.col("m") == 1).groupBy("qid").agg(F.count(F.lit(1)).alias("cnt"))
+        multi = (j.filter(F.col("m") > 1)
+                 .groupBy("doc_ix", "c", "start", "qid", "m").agg(F.count(F.lit(1)).alias("_k"))
+                 .filter(F.col("_k") == F.col("m"))
+                 .groupBy("qid").agg(F.count(F.lit(1)).alias("cnt")))
+        counts += [single, multi]
     out = q.select("qid", "query", "n")
     if counts:
         allc = counts[0]

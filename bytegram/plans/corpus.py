@@ -108,16 +108,23 @@ class Corpus:
         return self.layout.filter(F.col("shard") == F.lit(shard_id))
 
     # ---- counting -----------------------------------------------------------------------------
+    @property
+    def texts(self) -> DataFrame:
+        """``doc_ix, text`` from the materialised corpus table when it exists, else from the records."""
+        if self._layout is not None or "layout" in self.__dict__:
+            return self.layout.select("doc_ix", "text")
+        return self.docs.select("doc_ix", "text")
+
     def count(self, q: str) -> DataFrame:
         if q == "":
             return _count.count_empty(self.layout)
-        return _count.count_literal(self.docs, q)
+        return _count.count_literal(self.texts, q)
 
     def count_by_shard(self, q: str) -> DataFrame:
         return _count.count_by_shard(self.layout, q)
 
     def count_batch(self, queries: DataFrame, qid: str = "qid", qcol: str = "query") -> DataFrame:
-        return _count.count_batch(self.docs, queries, qid, qcol, empty_count=_count.count_empty(self.layout))
+        return _count.count_batch(self.texts, queries, qid, qcol, empty_count=_count.count_empty(self.layout))
 
 
 def _common(files: list[str]) -> str:

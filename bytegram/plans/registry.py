@@ -141,7 +141,7 @@ def doc_byte_lengths(spark, sf_dir):
 SELECT doc_id AS doc_ix, {overlap_sql('text', sq(Q_BORDER))} AS count
 FROM documents WHERE contains(text, {sq(Q_BORDER)})""")
 def docs_containing(spark, sf_dir):
-    return C.docs_containing(documents(spark, sf_dir).docs, Q_BORDER)
+    return C.docs_containing(documents(spark, sf_dir).texts, Q_BORDER)
 
 
 # ---- layout ------------------------------------------------------------------------------------
@@ -250,19 +250,6 @@ def count_batch(spark, sf_dir):
     return documents(spark, sf_dir).count_batch(_bench(spark, sf_dir), qid="item_id", qcol="text")
 
 
-@register("count_batch_terms", f"""
-WITH t AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS query FROM benchmark),
-q AS (SELECT CAST(row_number() OVER (ORDER BY query) AS BIGINT) AS qid, query FROM t)
-SELECT qid, query, CAST(coalesce(sum(CASE WHEN query = '' THEN NULL ELSE {overlap_sql('d.text', 'query')} END), 0)
-       + max(CASE WHEN query = '' THEN (SELECT sum(strlen(text) + 1) FROM documents) + 4 ELSE 0 END) AS BIGINT) AS count
-FROM q LEFT JOIN documents d ON contains(d.text, query) AND query <> ''
-GROUP BY qid, query""")
-def count_batch_terms(spark, sf_dir):
-    b = _bench(spark, sf_dir)
-    t = b.select(F.explode(F.split("text", " ", -1)).alias("query")).distinct()
-    from pyspark.sql import Window
-    q = t.select(F.row_number().over(Window.orderBy("query")).cast("bigint").alias("qid"), "query")
-    return documents(spark, sf_dir).count_batch(q)
 
 
 # ---- find by scan --------------------------------------------------------------------------------
@@ -843,3 +830,31 @@ def dispatch_batch(spark, sf_dir):
     corp = documents(spark, sf_dir)
     idx = suffix_index(spark, sf_dir, ranked=True)
     return RQ.dispatch({INDEX_NAME: (corp, idx)}, request_table(spark, sf_dir))
+
+
+# ---- batch count over data-derived terms (needs the hex building blocks above) ----------------------
+
+TERM_HEAD = 64
+
+
+@register("count_batch_terms", f"""
+WITH {LAYOUT_SQL}{HEX_SQL}{heads_sql(TERM_HEAD)},
+t AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS query FROM benchmark),
+q AS (SELECT CAST(row_number() OVER (ORDER BY query) AS BIGINT) AS qid, query, hex(encode(query)) AS qx,
+             strlen(query) AS n FROM t),
+lens AS (SELECT DISTINCT n FROM q WHERE n BETWEEN 1 AND {TERM_HEAD}),
+hk AS (SELECT lens.n, substr(head, 1, 2 * lens.n) AS k FROM heads CROSS JOIN lens),
+short AS (SELECT q.qid, CAST(count(hk.k) AS BIGINT) AS c FROM q LEFT JOIN hk ON hk.n = q.n AND hk.k = q.qx
+          WHERE q.n BETWEEN 1 AND {TERM_HEAD} GROUP BY q.qid),
+long AS (SELECT q.qid, CAST(coalesce(sum(CASE WHEN contains(d.text, q.query) THEN {overlap_sql('d.text', 'q.query')} END), 0)
+                AS BIGINT) AS c
+         FROM q LEFT JOIN documents d ON contains(d.text, q.query) WHERE q.n > {TERM_HEAD} GROUP BY q.qid),
+e AS (SELECT q.qid, CAST((SELECT sum(doc_len + 1) + count(DISTINCT shard) FROM c) AS BIGINT) AS c FROM q WHERE q.n = 0)
+SELECT q.qid, q.query, x.c AS count FROM q JOIN (SELECT * FROM short UNION ALL SELECT * FROM long UNION ALL SELECT * FROM e) x
+ON x.qid = q.qid""")
+def count_batch_terms(spark, sf_dir):
+    b = _bench(spark, sf_dir)
+    t = b.select(F.explode(F.split("text", " ", -1)).alias("query")).distinct()
+    from pyspark.sql import Window
+    q = t.select(F.row_number().over(Window.orderBy("query")).cast("bigint").alias("qid"), "query")
+    return documents(spark, sf_dir).count_batch(q)
