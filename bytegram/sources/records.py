@@ -99,11 +99,14 @@ def text_line_numbers(lines: DataFrame) -> DataFrame:
     order there. A per-split table (one row per split: line count, first id) gives each split its base
     by a running sum over the splits of the same file.
     """
-    x = lines.select(
-        file_path_col().alias("_abs"),
-        F.col("_metadata.file_block_start").alias("_blk"),
-        F.monotonically_increasing_id().alias("_mid"),
-        F.col("value"))
+    if "_abs" in lines.columns:   # metadata already selected (e.g. by a streaming query)
+        x = lines.select("_abs", "_blk", F.monotonically_increasing_id().alias("_mid"), "value")
+    else:
+        x = lines.select(
+            file_path_col().alias("_abs"),
+            F.col("_metadata.file_block_start").alias("_blk"),
+            F.monotonically_increasing_id().alias("_mid"),
+            F.col("value"))
     splits = x.groupBy("_abs", "_blk").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_mid0"))
     w = Window.partitionBy("_abs").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.select("_abs", "_blk", "_mid0", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_base"))
@@ -112,11 +115,9 @@ def text_line_numbers(lines: DataFrame) -> DataFrame:
                     "value"))
 
 
-def jsonl_records(spark: SparkSession, files: list[str], root: str, text_key: str = "text",
-                  on_bad: str = "fail", meta_key: str | None = None) -> DataFrame:
-    """JSON-lines records (``.jsonl``, ``.json.gz``, ``.zst``, ``.zstd``; codec chosen by Spark from the
-    file ending). The line reader ends records at ``\\n``, ``\\r\\n`` or a lone ``\\r``."""
-    lines = text_line_numbers(spark.read.text(files))
+def parse_jsonl_lines(lines: DataFrame, root: str, text_key: str = "text", on_bad: str = "fail",
+                      meta_key: str | None = None) -> DataFrame:
+    """``_abs, linenum, value`` lines → records (text out, every other field kept as JSON)."""
     parsed = lines.select("_abs", "linenum", F.from_json("value", "map<string,variant>").alias("_m"))
     text = F.variant_get(F.element_at(F.col("_m"), F.lit(text_key)), "$", "string")
     if meta_key is None:
@@ -132,6 +133,13 @@ def jsonl_records(spark: SparkSession, files: list[str], root: str, text_key: st
     return _bad_rows(rec, on_bad)
 
 
+def jsonl_records(spark: SparkSession, files: list[str], root: str, text_key: str = "text",
+                  on_bad: str = "fail", meta_key: str | None = None) -> DataFrame:
+    """JSON-lines records (``.jsonl``, ``.json.gz``, ``.zst``, ``.zstd``; codec chosen by Spark from the
+    file ending). The line reader ends records at ``\n``, ``\r\n`` or a lone ``\r``."""
+    return parse_jsonl_lines(text_line_numbers(spark.read.text(files)), root, text_key, on_bad, meta_key)
+
+
 def _bad_rows(rec: DataFrame, on_bad: str) -> DataFrame:
     """A record without text fails the whole job (default) or is dropped (``on_bad='drop'``)."""
     if on_bad == "drop":
