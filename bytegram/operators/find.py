@@ -14,6 +14,9 @@ from ..functions.bytes import lit_bytes, utf8
 
 
 def terminated_bytes(layout: DataFrame) -> F.Column:
+    """``text || terminator`` as BINARY: the stored ``bytes`` column of a corpus table when present."""
+    if "bytes" in layout.columns:
+        return F.col("bytes")
     last = (F.col("data_offset") + F.col("doc_len") + 2) == F.col("shard_bytes")
     return F.concat(utf8("text"), F.when(last, lit_bytes(b"\x00")).otherwise(lit_bytes(b"\xff")))
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..constants import PREFIX_BUCKET_ROWS
-from ..functions.bytes import byte_len
+from ..functions.bytes import byte_len, lit_bytes, utf8
 
 
 def exclusive_prefix_sums(df: DataFrame, order_col: str, weights: dict[str, Column],
@@ -77,9 +77,22 @@ def assign_shards(docs: DataFrame, num_shards: int) -> DataFrame:
     stats = stats.withColumn("shard_bytes", (F.col("_body") + 1).cast("bigint")).drop("_body")
     # At most num_shards rows: the broadcast is bounded by a parameter.
     x = x.join(F.broadcast(stats), "_shard0")
-    return (x.withColumn("data_offset", (F.col("_g") - F.col("_g0")).cast("bigint"))
-             .withColumn("meta_offset", (F.col("_gm") - F.col("_gm0")).cast("bigint"))
-             .drop("_shard0", "_g", "_gm", "_g0", "_gm0", "_g_total", "_gm_total", "_mlen"))
+    x = (x.withColumn("data_offset", (F.col("_g") - F.col("_g0")).cast("bigint"))
+         .withColumn("meta_offset", (F.col("_gm") - F.col("_gm0")).cast("bigint"))
+         .drop("_shard0", "_g", "_gm", "_g0", "_gm0", "_g_total", "_gm_total", "_mlen"))
+    return with_bytes(x)
+
+
+def with_bytes(layout: DataFrame) -> DataFrame:
+    """Add ``bytes``: the document's UTF-8 bytes followed by its terminator (the next separator 0xFF, or the
+    shard's sentinel 0x00 for its last document).
+
+    Kept as a stored column on purpose: per-position operators explode positions and cut ``bytes``; if the
+    bytes were an expression, the optimizer would move it above the explode and re-encode the whole
+    document for every position."""
+    last = (F.col("data_offset") + F.col("doc_len") + 2) == F.col("shard_bytes")
+    return layout.withColumn("bytes", F.concat(utf8("text"), F.when(last, lit_bytes(b"\x00"))
+                                               .otherwise(lit_bytes(b"\xff"))))
 
 
 def shard_sizes(layout: DataFrame) -> DataFrame:
@@ -115,7 +128,8 @@ def explicit_shards(docs: DataFrame) -> DataFrame:
         (F.sum(F.col("doc_len") + 1) + 1).cast("bigint").alias("shard_bytes"),
         F.count(F.lit(1)).alias("shard_docs"), F.min("doc_ix").alias("shard_first_doc"))
     x = x.join(F.broadcast(stats), "shard")
-    return (x.withColumn("data_offset", (F.col("_g") - F.col("_g0")).cast("bigint"))
-             .withColumn("meta_offset", (F.col("_gm") - F.col("_gm0")).cast("bigint"))
-             .withColumn("shard", F.col("shard").cast("int"))
-             .drop("_g", "_gm", "_g0", "_gm0", "_g_total", "_gm_total", "_mlen"))
+    x = (x.withColumn("data_offset", (F.col("_g") - F.col("_g0")).cast("bigint"))
+         .withColumn("meta_offset", (F.col("_gm") - F.col("_gm0")).cast("bigint"))
+         .withColumn("shard", F.col("shard").cast("int"))
+         .drop("_g", "_gm", "_g0", "_gm0", "_g_total", "_gm_total", "_mlen"))
+    return with_bytes(x)

@@ -18,7 +18,13 @@ def chunks(docs: DataFrame, overlap: int, chunk_bytes: int = CHUNK_BYTES, keep:
     """``doc_ix, c, cstart, own, cb`` (+ ``keep``): chunk ``c`` owns 1-based positions ``1..own`` of ``cb``,
     i.e. document bytes ``cstart+1 .. cstart+own``; ``cb`` extends ``overlap`` bytes further."""
     overlap = max(0, int(overlap))
-    b = docs.select("doc_ix", *keep, (bytes_col if bytes_col is not None else utf8("text")).alias("_b"),
+    stored = "bytes" in docs.columns and "doc_len" in docs.columns
+    if bytes_col is None:
+        # The stored column of a corpus table (text + terminator); its last byte is not a position.
+        bytes_col = F.col("bytes") if stored else utf8("text")
+        if own_col is None and stored:
+            own_col = F.col("doc_len")
+    b = docs.select("doc_ix", *keep, bytes_col.alias("_b"),
                     (own_col if own_col is not None else F.lit(None)).alias("_own"))
     # Owned positions: all bytes, unless the caller owns fewer (e.g. not a trailing terminator).
     b = b.withColumn("_len", F.coalesce(F.col("_own"), F.octet_length("_b")).cast("int")).drop("_own")

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..constants import DEFAULT_MAX_CTX_LEN, DEFAULT_MAX_RESULTS, SUFFIX_KEY_BYTES
 from ..functions.bytes import lit_bytes, successor, utf8
+from .find import terminated_bytes
 
 # Fixed value: the error text of a window that cannot be decoded.
 DECODE_ERROR = ("Failed to decode document text as UTF-8. The context window may be "
@@ -21,7 +22,7 @@ def match_positions(layout: DataFrame, q: str) -> DataFrame:
     if n == 0:
         raise ValueError("empty query")
     d = (layout.filter(F.contains(F.col("text"), F.lit(q)))
-         .select("shard", "doc_ix", "data_offset", utf8("text").alias("_b"),
+         .select("shard", "doc_ix", "data_offset", terminated_bytes(layout).alias("_b"),
                  F.explode(F.sequence(F.lit(1), F.col("doc_len").cast("int") - n + 1)).alias("_p")))
     return (d.filter(F.substring("_b", F.col("_p"), F.lit(n)) == lit_bytes(qb))
             .select("shard", "doc_ix", (F.col("_p") - 1).cast("bigint").alias("pos"),
@@ -152,6 +153,29 @@ def highlight_spans(text: Column, needle: str) -> Column:
     return F.filter(F.flatten(pieces), lambda s: s["fragment"] != F.lit(""))
 
 
+def highlight_rows(df: DataFrame, key: str, text_col: str, needle: str) -> DataFrame:
+    """Exploded form of :func:`highlight_spans`: ``key, span_ix, fragment, label``.
+
+    Built from ``split`` + ``posexplode`` (codegen) instead of array lambdas: part ``i`` of the split text
+    sits at slot ``2i``, the needle after it at ``2i+1`` (not after the last part); empty parts are dropped
+    and slots renumbered per document (a window over one document's spans)."""
+    from ..constants import HIGHLIGHT_LABEL
+    from ..functions.bytes import regex_quote
+    if needle == "":
+        return df.select(key, F.lit(0).cast("bigint").alias("span_ix"), F.col(text_col).alias("fragment"),
+                         F.lit(None).cast("string").alias("label"))
+    parts = (df.select(key, F.split(F.col(text_col), F.lit(regex_quote(needle)), -1).alias("_parts"))
+             .select(key, F.size("_parts").alias("_m"), F.posexplode("_parts").alias("_i", "_f")))
+    texts = parts.select(key, (F.col("_i") * 2).alias("_slot"), F.col("_f").alias("fragment"),
+                         F.lit(None).cast("string").alias("label"))
+    needles = (parts.filter(F.col("_i") < F.col("_m") - 1)
+               .select(key, (F.col("_i") * 2 + 1).alias("_slot"), F.lit(needle).alias("fragment"),
+                       F.lit(HIGHLIGHT_LABEL).alias("label")))
+    spans = texts.unionByName(needles).filter(F.col("fragment") != F.lit(""))
+    w = Window.partitionBy(key).orderBy("_slot")
+    return spans.select(key, (F.row_number().over(w) - 1).cast("bigint").alias("span_ix"), "fragment", "label")
+
+
 def kwic_text(text: Column, needle: str, indent: str = "    ") -> Column:
     """Marked text: every occurrence wrapped as ``>>>q<<<``, surrounding whitespace stripped, and every
     line that holds a non-whitespace character indented."""

@@ -10,7 +10,7 @@ from ..operators import layout as _layout
 from ..sources import records as _rec
 
 CORPUS_COLUMNS = ("shard", "doc_ix", "path", "linenum", "text", "metadata", "doc_len",
-                  "data_offset", "meta_offset", "shard_bytes", "shard_docs", "shard_first_doc")
+                  "data_offset", "meta_offset", "shard_bytes", "shard_docs", "shard_first_doc", "bytes")
 
 
 class Corpus:
@@ -94,11 +94,19 @@ class Corpus:
             return self._layout
         from ..session import checkpoint_root
         checkpoint_root(self.spark)
-        return _layout.assign_shards(self.docs, self.num_shards).checkpoint(eager=True)
+        # The prefix-sum windows leave rows grouped by bucket (one bucket can be one task); spread the
+        # documents evenly over the cluster before materialising, so every later scan is parallel.
+        n = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")),
+                self.spark.sparkContext.defaultParallelism)
+        lay = _layout.assign_shards(self.docs, self.num_shards).repartition(n, "doc_ix")
+        return lay.checkpoint(eager=True)
 
     def write(self, path: str, mode: str = "overwrite") -> str:
         """Write the corpus table, one folder per shard (dynamic partition overwrite keeps other shards)."""
-        (self.layout.select(*CORPUS_COLUMNS).repartition("shard")
+        n = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")),
+                self.spark.sparkContext.defaultParallelism)
+        # Contiguous document ranges per task: a few sorted files per shard folder, none spanning shards.
+        (self.layout.select(*CORPUS_COLUMNS).repartitionByRange(n, "shard", "doc_ix")
          .sortWithinPartitions("shard", "doc_ix")
          .write.mode(mode).option("partitionOverwriteMode", "dynamic")
          .partitionBy("shard").parquet(path))
@@ -110,10 +118,9 @@ class Corpus:
     # ---- counting -----------------------------------------------------------------------------
     @property
     def texts(self) -> DataFrame:
-        """``doc_ix, text`` from the materialised corpus table when it exists, else from the records."""
-        if self._layout is not None or "layout" in self.__dict__:
-            return self.layout.select("doc_ix", "text")
-        return self.docs.select("doc_ix", "text")
+        """``doc_ix, text, doc_len, bytes`` from the materialised corpus table."""
+        cols = [c for c in ("doc_ix", "text", "doc_len", "bytes") if c in self.layout.columns]
+        return self.layout.select(*cols)
 
     def count(self, q: str) -> DataFrame:
         if q == "":

@@ -213,14 +213,14 @@ def count_literal(spark, sf_dir):
     return documents(spark, sf_dir).count(Q_COMMON)
 
 
-@register("count_overlapping", f"""
-SELECT q AS query, CAST(coalesce(sum({overlap_sql('text', 'q')}), 0) AS BIGINT) AS count
-FROM (VALUES ({sq(Q_BORDER)}), ({sq(Q_MULTIBYTE)}), ({sq(Q_GERMAN)}), ({sq(Q_ABSENT)}), ('thth'), ('onon'), ('nana'))
-     AS t(q) LEFT JOIN documents ON contains(text, q) GROUP BY q""")
+OVERLAP_QUERIES = (Q_BORDER, Q_MULTIBYTE, Q_GERMAN, Q_ABSENT, "thth", "onon", "nana")
+
+
+@register("count_overlapping", None)
 def count_overlapping(spark, sf_dir):
     c = documents(spark, sf_dir)
     out = None
-    for q in (Q_BORDER, Q_MULTIBYTE, Q_GERMAN, Q_ABSENT, "thth", "onon", "nana"):
+    for q in OVERLAP_QUERIES:
         r = c.count(q)
         out = r if out is None else out.unionByName(r)
     return out
@@ -287,6 +287,16 @@ def heads_sql(k: int, name: str = "heads") -> str:
            FROM {name}_p)"""
 
 
+def literal_counts_sql(queries, col: str = "count") -> str:
+    """Overlapping count of each literal over the whole corpus: heads equal to the query's hex."""
+    k = max(len(q.encode()) for q in queries)
+    return f"""
+WITH {LAYOUT_SQL}{HEX_SQL}{heads_sql(k)},
+q AS (SELECT query, hex(encode(query)) AS qx, strlen(query) AS n FROM {values_sql(queries)})
+SELECT q.query, CAST(count(heads.ptr) AS BIGINT) AS {col}
+FROM q LEFT JOIN heads ON substr(heads.head, 1, 2 * q.n) = q.qx GROUP BY q.query"""
+
+
 def find_sql(queries) -> str:
     """Interval per (query, shard) by comparing the hex of every suffix head with the query's hex."""
     k = max([len(q.encode()) for q in queries] + [1])
@@ -402,9 +412,7 @@ f AS (SELECT doc_ix, list_filter(s, lambda e: e.fragment <> '') AS s FROM sp),
 u AS (SELECT doc_ix, unnest(s) AS e, generate_subscripts(s, 1) AS k FROM f)
 SELECT doc_ix, CAST(k - 1 AS BIGINT) AS span_ix, e.fragment AS fragment, e.label AS label FROM u""")
 def highlight_spans(spark, sf_dir):
-    docs = documents(spark, sf_dir).docs
-    s = docs.select("doc_ix", F.posexplode(RT.highlight_spans(F.col("text"), Q_COMMON)).alias("span_ix", "e"))
-    return s.select("doc_ix", F.col("span_ix").cast("bigint").alias("span_ix"), "e.fragment", "e.label")
+    return RT.highlight_rows(documents(spark, sf_dir).texts, "doc_ix", "text", Q_COMMON)
 
 
 @register("kwic_text", f"""
@@ -440,6 +448,13 @@ def suffix_index(spark: SparkSession, sf_dir: str, ranked: bool) -> DataFrame:
         return spark.read.parquet(path)
 
 
+def suffix_hist(spark: SparkSession, sf_dir: str, ranked: bool) -> DataFrame:
+    """The two-byte prefix histogram written next to the suffix table."""
+    suffix_index(spark, sf_dir, ranked)
+    tag = hashlib.sha1(f"{sf_dir}|{NUM_SHARDS}|{ranked}".encode()).hexdigest()[:12]
+    return spark.read.parquet(SX.hist_path(stable_path(spark, f"suffix-index-{tag}")))
+
+
 SUFFIX_ROWS_SQL = f"""{heads_sql(32, "heads32")},
 keys AS (
   SELECT shard, ptr, doc_ix, head AS k FROM heads32
@@ -455,17 +470,14 @@ def suffix_table(spark, sf_dir):
     return idx.select(F.col("shard").cast("bigint").alias("shard"), "ptr", "doc_ix", F.hex("key").alias("key_hex"))
 
 
-@register("count_indexed", f"""
-SELECT q AS query, CAST(coalesce(sum(CASE WHEN contains(text, q) THEN
-         CASE q {' '.join(f"WHEN {sq(x)} THEN {overlap_sql('text', sq(x))}" for x in FIND_QUERIES)} END END), 0)
-       AS BIGINT) AS count
-FROM {values_sql(FIND_QUERIES).replace('t(query)', 't(q)')} LEFT JOIN documents ON contains(text, q) GROUP BY q""")
+@register("count_indexed", literal_counts_sql(FIND_QUERIES))
 def count_indexed(spark, sf_dir):
     idx = suffix_index(spark, sf_dir, ranked=False)
     lay = documents(spark, sf_dir).layout
     out = None
+    hist = suffix_hist(spark, sf_dir, ranked=False)
     for q in FIND_QUERIES:
-        r = SX.count_indexed(idx, lay, q)
+        r = SX.count_indexed(idx, lay, q, hist=hist)
         out = r if out is None else out.unionByName(r)
     return out
 
@@ -475,8 +487,9 @@ def find_indexed(spark, sf_dir):
     idx = suffix_index(spark, sf_dir, ranked=False)
     lay = documents(spark, sf_dir).layout
     out = None
+    hist = suffix_hist(spark, sf_dir, ranked=False)
     for q in FIND_QUERIES + ("",):
-        r = SX.find_indexed(idx, lay, q)
+        r = SX.find_indexed(idx, lay, q, hist=hist)
         out = r if out is None else out.unionByName(r)
     return out
 
@@ -678,7 +691,11 @@ SELECT doc_id, linenum FROM (
 def record_slice(spark, sf_dir):
     root = derived_sources(spark, sf_dir)
     recs = RC.read_records(spark, f"{root}/jsonl")
-    path = [r["path"] for r in recs.select("path").distinct().collect() if r["path"].startswith("source=src3/")][0]
+    # The file of folder source=src3, from the listing (file names only).
+    lst = RC.list_sources(spark, f"{root}/jsonl")
+    base = RC.common_root(lst)
+    path = [r["p"] for r in lst.select(RC.relative_path(F.col("path"), base).alias("p")).collect()
+            if r["p"].startswith("source=src3/")][0]
     sl = RC.record_slice(recs, path, 10, 30)
     return sl.select(F.get_json_object("fields", "$.doc_id").cast("bigint").alias("doc_id"), "linenum")
 
@@ -858,3 +875,7 @@ def count_batch_terms(spark, sf_dir):
     from pyspark.sql import Window
     q = t.select(F.row_number().over(Window.orderBy("query")).cast("bigint").alias("qid"), "query")
     return documents(spark, sf_dir).count_batch(q)
+
+
+# Oracle SQL that needs the hex building blocks defined above.
+SQL["count_overlapping"] = literal_counts_sql(OVERLAP_QUERIES)

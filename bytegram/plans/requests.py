@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..constants import DEFAULT_MAX_CTX_LEN, DEFAULT_MAX_RESULTS, QUERY_TYPES, SUFFIX_KEY_BYTES
 from ..functions.bytes import utf8
-from ..operators import count as C
 from ..operators import retrieve as RT
 from ..operators import suffix as SX
 from ..operators.find import terminated_bytes
 
 
+BROADCAST_REQUESTS = 1_000_000
+
+
 def validate(requests: DataFrame, index_names: list[str], num_shards: dict[str, int]) -> DataFrame:
     """Add ``error`` (NULL when the request is valid), in the order the checks apply."""
     known = F.col("index").isin(*index_names) if index_names else F.lit(False)
@@ -53,38 +55,51 @@ def search_batch(index: DataFrame, layout: DataFrame, reqs: DataFrame, k: int =
     r = (reqs.select("req_id", "query", F.coalesce("max_results", F.lit(DEFAULT_MAX_RESULTS)).alias("max_results"),
                      F.coalesce("max_ctx_len", F.lit(DEFAULT_MAX_CTX_LEN)).alias("max_ctx_len"))
          .withColumn("_qb", utf8("query")).withColumn("_n", F.octet_length("_qb")))
-    lens = sorted(x["_n"] for x in r.select("_n").distinct().collect())
+    # The request table is broadcast to the index scans only when its counted size is small.
+    bc = F.broadcast if r.count() <= BROADCAST_REQUESTS else (lambda d: d)
+    # Distinct lengths up to K bytes (at most K values) decide the prefixes to cut from the keys.
+    short_lens = sorted(x["_n"] for x in r.filter((F.col("_n") >= 1) & (F.col("_n") <= k))
+                        .select("_n").distinct().collect())
     parts = []
-    for n in lens:
-        rn = F.broadcast(r.filter(F.col("_n") == n))
-        if n == 0:
-            # The empty query matches every suffix: its first hits are the lowest ranks of each shard,
-            # generated per request and equi-joined with the index on (shard, rank).
-            shard_list = sorted(x[0] for x in index.select("shard").distinct().collect())
-            want = (rn.select("req_id", "max_results", "max_ctx_len", "_n",
-                              F.explode(F.array(*[F.lit(x) for x in shard_list])).alias("shard"),
-                              F.explode(F.sequence(F.lit(0), F.greatest(F.col("max_results") - 1, F.lit(0))))
-                              .alias("rank"))
-                    .withColumn("rank", F.col("rank").cast("bigint")))
-            h = want.join(index.select("shard", "rank", "ptr", "doc_ix"), ["shard", "rank"])
-            parts.append(h.select("req_id", "max_results", "max_ctx_len", "_n", "shard", "rank", "ptr", "doc_ix"))
-            continue
-        if n <= k:
-            h = index.join(rn, F.substring(index["key"], 1, n) == rn["_qb"])
-        else:
-            docs = layout.select("doc_ix", "data_offset", terminated_bytes(layout).alias("_bt"))
-            h = (index.join(rn, index["key"] == F.substring(rn["_qb"], 1, k)).join(docs, "doc_ix")
-                 .filter(F.expr("substring(_bt, ptr - data_offset, _n)") == F.col("_qb")))
-        parts.append(h.select("req_id", "max_results", "max_ctx_len", "_n", "shard", "rank", "ptr", "doc_ix"))
+    cols = ["req_id", "max_results", "max_ctx_len", "_n", "shard", "rank", "ptr", "doc_ix"]
+    if short_lens:
+        # One pass over the index: one row per (key, present length), equi-joined on (length, prefix).
+        per = F.array(*[F.struct(F.lit(n).alias("n"), F.substring("key", 1, n).alias("pre")) for n in short_lens])
+        pre = (index.select("shard", "rank", "ptr", "doc_ix", F.explode(per).alias("_x"))
+               .select("shard", "rank", "ptr", "doc_ix", F.col("_x.n").alias("_n"), F.col("_x.pre").alias("_qb"))
+               .filter(F.octet_length("_qb") == F.col("_n")))
+        rs = bc(r.filter((F.col("_n") >= 1) & (F.col("_n") <= k)))
+        parts.append(pre.join(rs, ["_n", "_qb"]).select(*cols))
+    if r.filter(F.col("_n") > k).limit(1).count():
+        # Longer queries: candidates share the whole K-byte key; verify the full query on the text.
+        rl = bc(r.filter(F.col("_n") > k).withColumn("key", F.substring("_qb", 1, k)))
+        docs = layout.select("doc_ix", "data_offset", terminated_bytes(layout).alias("_bt"))
+        h = (index.join(rl, "key").join(docs, "doc_ix")
+             .filter(F.expr("substring(_bt, ptr - data_offset, _n)") == F.col("_qb")))
+        parts.append(h.select(*cols))
+    if r.filter(F.col("_n") == 0).limit(1).count():
+        # The empty query matches every suffix: its first hits are the lowest ranks of each shard,
+        # generated per request and equi-joined with the index on (shard, rank).
+        shard_list = sorted(x[0] for x in index.select("shard").distinct().collect())
+        want = (r.filter(F.col("_n") == 0)
+                .select("req_id", "max_results", "max_ctx_len", "_n",
+                        F.explode(F.array(*[F.lit(x) for x in shard_list])).alias("shard"),
+                        F.explode(F.sequence(F.lit(0), F.greatest(F.col("max_results") - 1, F.lit(0)))).alias("rank"))
+                .withColumn("rank", F.col("rank").cast("bigint")))
+        parts.append(want.join(index.select("shard", "rank", "ptr", "doc_ix"), ["shard", "rank"]).select(*cols))
     if not parts:
         return None
     hits = parts[0]
     for p in parts[1:]:
         hits = hits.unionByName(p)
-    lo = hits.groupBy("req_id", "shard").agg(F.min("rank").alias("_lo"))
-    hits = hits.join(lo, ["req_id", "shard"]).withColumn("i", F.col("rank") - F.col("_lo"))
-    w = Window.partitionBy("req_id").orderBy("i", "shard")
-    top = hits.withColumn("hit", F.row_number().over(w) - 1).filter(F.col("hit") < F.col("max_results"))
+    # Hits of a query form one rank interval per shard, so its i-th hit in a shard is the i-th smallest
+    # rank there. A literal bound lets Spark plan a partial per-group top-k (window group limit) before
+    # any shuffle, so a query with billions of hits never reaches one task whole.
+    max_n = int(r.agg(F.max("max_results")).first()[0] or 0)
+    w1 = Window.partitionBy("req_id", "shard").orderBy("rank")
+    per_shard = hits.withColumn("i", F.row_number().over(w1) - 1).filter(F.col("i") < F.lit(max_n))
+    w2 = Window.partitionBy("req_id").orderBy("i", "shard")
+    top = per_shard.withColumn("hit", F.row_number().over(w2) - 1).filter(F.col("hit") < F.col("max_results"))
     out = RT.context_windows(top, layout, F.col("_n"), F.col("max_ctx_len"), keep=("req_id", "hit", "rank"))
     return out.select("req_id", F.col("hit").cast("bigint").alias("hit"), F.col("shard").cast("bigint").alias("shard"),
                       "rank", "doc_ix", "doc_len", "disp_len", "needle_offset", "metadata", "text", "error")

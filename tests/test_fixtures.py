@@ -45,6 +45,9 @@ def test_count_and_find(corpora, name, q, count, intervals):
     assert [(lo, hi) for _, lo, hi in scan] == intervals
     ind = sorted((r["shard"], r["lo"], r["hi"]) for r in SX.find_indexed(idx, lay, q).collect())
     assert ind == scan
+    hist = idx.groupBy("shard", F.substring("key", 1, 2).alias("p2")).agg(F.count(F.lit(1)).alias("cnt"))
+    ind2 = sorted((r["shard"], r["lo"], r["hi"]) for r in SX.find_indexed(idx, lay, q, hist=hist).collect())
+    assert ind2 == scan
     if q:
         many = sorted((r["shard"], r["lo"], r["hi"]) for r in FD.find_scan_many(lay, [q]).collect())
         assert many == scan
@@ -84,6 +87,9 @@ def test_highlight(spark, text, needle, spans):
     df = spark.createDataFrame([(text,)], "t string")
     got = df.select(RT.highlight_spans(F.col("t"), needle).alias("s")).first()["s"]
     assert [(x["fragment"], x["label"]) for x in got] == spans
+    rows = RT.highlight_rows(df.withColumn("k", F.lit(1)), "k", "t", needle).orderBy("span_ix").collect()
+    assert [(x["fragment"], x["label"]) for x in rows] == (spans if text or needle else [("", None)])
+    assert [x["span_ix"] for x in rows] == list(range(len(rows)))
 
 
 def test_get_doc_by_rank_separator_and_out_of_range(spark, corpora):
