@@ -512,7 +512,8 @@ FROM q JOIN r ON r.qid = q.qid AND r.tag = 0 LEFT JOIN v ON v.qid = q.qid AND v.
 def find_batch(spark, sf_dir):
     idx = suffix_index(spark, sf_dir, ranked=False)
     lay = documents(spark, sf_dir).layout
-    return SX.find_batch_indexed(idx, lay, _bench(spark, sf_dir), qid="item_id", qcol="text")
+    hist = suffix_hist(spark, sf_dir, ranked=False)
+    return SX.find_batch_bucketed(idx, hist, lay, _bench(spark, sf_dir), qid="item_id", qcol="text")
 
 
 # ---- ranked access (exact suffix order) ----------------------------------------------------------------
