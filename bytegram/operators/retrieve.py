@@ -128,7 +128,13 @@ def get_doc_by_rank(index: DataFrame, layout: DataFrame, requests: DataFrame,
                     get_metadata: bool = True) -> DataFrame:
     """Batch form: ``requests(req_id, s, rank, needle_len, max_ctx_len)`` → one hit row per request that
     names an existing rank; the row holds the document window as in :func:`context_windows`."""
-    look = requests.join(index.select(F.col("shard").alias("s"), "rank", "ptr", "doc_ix"), ["s", "rank"])
+    # The ranked index is sorted by (shard, rank): bounding the scan by the requested ranks (two scalars)
+    # lets the Parquet reader skip every row group outside them.
+    b = requests.agg(F.min("rank").alias("lo"), F.max("rank").alias("hi")).first()
+    idx = index
+    if b is not None and b["lo"] is not None:
+        idx = index.filter((F.col("rank") >= F.lit(int(b["lo"]))) & (F.col("rank") <= F.lit(int(b["hi"]))))
+    look = requests.join(idx.select(F.col("shard").alias("s"), "rank", "ptr", "doc_ix"), ["s", "rank"])
     look = look.withColumnRenamed("s", "shard")
     w = context_windows(look, layout, F.col("needle_len"), F.col("max_ctx_len"), with_metadata=get_metadata,
                         keep=("req_id", "rank", "needle_len", "max_ctx_len"))
