@@ -35,6 +35,10 @@ def _shingles(tokens: Column, k: int, hashed: bool) -> Column:
     return F.array_distinct(F.transform(starts, one))
 
 
+def _with_length(shingles: Column, k: int) -> Column:
+    return F.transform(shingles, lambda s: F.struct(F.lit(k).alias("k"), s.alias("shingle")))
+
+
 def _bounded(df: DataFrame) -> DataFrame:
     """``df`` with a broadcast hint if it is counted to be small."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
@@ -70,8 +74,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, contai
     found = written(found.join(_bounded(sketches), "h").select("id", "text_hash", "item_id").distinct(), "leaks")
     some = docs.join(found.select("id", "text_hash").distinct(), ["id", "text_hash"], "left_semi")
     some = some.select("id", "text_hash", "doc_id", words(F.col("text")).alias("words"))
-    texts = [F.transform(_shingles(F.col("words"), k, False), lambda s, k=k: F.struct(F.lit(k).alias("k"), s.alias("shingle")))
-             for k in ks]
+    texts = [_with_length(_shingles(F.col("words"), k, False), k) for k in ks]
     exact = some.select("id", "text_hash", "doc_id", F.explode(F.concat(*texts)).alias("s")).select(
         "id", "text_hash", "doc_id", "s.k", "s.shingle")
     exact = exact.join(_bounded(pieces.select("item_id", "k", "shingle")), ["k", "shingle"])
