@@ -1,6 +1,7 @@
 """Written tables in the shared folder, and helpers that several operators need."""
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Sequence
 
@@ -32,12 +33,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def dropped(df: DataFrame) -> None:
-    """Delete the files of a table made by ``written`` that nothing reads any more."""
+    """Delete the files of a table made by ``written`` that nothing reads any more, and release what led to them.
+
+    Spark deletes the shuffle files of finished steps when the driver's garbage collector finds them unused.
+    """
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 def only(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -11,8 +11,9 @@ the same pass. The marked names give candidates; an exact check follows:
 
 * An entry's text is the union of all windows that share its gram. Entries of one name with equal texts (a class, 128
   bits with the name) prove each other repeated as a whole.
-* If classes of a name differ (at the edges of a passage), one entry of each class lists its windows by fingerprint;
-  windows that two classes share are repeated.
+* If classes of a name differ (at the edges of a passage), one entry of each class is looked into: first by strings that
+  all windows of a quarter of it hold, then, where two classes share such a string, window by window. Windows that two
+  classes share are repeated.
 
 No pairs are made: copies only add to counts. Matches never cross documents. Null texts are empty and stay as they are,
 repeated rows are copies of each other, null ids are allowed, an empty table gives an empty result.
@@ -23,7 +24,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,18 +43,16 @@ def _mix(x: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints of the 8-byte and the 64-byte strings that start at each place."""
-    h, short = _BYTE[data], None
+def _grams(data: np.ndarray) -> np.ndarray:
+    """Fingerprints of the 64-byte strings that start at each place."""
+    h = _BYTE[data]
     for k in range(6):
         step = 1 << k
         h = _mix(h[:-step], k) + h[step:]
-        if k == 2:
-            short = h
-    return short, h
+    return h
 
 
-def _window(short: np.ndarray, gram: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+def _window(gram: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     """Fingerprints of the ``length``-byte strings at these places: 64-byte grams, the last one shifted to the end."""
     out = gram[at]
     for k, step in enumerate([*range(GRAM, length - GRAM, GRAM), length - GRAM]):
@@ -84,7 +82,7 @@ def entries(pieces: list[tuple[int, int, bytes]], length: int) -> tuple[np.ndarr
     sizes = np.array([len(p[2]) for p in pieces], dtype=np.int64)
     begins = np.cumsum(sizes) - sizes
     data = np.frombuffer(b"".join(p[2] for p in pieces), np.uint8)
-    short, gram = _grams(data)
+    gram = _grams(data)
     anchor = _slide(gram, length - GRAM + 1)
     valid = np.zeros(len(anchor), dtype=bool)
     for b, n in zip(begins.tolist(), sizes.tolist()):
@@ -96,7 +94,7 @@ def entries(pieces: list[tuple[int, int, bytes]], length: int) -> tuple[np.ndarr
     low = at[first]
     high = at[np.concatenate([first[1:], [True]])] if len(at) else low
     name, span = gram[own[first]], high - low
-    cls = _mix(_mix(_window(short, gram, low, length), 40) + _window(short, gram, high, length), 41) + span.astype(np.uint64)
+    cls = _mix(_mix(_window(gram, low, length), 40) + _window(gram, high, length), 41) + span.astype(np.uint64)
     piece = np.searchsorted(begins, low, side="right") - 1
     rows, offsets = (np.array([p[k] for p in pieces], dtype=np.int64) for k in (0, 1))
     return rows[piece], low - begins[piece] + offsets[piece], span, name.view(np.int64), cls.view(np.int64)
@@ -155,15 +153,17 @@ class LevelFamily:
         rank = 0
         while rank in self.levels:
             rank += 1
-        no, yes, one = F.lit(False), F.lit(True), F.lit(1).cast("long")
-        rows = names.select("name", one.alias("n"), no.alias("merged"), no.alias("older"), no.alias("again"))
+        # one sum per name: occurrences in the batch, then 7 bits each for levels that merge, that stay, that marked it
+        merges, stays, marked = (1 << 40), (1 << 47), (1 << 54)
+        rows = names.select("name", F.lit(1).cast("long").alias("tag"))
         for k, level in self.levels.items():
-            rows = rows.unionByName(level.select("name", (one - 1).alias("n"), F.lit(k < rank).alias("merged"),
-                                                 yes.alias("older"), "again"))
-        met = rows.groupBy("name").agg(F.sum("n").alias("n"), F.max("merged").alias("merged"),
-                                       F.max("older").alias("older"), F.max("again").alias("again"))
-        level = met.filter("n > 0 OR merged").select(
-            "name", (F.col("again") | (F.col("n") > 1) | ((F.col("n") > 0) & F.col("older"))).alias("again"))
+            tag = F.lit(merges if k < rank else stays) + F.when(F.col("again"), F.lit(marked)).otherwise(F.lit(0))
+            rows = rows.unionByName(level.select("name", tag.cast("long").alias("tag")))
+        met = rows.groupBy("name").agg(F.sum("tag").alias("tag"))
+        n = F.col("tag").bitwiseAND(F.lit(merges - 1))
+        older = F.shiftright("tag", 40) > 0
+        level = met.filter((n > 0) | (F.shiftright("tag", 40).bitwiseAND(F.lit(127)) > 0)).select(
+            "name", ((F.col("tag") >= marked) | (n > 1) | ((n > 0) & older)).alias("again"))
         level = written(level.sortWithinPartitions("name"), "level")
         for k in range(rank):
             dropped(self.levels.pop(k))
@@ -216,90 +216,123 @@ def remove_repeats(docs: DataFrame, length: int = 200, batches: int = 4, with_te
     mixed = classes.groupBy("name").agg(F.count("*").alias("k")).filter("k > 1").select("name")
     split = written(classes.join(mixed, "name", "left_semi"), "classes")  # one entry of each class, where they differ
     whole = some.join(classes.filter("n > 1").select("name", "cls"), ["name", "cls"], "left_semi")
-    # per text: repeated runs of windows, and runs whose windows are to be listed
-    spans = whole.select("id", "hash", "low", "span", F.lit(None).cast("long").alias("name"), F.lit(0).alias("alone")).unionByName(
-        split.select("one.id", "one.hash", "one.low", "one.span", "name", (F.col("n") == 1).cast("int").alias("alone")))
-    spans = spans.groupBy("id", "hash").agg(*[F.collect_list(F.struct("low", "span", F.coalesce("name", F.lit(0)).alias("name"),
-                                                                      F.col("name").isNotNull().alias("listed"), "alone")).alias("runs")])
+    # per text: repeated runs of windows, and runs that have to be looked into
+    spans = whole.select("id", "hash", F.struct("low", F.col("span").cast("long").alias("span"), F.lit(None).cast("long").alias("name"),
+                                                F.lit(False).alias("alone")).alias("run"))
+    spans = spans.unionByName(split.select("one.id", "one.hash", F.struct(
+        "one.low", F.col("one.span").cast("long").alias("span"), "name", (F.col("n") == 1).alias("alone")).alias("run")))
+    first = written(_pass(_keyed(docs), spans, length, "parts", with_text), "texts")
+    for table in (some, classes, split):
+        dropped(table)
+    second = written(_pass(first, _shared(first), length, "windows", with_text), "texts")
+    third = _pass(second, _shared(second).filter("run.alone"), length, None, with_text)
+    columns = ["doc_id", "text_hash", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
+    ready = first.filter("text IS NULL").unionByName(second.filter("text IS NULL")).unionByName(third)
+    return ready.withColumnRenamed("hash", "text_hash").select(*columns)
+
+
+def _shared(texts: DataFrame) -> DataFrame:
+    """``id, hash, run`` of the found strings that two classes of a name share."""
+    found = texts.filter("text IS NOT NULL").select("id", "hash", F.explode("found").alias("x")).select("id", "hash", "x.*")
+    twice = found.groupBy("name", "w").agg(F.count("*").alias("n")).filter("n > 1").select("name", "w")
+    return found.join(twice, ["name", "w"], "left_semi").select(
+        "id", "hash", F.struct("low", "span", "name", "alone").alias("run"))
 
-    done = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
-    def finish(text: bytes, lows: np.ndarray, highs: np.ndarray) -> tuple:
+_FOUND = "array<struct<name:long,w:long,low:long,span:long,alone:boolean>>"
+_TEXTS = ("id long, hash long, doc_id long, text binary, lows array<long>, highs array<long>, found " + _FOUND
+          + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+
+
+def _pass(texts: DataFrame, runs: DataFrame, length: int, look_for: str | None, with_text: bool) -> DataFrame:
+    """Meet each text with its runs, and finish it unless runs are to be looked into.
+
+    Runs with a name are looked into for ``look_for``: "parts" (strings that all windows of a quarter of the run hold)
+    or "windows"; without ``look_for`` all runs are repeated. What was found goes on with the text.
+    """
+    runs = runs.groupBy("id", "hash").agg(F.collect_list("run").alias("runs"))  # at most as many as the text has places
+    carried = [c for c in ("lows", "highs") if c in texts.columns]
+    if carried:
+        texts = texts.filter("text IS NOT NULL")
+    texts = texts.select("id", "hash", "doc_id", "text", *carried).join(runs, ["id", "hash"], "left")
+    texts = texts.select("id", "hash", "doc_id", "text", "runs", *carried)
+    shape = pa.struct([("name", pa.int64()), ("w", pa.int64()), ("low", pa.int64()), ("span", pa.int64()), ("alone", pa.bool_())])
+    longs = pa.list_(pa.int64())
+    schema = pa.schema([("id", pa.int64()), ("hash", pa.int64()), ("doc_id", pa.int64()), ("text", pa.binary()),
+                        ("lows", longs), ("highs", longs), ("found", pa.list_(shape)), ("n_bytes", pa.int64()),
+                        ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
+    none = np.zeros(0, np.int64)
+
+    def one(row: pa.RecordBatch, i: int) -> tuple:
+        id_, hash_, doc_id, text = (row.column(c)[i].as_py() for c in range(4))
+        lows, highs = (row.column(c)[i].values.to_numpy() for c in (5, 6)) if carried else (none, none)
+        runs = row.column(4)[i].values
+        if runs is not None:
+            low, span, name, alone = (runs.field(k) for k in range(4))
+            known = name.is_null().to_numpy(zero_copy_only=False) if look_for else np.ones(len(name), bool)
+            low, span = low.to_numpy(), span.to_numpy()
+            lows, highs = np.concatenate([lows, low[known]]), np.concatenate([highs, (low + span)[known]])
+            if not known.all():
+                name, alone = name.fill_null(0).to_numpy(), alone.to_numpy(zero_copy_only=False)
+                found = _listed(text, *(x[~known] for x in (low, span, name, alone)), length, look_for)
+                return id_, hash_, doc_id, text, lows, highs, found, None, None, None, None, None
         begins, ends = _cover(len(text), lows, highs, length)
         kept = _kept(text, begins, ends)
-        return (len(text), int((ends - begins).sum()), len(begins), hashlib.sha256(kept).hexdigest(),
-                kept if with_text else None)
+        return (id_, hash_, doc_id, None, None, None, None, len(text), int((ends - begins).sum()), len(begins),
+                hashlib.sha256(kept).hexdigest(), kept if with_text else None)
 
-    shape = pa.struct([("name", pa.int64()), ("w", pa.int64()), ("low", pa.int64()), ("alone", pa.bool_())])
-    first_schema = pa.schema([("id", pa.int64()), ("hash", pa.int64()), ("doc_id", pa.int64()), ("text", pa.binary()),
-                              ("lows", pa.list_(pa.int64())), ("highs", pa.list_(pa.int64())), ("windows", pa.list_(shape)),
-                              ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
-                              ("kept_sha256", pa.string()), ("kept", pa.binary())])
-
-    def first_pass(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Texts without listed runs are finished; the others go on with their windows' fingerprints."""
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             for at in range(0, batch.num_rows, 256):
-                out = []
                 part = batch.slice(at, 256)
-                for i in range(part.num_rows):
-                    id_, hash_, doc_id, text = (part.column(c)[i].as_py() for c in range(4))
-                    runs = part.column(4)[i].values
-                    if runs is None:
-                        none = np.zeros(0, np.int64)
-                        out.append((id_, hash_, doc_id, None, None, None, None, *finish(text, none, none)))
-                        continue
-                    low, span, name, listed, alone = (runs.field(k).to_numpy(zero_copy_only=False) for k in range(5))
-                    lows, highs = low[~listed], (low + span)[~listed]
-                    if not listed.any():
-                        out.append((id_, hash_, doc_id, None, None, None, None, *finish(text, lows, highs)))
-                        continue
-                    out.append((id_, hash_, doc_id, text, lows, highs,
-                                _listed(text, low[listed], span[listed], name[listed], alone[listed], length),
-                                None, None, None, None, None))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), first_schema)],
-                                                 schema=first_schema)
-
-    texts = _keyed(docs).join(spans, ["id", "hash"], "left").select("id", "hash", "doc_id", "text", "runs")
-    middle = written(texts.mapInArrow(
-        first_pass, "id long, hash long, doc_id long, text binary, lows array<long>, highs array<long>, "
-                    "windows array<struct<name:long,w:long,low:long,alone:boolean>>, " + done), "middle")
-    for table in (some, classes, split):
-        dropped(table)
-    open_ = middle.filter("text IS NOT NULL")
-    listed = open_.select("id", "hash", F.explode("windows").alias("x")).select("id", "hash", "x.*")
-    twice = listed.groupBy("name", "w").agg(F.count("*").alias("n")).filter("n > 1").select("name", "w")
-    hits = (listed.filter("alone").join(twice, ["name", "w"], "left_semi")
-            .groupBy("id", "hash").agg(F.collect_list("low").alias("hits")))
-
-    def second_pass(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in stream:
-            out = []
-            for r in part.itertuples():
-                more = np.array([] if r.hits is None else r.hits, dtype=np.int64)
-                lows, highs = (np.concatenate([np.asarray(x, dtype=np.int64), more]) for x in (r.lows, r.highs))
-                out.append((r.doc_id, r.hash, *finish(r.text, lows, highs)))
-            yield pd.DataFrame(out, columns=["doc_id", "text_hash", *(x.split()[0] for x in done.split(", "))]).astype(
-                {"doc_id": "Int64"})
-
-    last = (open_.select("id", "hash", "doc_id", "text", "lows", "highs").join(hits, ["id", "hash"], "left")
-            .drop("id").mapInPandas(second_pass, "doc_id long, text_hash long, " + done))
-    columns = ["doc_id", "text_hash", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
-    ready = middle.filter("text IS NULL").withColumnRenamed("hash", "text_hash")
-    return ready.select(*columns).unionByName(last.select(*columns))
+                out = zip(*(one(part, i) for i in range(part.num_rows)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
+
+    return texts.mapInArrow(run, _TEXTS)
 
 
-def _listed(text: bytes, low: np.ndarray, span: np.ndarray, name: np.ndarray, alone: np.ndarray, length: int) -> list:
-    """``name, w, low, alone`` of every window of these runs."""
-    parts = [text[a:a + s + length] for a, s in zip(low.tolist(), span.tolist())]
+def _listed(text: bytes, low: np.ndarray, span: np.ndarray, name: np.ndarray, alone: np.ndarray, length: int,
+            look_for: str) -> list[dict]:
+    """``name, w, low, span, alone`` of each window of these runs, or of each part of a run.
+
+    Around the gram of a run, a window reaches ``a`` bytes to the left, 0 to ``length - 64``. Windows are parted by
+    ``a`` into quarters; all windows of a quarter hold one string of ``length`` minus a quarter, which ``w`` names.
+    """
     out = []
-    for at in range(0, len(parts), 1024):
-        some = parts[at:at + 1024]
-        n = span[at:at + 1024].astype(np.int64) + 1
-        short, gram = _grams(np.frombuffer(b"".join(some), np.uint8))
-        begins = np.cumsum([len(p) for p in some]) - np.array([len(p) for p in some])
-        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        w = _window(short, gram, np.repeat(begins, n) + inner, length).view(np.int64)
-        out.extend(zip(np.repeat(name[at:at + 1024], n).tolist(), w.tolist(),
-                       (np.repeat(low[at:at + 1024], n) + inner).tolist(), np.repeat(alone[at:at + 1024] > 0, n).tolist()))
-    return [dict(zip(("name", "w", "low", "alone"), x)) for x in out]
+    for at in range(0, len(low), 1024):
+        some = [text[a:a + s + length] for a, s in zip(low[at:at + 1024].tolist(), span[at:at + 1024].tolist())]
+        where, size = low[at:at + 1024], span[at:at + 1024]
+        labels, single = name[at:at + 1024], alone[at:at + 1024]
+        lengths = np.array([len(p) for p in some])
+        begins = np.cumsum(lengths) - lengths
+        gram = _grams(np.frombuffer(b"".join(some), np.uint8))
+        if look_for == "windows":
+            n = size + 1
+            run = np.repeat(np.arange(len(some)), n)
+            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            w = _window(gram, begins[run] + inner, length)
+            first, count = where[run] + inner, np.zeros(len(run), np.int64)
+        else:
+            reach = length - GRAM
+            step = reach // 4
+            runs, firsts, counts, strings = [], [], [], []
+            for r, b in enumerate(begins.tolist()):
+                here = gram[b:b + reach + 1].view(np.int64)
+                place = int(np.flatnonzero(here == labels[r])[0])  # of the gram, counted from the first window
+                upper = place
+                for j in range(5):
+                    left = min(j * step, reach - step)
+                    a, z = max(0, place - left - step), min(int(size[r]), upper)
+                    if a <= z and upper >= a:
+                        runs.append(r)
+                        firsts.append(a)
+                        counts.append(z - a)
+                        strings.append(b + place - left)
+                        upper = a - 1
+                    elif place - left - step <= upper:
+                        upper = min(upper, place - left - step - 1)
+            run, first, count = (np.array(x, dtype=np.int64) for x in (runs, firsts, counts))
+            w = _window(gram, np.array(strings, dtype=np.int64), length - step)
+            first = first + where[run]
+        out.extend(zip(labels[run].tolist(), w.view(np.int64).tolist(), first.tolist(), count.tolist(), single[run].tolist()))
+    return [dict(zip(("name", "w", "low", "span", "alone"), x)) for x in out]
