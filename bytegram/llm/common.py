@@ -24,26 +24,37 @@ def shared(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of ``df``, written once to the shared folder: later readers survive lost executors."""
+def written(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    """The rows of ``df``, written once to the shared folder: later readers survive lost executors.
+
+    ``batch_rows`` sets how many rows Python functions in ``df`` get at a time, where rows are long.
+    """
     spark = df.sparkSession
-    path = shared(spark, name)
-    df.write.parquet(path)
+    path, key = shared(spark, name), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if batch_rows:
+        spark.conf.set(key, batch_rows)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete the files of a table made by ``written`` that nothing reads any more, and release what led to them.
-
-    Spark deletes the shuffle files of finished steps when the driver's garbage collector finds them unused.
-    """
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def released(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps, as it does when the driver's garbage is collected."""
     gc.collect()
-    jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete the files of tables made by ``written`` that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        jvm = spark.sparkContext._jvm
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def only(df: DataFrame, columns: Sequence[str]) -> DataFrame:

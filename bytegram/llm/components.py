@@ -31,8 +31,7 @@ def components(links: DataFrame) -> DataFrame:
                  .unionByName(large.groupBy("a").agg(F.min("b").alias("b"))).distinct())
         stars = written(stars, "links")
         state = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        dropped(edges)
-        dropped(large)
+        dropped(edges, large)
         edges = stars
         if state == seen:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(

@@ -21,19 +21,22 @@ repeated rows are copies of each other, null ids are allowed, an empty table giv
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytegram.llm.common import dropped, shared, written
+from bytegram.llm.common import dropped, released, shared, written
 
 GRAM = 64
 #: Windows that are looked at together; longer texts are taken in pieces.
 TOGETHER = 1 << 19
+#: Texts that a Python worker gets at a time.
+BATCH_ROWS = 1000
 _PLACE = 22  # bits of a place inside such a piece
+_SPAN = 17  # bits of a span, behind the place of a run's first window
 _RANDOM = np.random.default_rng(20240229).integers(1, 2**63, 300, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE, _STEP = _RANDOM[:256], _RANDOM[256:]
 
@@ -113,31 +116,28 @@ def _pieces(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, by
         yield held
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``id, hash`` name a text (repeated rows share a name, and so their removals), with its bytes."""
+def _keyed(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """``id, hash`` name a text (repeated rows share a name, and so their removals), with its bytes and ``row``."""
     text = F.coalesce(F.col("text").cast("string").cast("binary"), F.lit(b""))
+    row = F.struct(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).alias(f"_{c}") for c in carry])
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"),
-                       F.xxhash64("text").alias("hash"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+                       F.xxhash64("text").alias("hash"), text.alias("text"), row.alias("row"))
 
 
 def all_entries(docs: DataFrame, length: int, batches: int) -> DataFrame:
-    """The entries of all texts, written with a ``batch`` each."""
+    """The entries of all texts, written with a ``batch`` each: ``id, hash, place, name, cls``."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             ids, hashes = (batch.column(c).to_numpy() for c in (0, 1))
             for some in _pieces([t.as_py() for t in batch.column(2)], length):
                 row, low, span, name, cls = entries(some, length)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[row], hashes[row], low, span.astype(np.int32),
-                                                                        name, cls)],
-                                                 names=["id", "hash", "low", "span", "name", "cls"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[row], hashes[row], (low << _SPAN) | span, name, cls)],
+                                                 names=["id", "hash", "place", "name", "cls"])
 
-    found = _keyed(docs).select("id", "hash", "text").mapInArrow(
-        run, "id long, hash long, low long, span int, name long, cls long")
-    found = found.withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int"))
-    path = shared(docs.sparkSession, "entries")
-    found.write.partitionBy("batch").parquet(path)
-    return docs.sparkSession.read.schema(found.schema).parquet(path)
+    found = _keyed(docs).select("id", "hash", "text").mapInArrow(run, "id long, hash long, place long, name long, cls long")
+    batch = F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int")
+    return written(found.withColumn("batch", batch), "entries", BATCH_ROWS)
 
 
 class LevelFamily:
@@ -165,8 +165,7 @@ class LevelFamily:
         level = met.filter((n > 0) | (F.shiftright("tag", 40).bitwiseAND(F.lit(127)) > 0)).select(
             "name", ((F.col("tag") >= marked) | (n > 1) | ((n > 0) & older)).alias("again"))
         level = written(level.sortWithinPartitions("name"), "level")
-        for k in range(rank):
-            dropped(self.levels.pop(k))
+        dropped(*[self.levels.pop(k) for k in range(rank)])
         self.levels[rank] = level
 
     def repeated(self) -> DataFrame:
@@ -178,8 +177,7 @@ class LevelFamily:
         return out
 
     def drop(self) -> None:
-        for level in self.levels.values():
-            dropped(level)
+        dropped(*self.levels.values())
 
 
 def _cover(n: int, lows: np.ndarray, highs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -196,39 +194,49 @@ def _kept(text: bytes, begins: np.ndarray, ends: np.ndarray) -> bytes:
     return b"".join(text[a:b] for a, b in cuts) if len(begins) else text
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, batches: int = 4, with_text: bool = False) -> DataFrame:
-    """``doc_id, text_hash, n_bytes, n_removed, n_spans, kept_sha256`` of each row, and with ``with_text`` its ``kept`` bytes.
+def remove_repeats(docs: DataFrame, length: int = 200, batches: int = 4, with_text: bool = False,
+                   carry: Sequence[str] = ()) -> DataFrame:
+    """``doc_id, text_hash, n_bytes, n_removed, n_spans, kept_sha256`` of each row.
 
-    Every byte is removed that lies in a string of ``length`` bytes that also starts elsewhere in the input.
+    Every byte is removed that lies in a string of ``length`` bytes that also starts elsewhere in the input. With
+    ``with_text``, ``kept`` is the text that is left (parts of cut characters go as well); ``carry`` are further columns
+    of ``docs`` to return.
     """
     if not 2 * GRAM <= length <= 1 << 16:
         raise ValueError(f"length must be {2 * GRAM} to {1 << 16} bytes")
+    spark = docs.sparkSession
     found = all_entries(docs, length, batches)
     family = LevelFamily()
     for b in range(batches):
         family.add(found.filter(F.col("batch") == b).select("name"))
+        released(spark)
     some = written(found.join(family.repeated().distinct(), "name", "left_semi").drop("batch"), "candidates")
     family.drop()
     dropped(found)
+    released(spark)
 
-    classes = some.groupBy("name", "cls").agg(F.count("*").alias("n"), F.min(F.struct("id", "hash", "low", "span")).alias("one"))
-    classes = written(classes, "classes")
+    classes = written(some.groupBy("name", "cls").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("id", "hash", "place")]),
+                      "classes")
     mixed = classes.groupBy("name").agg(F.count("*").alias("k")).filter("k > 1").select("name")
-    split = written(classes.join(mixed, "name", "left_semi"), "classes")  # one entry of each class, where they differ
+    split = classes.join(mixed, "name", "left_semi")  # one entry of each class, where classes of a name differ
     whole = some.join(classes.filter("n > 1").select("name", "cls"), ["name", "cls"], "left_semi")
     # per text: repeated runs of windows, and runs that have to be looked into
-    spans = whole.select("id", "hash", F.struct("low", F.col("span").cast("long").alias("span"), F.lit(None).cast("long").alias("name"),
-                                                F.lit(False).alias("alone")).alias("run"))
-    spans = spans.unionByName(split.select("one.id", "one.hash", F.struct(
-        "one.low", F.col("one.span").cast("long").alias("span"), "name", (F.col("n") == 1).alias("alone")).alias("run")))
-    first = written(_pass(_keyed(docs), spans, length, "parts", with_text), "texts")
-    for table in (some, classes, split):
-        dropped(table)
-    second = written(_pass(first, _shared(first), length, "windows", with_text), "texts")
-    third = _pass(second, _shared(second).filter("run.alone"), length, None, with_text)
-    columns = ["doc_id", "text_hash", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
+    low, span = F.shiftright("place", _SPAN), F.col("place").bitwiseAND(F.lit((1 << _SPAN) - 1))
+    runs = whole.select("id", "hash", F.struct(low.alias("low"), span.alias("span"), F.lit(None).cast("long").alias("name"),
+                                               F.lit(False).alias("alone")).alias("run"))
+    runs = runs.unionByName(split.select("id", "hash", F.struct(low.alias("low"), span.alias("span"), "name",
+                                                                (F.col("n") == 1).alias("alone")).alias("run")))
+    first = written(_pass(_keyed(docs, carry), runs, length, "parts", with_text), "texts", BATCH_ROWS)
+    dropped(some, classes)
+    released(spark)
+    second = written(_pass(first, _shared(first), length, "windows", with_text), "texts", BATCH_ROWS)
+    released(spark)
+    third = written(_pass(second, _shared(second).filter("run.alone"), length, None, with_text), "texts", BATCH_ROWS)
+    released(spark)
+    columns = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    columns += [F.col("kept").cast("string").alias("kept")] * with_text + [F.col(f"row._{c}").alias(c) for c in carry]
     ready = first.filter("text IS NULL").unionByName(second.filter("text IS NULL")).unionByName(third)
-    return ready.withColumnRenamed("hash", "text_hash").select(*columns)
+    return ready.select("row.doc_id", F.col("hash").alias("text_hash"), *columns)
 
 
 def _shared(texts: DataFrame) -> DataFrame:
@@ -240,8 +248,8 @@ def _shared(texts: DataFrame) -> DataFrame:
 
 
 _FOUND = "array<struct<name:long,w:long,low:long,span:long,alone:boolean>>"
-_TEXTS = ("id long, hash long, doc_id long, text binary, lows array<long>, highs array<long>, found " + _FOUND
-          + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+_MADE = (f"text binary, lows array<long>, highs array<long>, found {_FOUND}, n_bytes long, n_removed long, n_spans long, "
+         "kept_sha256 string, kept binary")
 
 
 def _pass(texts: DataFrame, runs: DataFrame, length: int, look_for: str | None, with_text: bool) -> DataFrame:
@@ -254,19 +262,18 @@ def _pass(texts: DataFrame, runs: DataFrame, length: int, look_for: str | None,
     carried = [c for c in ("lows", "highs") if c in texts.columns]
     if carried:
         texts = texts.filter("text IS NOT NULL")
-    texts = texts.select("id", "hash", "doc_id", "text", *carried).join(runs, ["id", "hash"], "left")
-    texts = texts.select("id", "hash", "doc_id", "text", "runs", *carried)
+    texts = texts.select("id", "hash", "row", "text", *carried).join(runs, ["id", "hash"], "left")
+    texts = texts.select("id", "hash", "row", "text", "runs", *carried)
     shape = pa.struct([("name", pa.int64()), ("w", pa.int64()), ("low", pa.int64()), ("span", pa.int64()), ("alone", pa.bool_())])
-    longs = pa.list_(pa.int64())
-    schema = pa.schema([("id", pa.int64()), ("hash", pa.int64()), ("doc_id", pa.int64()), ("text", pa.binary()),
-                        ("lows", longs), ("highs", longs), ("found", pa.list_(shape)), ("n_bytes", pa.int64()),
-                        ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
+    longs, count = pa.list_(pa.int64()), pa.int64()
+    made = [("text", pa.binary()), ("lows", longs), ("highs", longs), ("found", pa.list_(shape)), ("n_bytes", count),
+            ("n_removed", count), ("n_spans", count), ("kept_sha256", pa.string()), ("kept", pa.binary())]
     none = np.zeros(0, np.int64)
 
-    def one(row: pa.RecordBatch, i: int) -> tuple:
-        id_, hash_, doc_id, text = (row.column(c)[i].as_py() for c in range(4))
-        lows, highs = (row.column(c)[i].values.to_numpy() for c in (5, 6)) if carried else (none, none)
-        runs = row.column(4)[i].values
+    def one(rows: pa.RecordBatch, i: int) -> tuple:
+        text = rows.column(3)[i].as_py()
+        lows, highs = (rows.column(c)[i].values.to_numpy() for c in (5, 6)) if carried else (none, none)
+        runs = rows.column(4)[i].values
         if runs is not None:
             low, span, name, alone = (runs.field(k) for k in range(4))
             known = name.is_null().to_numpy(zero_copy_only=False) if look_for else np.ones(len(name), bool)
@@ -275,20 +282,23 @@ def _pass(texts: DataFrame, runs: DataFrame, length: int, look_for: str | None,
             if not known.all():
                 name, alone = name.fill_null(0).to_numpy(), alone.to_numpy(zero_copy_only=False)
                 found = _listed(text, *(x[~known] for x in (low, span, name, alone)), length, look_for)
-                return id_, hash_, doc_id, text, lows, highs, found, None, None, None, None, None
+                return text, lows, highs, found, None, None, None, None, None
         begins, ends = _cover(len(text), lows, highs, length)
         kept = _kept(text, begins, ends)
-        return (id_, hash_, doc_id, None, None, None, None, len(text), int((ends - begins).sum()), len(begins),
-                hashlib.sha256(kept).hexdigest(), kept if with_text else None)
+        whole = kept.decode("utf-8", "ignore").encode() if with_text and len(begins) else kept
+        return (None, None, None, None, len(text), int((ends - begins).sum()), len(begins), hashlib.sha256(kept).hexdigest(),
+                whole if with_text else None)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 out = zip(*(one(part, i) for i in range(part.num_rows)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in range(3)), *(pa.array(c, t) for c, (_, t) in zip(out, made))],
+                                                 names=["id", "hash", "row", *(n for n, _ in made)])
 
-    return texts.mapInArrow(run, _TEXTS)
+    row = texts.schema["row"].dataType.simpleString()
+    return texts.mapInArrow(run, f"id long, hash long, row {row}, {_MADE}")
 
 
 def _listed(text: bytes, low: np.ndarray, span: np.ndarray, name: np.ndarray, alone: np.ndarray, length: int,

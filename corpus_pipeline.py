@@ -34,15 +34,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def repeated_text_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the bytes of strings of 200 bytes that also start elsewhere; cut characters go whole."""
-    docs = only(docs, COLUMNS)
-    left = suffix_dedup.remove_repeats(docs, length=200, with_text=True).select(
-        "doc_id", "text_hash", "n_removed", F.col("kept").alias("bytes")).dropDuplicates(["doc_id", "text_hash"])
-    text = F.when(left["n_removed"] == 0, docs["text"]).otherwise(
-        F.regexp_replace(F.make_valid_utf8(left["bytes"].cast("string")), "�", ""))
-    out = docs.join(left, _same_row(docs, left), "left")
-    return out.select(docs["doc_id"], text.alias("text"), "lang", "source",
-                      F.coalesce(F.length(text), F.lit(0)).cast("long").alias("n_chars"))
+    """All documents, without the bytes of strings of 200 bytes that also start elsewhere; parts of cut characters go."""
+    left = suffix_dedup.remove_repeats(only(docs, COLUMNS), length=200, with_text=True, carry=("lang", "source"))
+    return left.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
