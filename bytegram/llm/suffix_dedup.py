@@ -217,7 +217,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, batches: int = 4, with_te
 
     classes = written(some.groupBy("name", "cls").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("id", "hash", "place")]),
                       "classes")
-    mixed = classes.groupBy("name").agg(F.count("*").alias("k")).filter("k > 1").select("name")
+    # written, so that the joins on a name with very many classes can be split
+    mixed = written(classes.groupBy("name").agg(F.count("*").alias("k")).filter("k > 1").select("name"), "mixed")
     split = classes.join(mixed, "name", "left_semi")  # one entry of each class, where classes of a name differ
     whole = some.join(classes.filter("n > 1").select("name", "cls"), ["name", "cls"], "left_semi")
     # per text: repeated runs of windows, and runs that have to be looked into
@@ -227,7 +228,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, batches: int = 4, with_te
     runs = runs.unionByName(split.select("id", "hash", F.struct(low.alias("low"), span.alias("span"), "name",
                                                                 (F.col("n") == 1).alias("alone")).alias("run")))
     first = written(_pass(_keyed(docs, carry), runs, length, "parts", with_text), "texts", BATCH_ROWS)
-    dropped(some, classes)
+    dropped(some, classes, mixed)
     released(spark)
     second = written(_pass(first, _shared(first), length, "windows", with_text), "texts", BATCH_ROWS)
     released(spark)
