@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 
 from bytegram.llm.common import fold
 
-WIDTH, MAX_ROWS, MAX_LANGUAGES = 2048, 6000, 200
-#: A document is taken as it is and as this many runs of its words, so that short texts are learned as well.
-PARTS, PART_BYTES = 2, 80
+WIDTH, MAX_ROWS, MAX_LANGUAGES = 2048, 3000, 200
+#: A document is taken as it is and as this many short runs of its words, so that short texts are learned as well.
+PARTS, PART_BYTES = 1, 80
 
 _FOLDED = np.full(256, 32, dtype=np.uint32)
 _FOLDED[97:123] = _FOLDED[65:91] = np.arange(97, 123)
@@ -150,8 +150,12 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS, max_languages: int = MAX_LANG
     if not rows:
         return None
     rows.sort(key=lambda r: (r["lang"], bytes(r["x"])))
-    x = np.frombuffer(b"".join(bytes(r["x"]) for r in rows), np.float32).reshape(-1, WIDTH)
-    return FamilyModel().fit(x, np.array([r["lang"] for r in rows], dtype=object))
+    x = np.empty((len(rows), WIDTH), dtype=np.float32)
+    for i, r in enumerate(rows):
+        x[i] = np.frombuffer(bytes(r["x"]), np.float32)
+    lang = np.array([r["lang"] for r in rows], dtype=object)
+    del rows
+    return FamilyModel().fit(x, lang)
 
 
 def identify(docs: DataFrame, max_rows: int = MAX_ROWS, max_languages: int = MAX_LANGUAGES) -> DataFrame:
