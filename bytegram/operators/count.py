@@ -21,7 +21,10 @@ def count_literal(docs: DataFrame, q: str) -> DataFrame:
 
 
 def count_by_shard(layout: DataFrame, q: str) -> DataFrame:
-    """``shard, count`` for every shard (zero where absent)."""
+    """``shard, count`` for every shard (zero where absent); the empty query counts the shard's bytes."""
+    if q == "":
+        return layout.groupBy(F.col("shard").cast("bigint").alias("shard")).agg(
+            (F.sum(F.col("doc_len") + 1) + 1).cast("bigint").alias("count"))
     hits = (layout.filter(F.contains(F.col("text"), F.lit(q)))
             .groupBy("shard").agg(F.sum(occurrences("text", q)).alias("_c")))
     shards = layout.select("shard").distinct()

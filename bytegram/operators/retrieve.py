@@ -85,14 +85,20 @@ def context_windows(hits: DataFrame, layout: DataFrame, needle_len: int | Column
 # ---- ranked access -------------------------------------------------------------------------------
 
 def ranked_hits(index: DataFrame, q: str, max_per_shard: int | None = None,
-                k: int = SUFFIX_KEY_BYTES) -> DataFrame:
-    """``shard, rank, i, ptr, doc_ix``: occurrences of ``q`` (≤ K bytes) in rank order per shard;
-    ``i = rank - lo``. With ``max_per_shard`` only the first hits of each shard are kept (a per-shard
-    top-k that Spark plans as a group limit)."""
+                k: int = SUFFIX_KEY_BYTES, layout: DataFrame | None = None) -> DataFrame:
+    """``shard, rank, i, ptr, doc_ix``: occurrences of ``q`` in rank order per shard; ``i = rank - lo``. With
+    ``max_per_shard`` only the first hits of each shard are kept.
+
+    A query over K bytes has its candidates in one key; they are verified on the text, so it needs ``layout``.
+    """
     qb = q.encode("utf-8")
     if len(qb) > k:
-        raise ValueError("ranked hits by key need a query of at most K bytes")
-    if qb:
+        if layout is None:
+            raise ValueError("a query of more than K bytes needs the corpus table")
+        docs = layout.select("doc_ix", "data_offset", terminated_bytes(layout).alias("_bt"))
+        m = (index.filter(F.col("key") == lit_bytes(qb[:k])).join(docs, "doc_ix")
+             .filter(F.expr("substring(_bt, ptr - data_offset, %d)" % len(qb)) == lit_bytes(qb)))
+    elif qb:
         m = index.filter((F.col("key") >= lit_bytes(qb)) & (F.col("key") < lit_bytes(successor(qb))))
     else:
         m = index
@@ -106,9 +112,11 @@ def ranked_hits(index: DataFrame, q: str, max_per_shard: int | None = None,
     return m
 
 
-def search_round_robin(index: DataFrame, q: str, max_results: int = DEFAULT_MAX_RESULTS) -> DataFrame:
+def search_round_robin(index: DataFrame, q: str, max_results: int = DEFAULT_MAX_RESULTS,
+                       layout: DataFrame | None = None) -> DataFrame:
     """First ``max_results`` hits taken round-robin over shards: order by ``(i, shard)``."""
-    h = ranked_hits(index, q, max_per_shard=max_results)
+    max_results = max(0, max_results)
+    h = ranked_hits(index, q, max_per_shard=max_results, layout=layout)
     return h.orderBy("i", "shard").limit(max_results)
 
 
@@ -116,7 +124,7 @@ def search(index: DataFrame, layout: DataFrame, q: str, max_results: int = DEFAU
            max_ctx_len: int = DEFAULT_MAX_CTX_LEN, get_metadata: bool = True) -> DataFrame:
     """``hit, shard, rank, doc_ix, doc_len, disp_len, needle_offset, metadata, text, error`` for the first
     ``max_results`` hits; only those few rows are joined to the corpus (bounded broadcast)."""
-    top = search_round_robin(index, q, max_results)
+    top = search_round_robin(index, q, max_results, layout)
     top = top.withColumn("hit", F.row_number().over(Window.orderBy("i", "shard")) - 1)
     w = context_windows(F.broadcast(top), layout, len(q.encode("utf-8")), max_ctx_len,
                         with_metadata=get_metadata, keep=("hit", "rank"))
@@ -184,12 +192,13 @@ def highlight_rows(df: DataFrame, key: str, text_col: str, needle: str) -> DataF
 
 def kwic_text(text: Column, needle: str, indent: str = "    ") -> Column:
     """Marked text: every occurrence wrapped as ``>>>q<<<``, surrounding whitespace stripped, and every
-    line that holds a non-whitespace character indented."""
+    line that holds a non-whitespace character indented. Whitespace and line ends are Unicode's."""
     marked = F.replace(text, F.lit(needle), F.lit(">>>" + needle + "<<<")) if needle else text
-    stripped = F.regexp_replace(marked, r"^[ \t\n\r\f]+|[ \t\n\r\f]+$", "")
-    lines = F.split(stripped, "\n", -1)
-    return F.array_join(F.transform(lines, lambda ln: F.when(ln.rlike(r"[^ \t\n\r\f]"),
-                                                             F.concat(F.lit(indent), ln)).otherwise(ln)), "\n")
+    ends = r"\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029"
+    blank = ends + r"\t \x1f\xa0\u1680\u2000-\u200a\u202f\u205f\u3000"
+    stripped = F.regexp_replace(marked, rf"\A[{blank}]+|[{blank}]+\z", "")
+    begin = rf"(?:\A|(?<=[{ends}&&[^\r]])|(?<=\r)(?!\n))"
+    return F.regexp_replace(stripped, rf"{begin}(?=[^{ends}]*[^{blank}])", indent)
 
 
 def source_label(metadata: Column) -> Column:

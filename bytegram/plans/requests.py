@@ -39,8 +39,7 @@ def validate(requests: DataFrame, index_names: list[str], num_shards: dict[str,
                  F.concat(F.lit("rank must be non-negative, got "), F.col("rank").cast("string"), F.lit(".")))
            .when(F.coalesce(F.col("max_ctx_len"), F.lit(0)) < 0,
                  F.concat(F.lit("max_ctx_len must be non-negative, got "), F.col("max_ctx_len").cast("string"),
-                          F.lit(".")))
-           .when(F.coalesce(F.col("max_results"), F.lit(0)) < 0, F.lit("max_results must be non-negative.")))
+                          F.lit("."))))
     return requests.withColumn("error", err)
 
 
@@ -93,11 +92,12 @@ def search_batch(index: DataFrame, layout: DataFrame, reqs: DataFrame, k: int =
     for p in parts[1:]:
         hits = hits.unionByName(p)
     # Hits of a query form one rank interval per shard, so its i-th hit in a shard is the i-th smallest
-    # rank there. A literal bound lets Spark plan a partial per-group top-k (window group limit) before
-    # any shuffle, so a query with billions of hits never reaches one task whole.
-    max_n = int(r.agg(F.max("max_results")).first()[0] or 0)
+    # rank there. The filter on the row number itself, with a literal bound, lets Spark plan a partial per-group
+    # top-k (window group limit) before the shuffle, so a query with billions of hits never reaches one task whole.
+    max_n = max(0, int(r.agg(F.max("max_results")).first()[0] or 0))
     w1 = Window.partitionBy("req_id", "shard").orderBy("rank")
-    per_shard = hits.withColumn("i", F.row_number().over(w1) - 1).filter(F.col("i") < F.lit(max_n))
+    per_shard = (hits.withColumn("i", F.row_number().over(w1)).filter(F.col("i") <= F.lit(max_n))
+                 .withColumn("i", F.col("i") - 1))
     w2 = Window.partitionBy("req_id").orderBy("i", "shard")
     top = per_shard.withColumn("hit", F.row_number().over(w2) - 1).filter(F.col("hit") < F.col("max_results"))
     out = RT.context_windows(top, layout, F.col("_n"), F.col("max_ctx_len"), keep=("req_id", "hit", "rank"))

@@ -31,7 +31,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is set by the operator and is visible to every executor. Only when it is unset
-    (local tests) do we create one under the system temp folder.
+    and the master is local do we create one under the system temp folder; a cluster without it is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -39,6 +39,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="bytegram-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)

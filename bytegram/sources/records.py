@@ -11,6 +11,7 @@ anyway and two scalars (min and max path) for the common root.
 from __future__ import annotations
 
 import posixpath
+import re
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -41,13 +42,48 @@ def _suffix_filter(col, suffixes) -> F.Column:
 def list_sources(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """Recursive listing of accepted source files: ``path, length``, sorted by path.
 
-    Only the footer-free ``binaryFile`` listing is used; ``content`` is pruned and never read.
-    A missing entry raises (Spark's path check).
+    Entries are files, directories (walked whole, names with ``_`` or ``.`` included) and globs, where ``**`` stands
+    for any number of directories. Only names and sizes are read, through Spark's file systems. An entry that is
+    missing, or a glob without a match, raises.
     """
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    listing = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
-               .select("path", F.col("length").cast("bigint").alias("length")))
-    return listing.filter(_suffix_filter("path", SOURCE_SUFFIXES)).orderBy("path")
+    found: dict[str, int] = {}
+    for entry in [paths] if isinstance(paths, str) else list(paths):
+        some = dict(_entry_files(spark, qualify(entry)))
+        if not some:
+            raise FileNotFoundError(f"no file at {entry}")
+        found |= {p: n for p, n in some.items() if p.endswith(tuple(SOURCE_SUFFIXES))}
+    return spark.createDataFrame(sorted(found.items()), "path string, length bigint").orderBy("path")
+
+
+def glob_pattern(glob: str) -> str:
+    """A regular expression for a path glob: ``*`` and ``?`` stay inside a name, ``**/`` spans directories."""
+    out, i = "", 0
+    while i < len(glob):
+        part = re.match(r"\*\*/|\*\*|\*|\?|\[[^\]]+\]|.", glob[i:], re.S)[0]
+        i += len(part)
+        if part.startswith("[") and len(part) > 1:
+            out += "[^" + part[2:] if part[1] == "!" else part
+        else:
+            out += {"**/": "(?:[^/]+/)*", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(part) or re.escape(part)
+    return out
+
+
+def _entry_files(spark: SparkSession, entry: str):
+    """``(path, length)`` of every file that a listing entry stands for."""
+    jvm = spark.sparkContext._jvm
+    magic = re.search(r"[*?\[]", entry)
+    base = entry[:entry.rindex("/", 0, magic.start())] or "/" if magic else entry
+    root = jvm.org.apache.hadoop.fs.Path(base)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return
+    wanted = re.compile(glob_pattern(entry)) if magic else None
+    files = fs.listFiles(root, True)
+    while files.hasNext():
+        status = files.next()
+        path = status.getPath().toString()
+        if wanted is None or wanted.fullmatch(path):
+            yield path, status.getLen()
 
 
 def common_root(listing: DataFrame) -> str:
@@ -76,8 +112,11 @@ def relative_path(abs_col: F.Column, root: str) -> F.Column:
 
 def parquet_records(spark: SparkSession, files: list[str], root: str, text_key: str = "text",
                     on_bad: str = "fail") -> DataFrame:
-    """Parquet rows as records. ``linenum`` is the row index inside the file."""
-    df = spark.read.parquet(*files)
+    """Parquet rows as records. ``linenum`` is the row index inside the file.
+
+    Files may differ in their columns: every column of any file is kept, null where a file lacks it.
+    """
+    df = spark.read.option("mergeSchema", "true").parquet(*files)
     if text_key not in df.columns:
         raise KeyError(f"text field {text_key!r} not in {df.columns}")
     others = [c for c in df.columns if c != text_key]
@@ -158,6 +197,9 @@ def read_records(spark: SparkSession, paths: list[str] | str, text_key: str = "t
     root = common_root(listing)
     # The file list is metadata Spark's file index holds on the driver anyway.
     files = [r["path"] for r in listing.select("path").collect()]
+    hidden = [f for f in files if posixpath.basename(f)[0] in "_."]
+    if hidden:
+        raise ValueError(f"Spark's readers skip file names that begin with '_' or '.': rename {hidden[:3]}")
     parts = []
     pq = [f for f in files if f.endswith(".parquet")]
     js = [f for f in files if f.endswith(_JSONL)]

@@ -14,11 +14,10 @@ from ..sources import records as RC
 
 
 def _existing(spark: SparkSession, corpus_path: str, below_shard: int) -> int:
-    try:
-        t = spark.read.parquet(corpus_path)
-    except Exception:  # noqa: BLE001 - no table yet
-        return 0
-    return int(t.filter(F.col("shard") < below_shard).count())
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(corpus_path)
+    if not root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root):
+        return 0  # only a table that isn't there yet is empty; any other failure stops the batch
+    return int(spark.read.parquet(corpus_path).filter(F.col("shard") < below_shard).count())
 
 
 def ingest_stream(spark: SparkSession, source_dir: str, corpus_path: str, checkpoint_dir: str,
