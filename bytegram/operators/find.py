@@ -44,8 +44,9 @@ def find_scan(layout: DataFrame, q: str) -> DataFrame:
 
 
 def find_scan_many(layout: DataFrame, queries: list[str]) -> DataFrame:
-    """``query, shard, lo, hi`` for a short literal list of queries in ONE pass over the positions
-    (each position's head is compared with every query; aggregation is partial per task)."""
+    """``query, shard, lo, hi`` for a short literal list of queries: each position's head is compared with
+    every query and aggregation is partial per task. Spark may read the corpus again for the shard list and the
+    empty query."""
     shards = layout.select("shard", "shard_bytes").distinct()
     qs = [q for q in dict.fromkeys(queries) if q != ""]
     outs = []
