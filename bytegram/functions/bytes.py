@@ -41,8 +41,13 @@ def overlap_pattern(q: str) -> str:
 
 def has_border(qb: bytes) -> bool:
     """True when a proper prefix of ``qb`` equals a suffix, i.e. occurrences may overlap."""
-    n = len(qb)
-    return any(qb[:k] == qb[n - k:] for k in range(1, n))
+    fail, k = [0] * len(qb), 0
+    for i in range(1, len(qb)):
+        while k and qb[i] != qb[k]:
+            k = fail[k - 1]
+        k += qb[i] == qb[k]
+        fail[i] = k
+    return k > 0
 
 
 def successor(qb: bytes) -> bytes:

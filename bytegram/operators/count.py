@@ -7,8 +7,8 @@ from ..constants import SEED_BYTES
 from ..functions.bytes import byte_len, occurrences, utf8
 from .positions import chunks, grams_multi
 
-# Pieces beyond this estimated size are joined by shuffle instead of broadcast.
-PIECE_BROADCAST_BYTES = 64 << 20
+# Query tables beyond this size are joined by a shuffle of their pieces instead of a broadcast.
+QUERY_BROADCAST_BYTES = 64 << 20
 
 
 def count_literal(docs: DataFrame, q: str) -> DataFrame:
@@ -61,15 +61,25 @@ def seed_pieces(q: DataFrame, s: int) -> DataFrame:
                     F.substring("qb", F.col("o") + 1, F.lit(s)).alias("piece")))
 
 
+def _anchors(q: DataFrame, pieces: DataFrame) -> DataFrame:
+    """``qid, qb, n, s, o, piece``: of each query's pieces, the one that fewest queries share."""
+    shared = pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("_share"))
+    best = (pieces.join(shared, "piece").groupBy("qid")
+            .agg(F.min(F.struct("_share", "o", "s", "piece")).alias("_a")))
+    return q.join(best, "qid").select("qid", "qb", "n", "_a.s", "_a.o", "_a.piece")
+
+
 def count_batch(docs: DataFrame, queries: DataFrame, qid: str = "qid", qcol: str = "query",
-                empty_count: DataFrame | None = None, seed_bytes: int = SEED_BYTES) -> DataFrame:
+                empty_count: DataFrame | None = None, seed_bytes: int = SEED_BYTES,
+                broadcast_bytes: int = QUERY_BROADCAST_BYTES) -> DataFrame:
     """``qid, query, count`` for a whole table of queries; absent queries count 0, order is by ``qid``.
 
-    Plan: queries of byte length n use seeds of s = min(n, seed_bytes) bytes. For each s, document
-    positions are exploded into s-grams (chunked documents, positions stay inside one task) and
-    equi-joined with the query pieces (broadcast when their estimated size is small). Short queries
-    (one piece) are counted directly; for longer ones the (document, start, query) groups with all pieces
-    present are the matches. Partial aggregation happens before every shuffle.
+    Plan: queries of byte length n use seeds of s = min(n, seed_bytes) bytes. Document positions are exploded
+    once into grams of the lengths in use (chunked documents, positions stay inside one task) and equi-joined
+    with the query pieces. A query table whose summed size is at most ``broadcast_bytes`` is broadcast: each query
+    is anchored at its piece that fewest queries share and compared as a whole with the chunk in the same task, and
+    only counts by query are shuffled. A larger table is joined by a shuffle of all pieces: the (document, start,
+    query) groups with all pieces present are the matches. Partial aggregation happens before every shuffle.
     """
     q = _query_table(queries, qid, qcol)
     st = q.agg(F.max("n").alias("maxn"), F.sum("n").alias("tot"), F.count(F.lit(1)).alias("cnt"),
@@ -84,19 +94,26 @@ def count_batch(docs: DataFrame, queries: DataFrame, qid: str = "qid", qcol: str
         for s in classes:
             ps = seed_pieces(q.filter(F.least(F.col("n"), F.lit(seed_bytes)) == s), s).withColumn("s", F.lit(s))
             pieces = ps if pieces is None else pieces.unionByName(ps)
-        est = ((int(st["tot"] or 0) // max(1, classes[0])) + 2 * int(st["cnt"] or 0)) * (seed_bytes + 48)
-        pj = F.broadcast(pieces) if est <= PIECE_BROADCAST_BYTES else pieces
         # Pieces of the longest class may sit up to maxn - s bytes after an owned start.
-        g = grams_multi(ch, classes, extra=max(0, maxn - classes[-1]))
-        j = (g.join(pj, (g["s"] == pj["s"]) & (g["gram"] == pj["piece"]))
-             .withColumn("start", F.col("p") - F.col("o"))
-             .filter((F.col("start") >= 1) & (F.col("start") <= F.col("own"))))
-        single = j.filter(F.col("m") == 1).groupBy("qid").agg(F.count(F.lit(1)).alias("cnt"))
-        multi = (j.filter(F.col("m") > 1)
-                 .groupBy("doc_ix", "c", "start", "qid", "m").agg(F.count(F.lit(1)).alias("_k"))
-                 .filter(F.col("_k") == F.col("m"))
-                 .groupBy("qid").agg(F.count(F.lit(1)).alias("cnt")))
-        counts += [single, multi]
+        extra = max(0, maxn - classes[-1])
+        start = F.col("p") - F.col("o")
+        if int(st["tot"]) + 96 * int(st["cnt"]) <= broadcast_bytes:
+            pj = F.broadcast(_anchors(q, pieces))
+            g = grams_multi(ch, classes, extra, keep=("cb",))
+            j = g.join(pj, (g["s"] == pj["s"]) & (g["gram"] == pj["piece"]) & (start >= 1) & (start <= F.col("own"))
+                       & (F.substring("cb", start, F.col("n")) == F.col("qb")))
+            counts.append(j.groupBy("qid").agg(F.count(F.lit(1)).alias("cnt")))
+        else:
+            g = grams_multi(ch, classes, extra)
+            j = (g.join(pieces, (g["s"] == pieces["s"]) & (g["gram"] == pieces["piece"]))
+                 .withColumn("start", start)
+                 .filter((F.col("start") >= 1) & (F.col("start") <= F.col("own"))))
+            single = j.filter(F.col("m") == 1).groupBy("qid").agg(F.count(F.lit(1)).alias("cnt"))
+            multi = (j.filter(F.col("m") > 1)
+                     .groupBy("doc_ix", "c", "start", "qid", "m").agg(F.count(F.lit(1)).alias("_k"))
+                     .filter(F.col("_k") == F.col("m"))
+                     .groupBy("qid").agg(F.count(F.lit(1)).alias("cnt")))
+            counts += [single, multi]
     out = q.select("qid", "query", "n")
     if counts:
         allc = counts[0]

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..constants import PREFIX_BUCKET_ROWS
 from ..functions.bytes import byte_len, lit_bytes, utf8
+from ..session import checkpoint_root
 
 
 def exclusive_prefix_sums(df: DataFrame, order_col: str, weights: dict[str, Column],
@@ -62,10 +63,14 @@ def assign_shards(docs: DataFrame, num_shards: int) -> DataFrame:
     Input: ``doc_ix, text, metadata`` (dense ``doc_ix``). Output adds ``doc_len, shard, data_offset,
     meta_offset, shard_bytes, shard_docs, shard_first_doc``. The target is total/N bytes per shard;
     a shard id that receives no document is skipped and ids are renumbered densely.
+
+    Only ``doc_ix`` and the two lengths go through the windows (checkpointed, so texts are not read again for
+    them); texts meet their offsets in one join by ``doc_ix``.
     """
     if num_shards < 1:
         raise ValueError("num_shards must be >= 1")
-    x = docs.withColumn("doc_len", byte_len("text")).withColumn("_mlen", byte_len("metadata"))
+    checkpoint_root(docs.sparkSession)
+    x = docs.select("doc_ix", byte_len("text").alias("doc_len"), byte_len("metadata").alias("_mlen")).checkpoint()
     x = exclusive_prefix_sums(x, "doc_ix", {"_g": F.col("doc_len") + 1, "_gm": F.col("_mlen") + 1})
     x = x.withColumn("_shard0", F.least(F.lit(num_shards - 1),
                                          F.expr(f"(_g * {num_shards}) div greatest(_g_total, 1)")).cast("int"))
@@ -80,7 +85,7 @@ def assign_shards(docs: DataFrame, num_shards: int) -> DataFrame:
     x = (x.withColumn("data_offset", (F.col("_g") - F.col("_g0")).cast("bigint"))
          .withColumn("meta_offset", (F.col("_gm") - F.col("_gm0")).cast("bigint"))
          .drop("_shard0", "_g", "_gm", "_g0", "_gm0", "_g_total", "_gm_total", "_mlen"))
-    return with_bytes(x)
+    return with_bytes(docs.join(x, "doc_ix"))
 
 
 def with_bytes(layout: DataFrame) -> DataFrame:

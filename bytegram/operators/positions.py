@@ -52,16 +52,19 @@ def grams(ch: DataFrame, s: int, extra: int = 0) -> DataFrame:
             .select("doc_ix", "c", "cstart", "own", "p", F.substring("cb", F.col("p"), F.lit(s)).alias("gram")))
 
 
-def grams_multi(ch: DataFrame, lengths: list[int], extra: int = 0) -> DataFrame:
-    """``doc_ix, c, own, p, s, gram`` for every gram length ``s`` in ``lengths`` in ONE pass over the
+def grams_multi(ch: DataFrame, lengths: list[int], extra: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_ix, c, own, p, s, gram`` (+ ``keep``) for every gram length ``s`` in ``lengths`` in ONE pass over the
     positions (one explode of positions, then one row per length, filtered to full-length grams)."""
     lengths = sorted(set(lengths))
     smin = lengths[0]
     last = F.least(F.octet_length("cb") - smin + 1, F.col("own") + extra)
     pos = (ch.filter(last >= 1)
            .select("doc_ix", "c", "own", "cb", F.explode(F.sequence(F.lit(1), last)).alias("p")))
+    if len(lengths) == 1:
+        return pos.select("doc_ix", "c", "own", "p", *keep, F.lit(smin).alias("s"),
+                          F.substring("cb", F.col("p"), F.lit(smin)).alias("gram"))
     per = F.array(*[F.struct(F.lit(s).alias("s"), F.substring("cb", F.col("p"), F.lit(s)).alias("gram"))
                     for s in lengths])
-    return (pos.select("doc_ix", "c", "own", "p", F.explode(per).alias("_g"))
-            .select("doc_ix", "c", "own", "p", F.col("_g.s").alias("s"), F.col("_g.gram").alias("gram"))
+    return (pos.select("doc_ix", "c", "own", "p", *keep, F.explode(per).alias("_g"))
+            .select("doc_ix", "c", "own", "p", *keep, F.col("_g.s").alias("s"), F.col("_g.gram").alias("gram"))
             .filter(F.octet_length("gram") == F.col("s")))

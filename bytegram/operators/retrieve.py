@@ -122,20 +122,22 @@ def search_round_robin(index: DataFrame, q: str, max_results: int = DEFAULT_MAX_
 
 def search(index: DataFrame, layout: DataFrame, q: str, max_results: int = DEFAULT_MAX_RESULTS,
            max_ctx_len: int = DEFAULT_MAX_CTX_LEN, get_metadata: bool = True) -> DataFrame:
-    """``hit, shard, rank, doc_ix, doc_len, disp_len, needle_offset, metadata, text, error`` for the first
+    """``hit, shard, rank, doc_ix, doc_len, disp_len, needle_offset, metadata, text, error, spans`` for the first
     ``max_results`` hits; only those few rows are joined to the corpus (bounded broadcast)."""
     top = search_round_robin(index, q, max_results, layout)
     top = top.withColumn("hit", F.row_number().over(Window.orderBy("i", "shard")) - 1)
     w = context_windows(F.broadcast(top), layout, len(q.encode("utf-8")), max_ctx_len,
                         with_metadata=get_metadata, keep=("hit", "rank"))
     return w.select(F.col("hit").cast("bigint").alias("hit"), F.col("shard").cast("bigint").alias("shard"),
-                    "rank", "doc_ix", "doc_len", "disp_len", "needle_offset", "metadata", "text", "error")
+                    "rank", "doc_ix", "doc_len", "disp_len", "needle_offset", "metadata", "text", "error",
+                    highlight_spans(F.col("text"), q).alias("spans"))
 
 
 def get_doc_by_rank(index: DataFrame, layout: DataFrame, requests: DataFrame,
                     get_metadata: bool = True) -> DataFrame:
     """Batch form: ``requests(req_id, s, rank, needle_len, max_ctx_len)`` → one hit row per request that
-    names an existing rank; the row holds the document window as in :func:`context_windows`."""
+    names an existing rank; the row holds the document window as in :func:`context_windows`. Requests with a
+    ``query`` column get its highlighted ``spans`` too."""
     # The ranked index is sorted by (shard, rank): bounding the scan by the requested ranks (two scalars)
     # lets the Parquet reader skip every row group outside them.
     b = requests.agg(F.min("rank").alias("lo"), F.max("rank").alias("hi")).first()
@@ -144,27 +146,33 @@ def get_doc_by_rank(index: DataFrame, layout: DataFrame, requests: DataFrame,
         idx = index.filter((F.col("rank") >= F.lit(int(b["lo"]))) & (F.col("rank") <= F.lit(int(b["hi"]))))
     look = requests.join(idx.select(F.col("shard").alias("s"), "rank", "ptr", "doc_ix"), ["s", "rank"])
     look = look.withColumnRenamed("s", "shard")
+    needle = ("query",) if "query" in requests.columns else ()
     w = context_windows(look, layout, F.col("needle_len"), F.col("max_ctx_len"), with_metadata=get_metadata,
-                        keep=("req_id", "rank", "needle_len", "max_ctx_len"))
-    return w.drop("needle_len", "max_ctx_len")
+                        keep=("req_id", "rank", "needle_len", "max_ctx_len", *needle))
+    if needle:
+        w = w.withColumn("spans", highlight_spans(F.col("text"), F.col("query")))
+    return w.drop("needle_len", "max_ctx_len", *needle)
 
 
 # ---- concordance output ---------------------------------------------------------------------------
 
-def highlight_spans(text: Column, needle: str) -> Column:
+def highlight_spans(text: Column, needle: str | Column) -> Column:
     """``ARRAY<STRUCT<fragment, label>>``: leftmost non-overlapping occurrences labelled ``'0'``, other text
-    unlabelled, empty fragments dropped; an empty needle gives the whole text as one span."""
+    unlabelled, empty fragments dropped; an empty needle gives the whole text as one span, a null text gives null."""
     from ..constants import HIGHLIGHT_LABEL
     from ..functions.bytes import regex_quote
-    if needle == "":
-        return F.array(F.struct(text.alias("fragment"), F.lit(None).cast("string").alias("label")))
-    parts = F.split(text, F.lit(regex_quote(needle)), -1)
-    pieces = F.transform(parts, lambda p, i: F.when(
-        i < F.size(parts) - 1,
-        F.array(F.struct(p.alias("fragment"), F.lit(None).cast("string").alias("label")),
-                F.struct(F.lit(needle).alias("fragment"), F.lit(HIGHLIGHT_LABEL).alias("label"))))
-        .otherwise(F.array(F.struct(p.alias("fragment"), F.lit(None).cast("string").alias("label")))))
-    return F.filter(F.flatten(pieces), lambda s: s["fragment"] != F.lit(""))
+    found = F.lit(needle) if isinstance(needle, str) else needle
+    plain = lambda t: F.struct(t.alias("fragment"), F.lit(None).cast("string").alias("label"))
+    marked = F.struct(found.alias("fragment"), F.lit(HIGHLIGHT_LABEL).alias("label"))
+    if isinstance(needle, str):
+        pattern = F.lit(regex_quote(needle))
+    else:
+        pattern = F.concat(F.lit("\\Q"), F.replace(needle, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    parts = F.split(text, pattern, -1)
+    pieces = F.transform(parts, lambda p, i: F.when(i < F.size(parts) - 1, F.array(plain(p), marked))
+                         .otherwise(F.array(plain(p))))
+    spans = F.filter(F.flatten(pieces), lambda s: s["fragment"] != F.lit(""))
+    return F.when(text.isNotNull(), F.when(found == "", F.array(plain(text))).otherwise(spans))
 
 
 def highlight_rows(df: DataFrame, key: str, text_col: str, needle: str) -> DataFrame:

@@ -88,25 +88,25 @@ class Corpus:
     # ---- layout -------------------------------------------------------------------------------
     @cached_property
     def layout(self) -> DataFrame:
-        """The corpus table. Built once and cut from its lineage with a reliable checkpoint in the shared
-        checkpoint folder (the equivalent of writing the corpus), so every later query starts from it."""
+        """The corpus table. Written once as Parquet below the shared checkpoint folder and read again, so every
+        later query scans only the columns, shards and ``doc_ix`` ranges that it needs."""
         if self._layout is not None:
             return self._layout
-        from ..session import checkpoint_root
-        checkpoint_root(self.spark)
-        # The prefix-sum windows leave rows grouped by bucket (one bucket can be one task); spread the
-        # documents evenly over the cluster before materialising, so every later scan is parallel.
-        n = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")),
-                self.spark.sparkContext.defaultParallelism)
-        lay = _layout.assign_shards(self.docs, self.num_shards).repartition(n, "doc_ix")
-        return lay.checkpoint(eager=True)
+        from ..session import scratch_path
+        lay = _layout.assign_shards(self.docs, self.num_shards)
+        path = self._write_table(lay, scratch_path(self.spark, "corpus"), "overwrite")
+        return self.spark.read.schema(lay.select(*CORPUS_COLUMNS).schema).parquet(path)
 
     def write(self, path: str, mode: str = "overwrite") -> str:
         """Write the corpus table, one folder per shard (dynamic partition overwrite keeps other shards)."""
+        built = self._layout is not None or "layout" in self.__dict__
+        return self._write_table(self.layout if built else _layout.assign_shards(self.docs, self.num_shards), path, mode)
+
+    def _write_table(self, layout: DataFrame, path: str, mode: str) -> str:
         n = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")),
                 self.spark.sparkContext.defaultParallelism)
         # Contiguous document ranges per task: a few sorted files per shard folder, none spanning shards.
-        (self.layout.select(*CORPUS_COLUMNS).repartitionByRange(n, "shard", "doc_ix")
+        (layout.select(*CORPUS_COLUMNS).repartitionByRange(n, "shard", "doc_ix")
          .sortWithinPartitions("shard", "doc_ix")
          .write.mode(mode).option("partitionOverwriteMode", "dynamic")
          .partitionBy("shard").parquet(path))

@@ -582,7 +582,23 @@ SELECT CAST(row_number() OVER (ORDER BY i, shard) - 1 AS BIGINT) AS hit, shard,
 FROM w ORDER BY i, shard LIMIT {SEARCH_MAX}""")
 def search(spark, sf_dir):
     idx = suffix_index(spark, sf_dir, ranked=True)
-    return RT.search(idx, documents(spark, sf_dir).layout, Q_BORDER, SEARCH_MAX, 200)
+    return RT.search(idx, documents(spark, sf_dir).layout, Q_BORDER, SEARCH_MAX, 200).drop("spans")
+
+
+@register("search_spans", ranked_sql(Q_BORDER).format(ctx=200) + f""",
+top AS (SELECT row_number() OVER (ORDER BY i, shard) - 1 AS hit, t FROM w ORDER BY i, shard LIMIT {SEARCH_MAX}),
+parts AS (SELECT hit, string_split(t, {sq(Q_BORDER)}) AS p FROM top WHERE t IS NOT NULL),
+sp AS (SELECT hit, flatten(list_transform(p, lambda x, k: CASE WHEN k < len(p)
+         THEN [{{'fragment': x, 'label': NULL::VARCHAR}}, {{'fragment': {sq(Q_BORDER)}, 'label': '0'}}]
+         ELSE [{{'fragment': x, 'label': NULL::VARCHAR}}] END)) AS s FROM parts),
+f AS (SELECT hit, list_filter(s, lambda e: e.fragment <> '') AS s FROM sp),
+u AS (SELECT hit, unnest(s) AS e, generate_subscripts(s, 1) AS k FROM f)
+SELECT CAST(hit AS BIGINT) AS hit, CAST(k - 1 AS BIGINT) AS span_ix, e.fragment AS fragment, e.label AS label FROM u""")
+def search_spans(spark, sf_dir):
+    idx = suffix_index(spark, sf_dir, ranked=True)
+    hits = RT.search(idx, documents(spark, sf_dir).layout, Q_BORDER, SEARCH_MAX, 200)
+    spans = hits.select("hit", F.posexplode("spans").alias("span_ix", "span"))
+    return spans.select("hit", F.col("span_ix").cast("bigint").alias("span_ix"), "span.fragment", "span.label")
 
 
 @register("get_doc_by_rank", ranked_sql(Q_BORDER).format(ctx=SEARCH_CTX) + f"""

@@ -60,7 +60,7 @@ def search_batch(index: DataFrame, layout: DataFrame, reqs: DataFrame, k: int =
     short_lens = sorted(x["_n"] for x in r.filter((F.col("_n") >= 1) & (F.col("_n") <= k))
                         .select("_n").distinct().collect())
     parts = []
-    cols = ["req_id", "max_results", "max_ctx_len", "_n", "shard", "rank", "ptr", "doc_ix"]
+    cols = ["req_id", "query", "max_results", "max_ctx_len", "_n", "shard", "rank", "ptr", "doc_ix"]
     if short_lens:
         # One pass over the index: one row per (key, present length), equi-joined on (length, prefix).
         per = F.array(*[F.struct(F.lit(n).alias("n"), F.substring("key", 1, n).alias("pre")) for n in short_lens])
@@ -81,7 +81,7 @@ def search_batch(index: DataFrame, layout: DataFrame, reqs: DataFrame, k: int =
         # generated per request and equi-joined with the index on (shard, rank).
         shard_list = sorted(x[0] for x in index.select("shard").distinct().collect())
         want = (r.filter(F.col("_n") == 0)
-                .select("req_id", "max_results", "max_ctx_len", "_n",
+                .select("req_id", "query", "max_results", "max_ctx_len", "_n",
                         F.explode(F.array(*[F.lit(x) for x in shard_list])).alias("shard"),
                         F.explode(F.sequence(F.lit(0), F.greatest(F.col("max_results") - 1, F.lit(0)))).alias("rank"))
                 .withColumn("rank", F.col("rank").cast("bigint")))
@@ -100,16 +100,17 @@ def search_batch(index: DataFrame, layout: DataFrame, reqs: DataFrame, k: int =
                  .withColumn("i", F.col("i") - 1))
     w2 = Window.partitionBy("req_id").orderBy("i", "shard")
     top = per_shard.withColumn("hit", F.row_number().over(w2) - 1).filter(F.col("hit") < F.col("max_results"))
-    out = RT.context_windows(top, layout, F.col("_n"), F.col("max_ctx_len"), keep=("req_id", "hit", "rank"))
+    out = RT.context_windows(top, layout, F.col("_n"), F.col("max_ctx_len"), keep=("req_id", "query", "hit", "rank"))
     return out.select("req_id", F.col("hit").cast("bigint").alias("hit"), F.col("shard").cast("bigint").alias("shard"),
-                      "rank", "doc_ix", "doc_len", "disp_len", "needle_offset", "metadata", "text", "error")
+                      "rank", "doc_ix", "doc_len", "disp_len", "needle_offset", "metadata", "text", "error",
+                      RT.highlight_spans(F.col("text"), F.col("query")).alias("spans"))
 
 
 def dispatch(corpora: dict, requests: DataFrame) -> DataFrame:
     """Answer a request table against named corpora.
 
     ``corpora``: ``name -> (Corpus, ranked suffix table DataFrame)``. Output columns: ``req_id, query_type,
-    count, shard, lo, hi, hit, rank, doc_ix, doc_len, disp_len, needle_offset, metadata, text, error``.
+    count, shard, lo, hi, hit, rank, doc_ix, doc_len, disp_len, needle_offset, metadata, text, error, spans``.
     """
     names = list(corpora)
     v = validate(requests, names, {n: c.layout.select("shard").distinct().count() for n, (c, _) in corpora.items()})
@@ -124,12 +125,12 @@ def dispatch(corpora: dict, requests: DataFrame) -> DataFrame:
         out.append(SX.find_batch_indexed(index, corpus.layout, fnd, qid="req_id", qcol="query")
                    .select(F.col("qid").alias("req_id"), F.lit("find").alias("query_type"), "shard", "lo", "hi"))
         gd = mine.filter(F.col("query_type") == "get_doc_by_rank").select(
-            "req_id", F.col("s").cast("int").alias("s"), "rank", F.octet_length(utf8("query")).alias("needle_len"),
+            "req_id", "query", F.col("s").cast("int").alias("s"), "rank", F.octet_length(utf8("query")).alias("needle_len"),
             F.coalesce("max_ctx_len", F.lit(DEFAULT_MAX_CTX_LEN)).alias("max_ctx_len"))
         docs = RT.get_doc_by_rank(index, corpus.layout, gd)
         out.append(docs.select("req_id", F.lit("get_doc_by_rank").alias("query_type"),
                                F.col("shard").cast("bigint").alias("shard"), "rank", "doc_ix", "doc_len", "disp_len",
-                               "needle_offset", "metadata", "text", "error"))
+                               "needle_offset", "metadata", "text", "error", "spans"))
         # A rank past the end of its shard is an error row, not an abort.
         missing = gd.join(docs.select("req_id"), "req_id", "left_anti").select(
             "req_id", F.lit("get_doc_by_rank").alias("query_type"),
