@@ -20,6 +20,14 @@ def count_literal(docs: DataFrame, q: str) -> DataFrame:
             .select(F.lit(q).alias("query"), "count"))
 
 
+def count_literals(docs: DataFrame, queries: list[str]) -> DataFrame:
+    """``query, count`` for a short literal list of non-empty queries, from one scan of the texts."""
+    qs = list(dict.fromkeys(queries))
+    sums = [F.coalesce(F.sum(occurrences("text", q)), F.lit(0)).cast("bigint").alias(f"_c{j}") for j, q in enumerate(qs)]
+    rows = [F.struct(F.lit(q).alias("query"), F.col(f"_c{j}").alias("count")) for j, q in enumerate(qs)]
+    return docs.agg(*sums).select(F.inline(F.array(*rows)))
+
+
 def count_by_shard(layout: DataFrame, q: str) -> DataFrame:
     """``shard, count`` for every shard (zero where absent); the empty query counts the shard's bytes."""
     if q == "":

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.bytes import lit_bytes, utf8
+from .positions import chunks
 
 
 def terminated_bytes(layout: DataFrame) -> F.Column:
@@ -23,56 +24,40 @@ def terminated_bytes(layout: DataFrame) -> F.Column:
 
 def find_scan(layout: DataFrame, q: str) -> DataFrame:
     """``query, shard, lo, hi`` for every shard."""
-    shards = layout.select("shard", "shard_bytes").distinct()
-    if q == "":
-        return shards.select(F.lit(q).alias("query"), F.col("shard").cast("bigint").alias("shard"),
-                             F.lit(0).cast("bigint").alias("lo"), F.col("shard_bytes").cast("bigint").alias("hi"))
-    qb = q.encode("utf-8")
-    n = len(qb)
-    pos = (layout.filter(F.col("doc_len") > 0)
-           .select("shard", terminated_bytes(layout).alias("_bt"),
-                   F.explode(F.sequence(F.lit(1), F.col("doc_len").cast("int"))).alias("_p"))
-           .select("shard", F.substring("_bt", F.col("_p"), F.lit(n)).alias("_k")))
-    agg = pos.groupBy("shard").agg(
-        F.sum(F.when(F.col("_k") < lit_bytes(qb), 1).otherwise(0)).alias("_lt"),
-        F.sum(F.when(F.col("_k") == lit_bytes(qb), 1).otherwise(0)).alias("_eq"))
-    out = shards.join(agg, "shard", "left").na.fill(0, ["_lt", "_eq"])
-    # +1: the sentinel suffix sorts below every non-empty query.
-    return out.select(F.lit(q).alias("query"), F.col("shard").cast("bigint").alias("shard"),
-                      (F.col("_lt") + 1).cast("bigint").alias("lo"),
-                      (F.col("_lt") + 1 + F.col("_eq")).cast("bigint").alias("hi"))
+    return find_scan_many(layout, [q])
 
 
 def find_scan_many(layout: DataFrame, queries: list[str]) -> DataFrame:
-    """``query, shard, lo, hi`` for a short literal list of queries: each position's head is compared with
-    every query and aggregation is partial per task. Spark may read the corpus again for the shard list and the
-    empty query."""
-    shards = layout.select("shard", "shard_bytes").distinct()
+    """``query, shard, lo, hi`` for a short literal list of queries, which may hold the empty one.
+
+    Positions are exploded once whatever the number of queries: each position's head is compared with every query, and
+    the sums are partial per task. Long documents are cut into chunks. A document without text still names its shard.
+    """
     qs = [q for q in dict.fromkeys(queries) if q != ""]
-    outs = []
+    maxn = max((len(q.encode("utf-8")) for q in qs), default=0)
     if qs:
-        maxn = max(len(q.encode("utf-8")) for q in qs)
-        pos = (layout.filter(F.col("doc_len") > 0)
-               .select("shard", terminated_bytes(layout).alias("_bt"),
-                       F.explode(F.sequence(F.lit(1), F.col("doc_len").cast("int"))).alias("_p"))
-               .select("shard", F.substring("_bt", F.col("_p"), F.lit(maxn)).alias("_k")))
-        aggs = []
-        for j, q in enumerate(qs):
-            qb = q.encode("utf-8")
-            head = F.substring("_k", F.lit(1), F.lit(len(qb)))
-            aggs += [F.sum(F.when(head < lit_bytes(qb), 1).otherwise(0)).alias(f"_lt{j}"),
-                     F.sum(F.when(head == lit_bytes(qb), 1).otherwise(0)).alias(f"_eq{j}")]
-        agg = shards.join(pos.groupBy("shard").agg(*aggs), "shard", "left").na.fill(0)
-        for j, q in enumerate(qs):
-            outs.append(agg.select(F.lit(q).alias("query"), F.col("shard").cast("bigint").alias("shard"),
-                                   (F.col(f"_lt{j}") + 1).cast("bigint").alias("lo"),
-                                   (F.col(f"_lt{j}") + 1 + F.col(f"_eq{j}")).cast("bigint").alias("hi")))
+        # A head of maxn bytes from the last owned position needs as many bytes beyond it, the terminator included.
+        pieces = chunks(layout, overlap=maxn, keep=("shard", "shard_bytes"), bytes_col=terminated_bytes(layout),
+                        own_col=F.col("doc_len"))
+        at = F.when(F.col("own") > 0, F.sequence(F.lit(1), F.col("own")))
+        pos = (pieces.select("shard", "shard_bytes", "cb", F.explode_outer(at).alias("_p"))
+               .select("shard", "shard_bytes", F.substring("cb", F.col("_p"), F.lit(maxn)).alias("_k")))
+    else:
+        pos = layout.select("shard", "shard_bytes")
+    sums, rows = [F.max("shard_bytes").cast("bigint").alias("_size")], []
+    for j, q in enumerate(qs):
+        qb = q.encode("utf-8")
+        head = F.substring("_k", F.lit(1), F.lit(len(qb)))
+        sums += [F.sum(F.when(head < lit_bytes(qb), 1).otherwise(0)).alias(f"_lt{j}"),
+                 F.sum(F.when(head == lit_bytes(qb), 1).otherwise(0)).alias(f"_eq{j}")]
+        # +1: the sentinel suffix sorts below every non-empty query.
+        lo = F.col(f"_lt{j}") + 1
+        rows.append(F.struct(F.lit(q).alias("query"), lo.cast("bigint").alias("lo"),
+                             (lo + F.col(f"_eq{j}")).cast("bigint").alias("hi")))
     if "" in queries:
-        outs.append(find_scan(layout, ""))
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out
+        rows.append(F.struct(F.lit("").alias("query"), F.lit(0).cast("bigint").alias("lo"), F.col("_size").alias("hi")))
+    return (pos.groupBy("shard").agg(*sums).select("shard", F.explode(F.array(*rows)).alias("_r"))
+            .select("_r.query", F.col("shard").cast("bigint").alias("shard"), "_r.lo", "_r.hi"))
 
 
 def find_total(intervals: DataFrame) -> DataFrame:

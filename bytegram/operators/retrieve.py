@@ -169,33 +169,16 @@ def highlight_spans(text: Column, needle: str | Column) -> Column:
     else:
         pattern = F.concat(F.lit("\\Q"), F.replace(needle, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
     parts = F.split(text, pattern, -1)
-    pieces = F.transform(parts, lambda p, i: F.when(i < F.size(parts) - 1, F.array(plain(p), marked))
-                         .otherwise(F.array(plain(p))))
+    pieces = F.transform(parts, lambda p, i: F.when(i == 0, F.array(plain(p))).otherwise(F.array(marked, plain(p))))
     spans = F.filter(F.flatten(pieces), lambda s: s["fragment"] != F.lit(""))
     return F.when(text.isNotNull(), F.when(found == "", F.array(plain(text))).otherwise(spans))
 
 
 def highlight_rows(df: DataFrame, key: str, text_col: str, needle: str) -> DataFrame:
-    """Exploded form of :func:`highlight_spans`: ``key, span_ix, fragment, label``.
-
-    Built from ``split`` + ``posexplode`` (codegen) instead of array lambdas: part ``i`` of the split text
-    sits at slot ``2i``, the needle after it at ``2i+1`` (not after the last part); empty parts are dropped
-    and slots renumbered per document (a window over one document's spans)."""
-    from ..constants import HIGHLIGHT_LABEL
-    from ..functions.bytes import regex_quote
-    if needle == "":
-        return df.select(key, F.lit(0).cast("bigint").alias("span_ix"), F.col(text_col).alias("fragment"),
-                         F.lit(None).cast("string").alias("label"))
-    parts = (df.select(key, F.split(F.col(text_col), F.lit(regex_quote(needle)), -1).alias("_parts"))
-             .select(key, F.size("_parts").alias("_m"), F.posexplode("_parts").alias("_i", "_f")))
-    texts = parts.select(key, (F.col("_i") * 2).alias("_slot"), F.col("_f").alias("fragment"),
-                         F.lit(None).cast("string").alias("label"))
-    needles = (parts.filter(F.col("_i") < F.col("_m") - 1)
-               .select(key, (F.col("_i") * 2 + 1).alias("_slot"), F.lit(needle).alias("fragment"),
-                       F.lit(HIGHLIGHT_LABEL).alias("label")))
-    spans = texts.unionByName(needles).filter(F.col("fragment") != F.lit(""))
-    w = Window.partitionBy(key).orderBy("_slot")
-    return spans.select(key, (F.row_number().over(w) - 1).cast("bigint").alias("span_ix"), "fragment", "label")
+    """Exploded form of :func:`highlight_spans`: ``key, span_ix, fragment, label``, from one scan without a shuffle.
+    A null text gives no rows."""
+    return (df.select(key, F.posexplode(highlight_spans(F.col(text_col), needle)).alias("span_ix", "_s"))
+            .select(key, F.col("span_ix").cast("bigint").alias("span_ix"), "_s.fragment", "_s.label"))
 
 
 def kwic_text(text: Column, needle: str, indent: str = "    ") -> Column:

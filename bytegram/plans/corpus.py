@@ -127,6 +127,9 @@ class Corpus:
             return _count.count_empty(self.layout)
         return _count.count_literal(self.texts, q)
 
+    def count_many(self, queries: list[str]) -> DataFrame:
+        return _count.count_literals(self.texts, queries)
+
     def count_by_shard(self, q: str) -> DataFrame:
         return _count.count_by_shard(self.layout, q)
 

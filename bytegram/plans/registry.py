@@ -218,12 +218,7 @@ OVERLAP_QUERIES = (Q_BORDER, Q_MULTIBYTE, Q_GERMAN, Q_ABSENT, "thth", "onon", "n
 
 @register("count_overlapping", None)
 def count_overlapping(spark, sf_dir):
-    c = documents(spark, sf_dir)
-    out = None
-    for q in OVERLAP_QUERIES:
-        r = c.count(q)
-        out = r if out is None else out.unionByName(r)
-    return out
+    return documents(spark, sf_dir).count_many(list(OVERLAP_QUERIES))
 
 
 @register("count_by_shard", f"""
