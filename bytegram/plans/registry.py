@@ -815,50 +815,149 @@ from . import requests as RQ  # noqa: E402
 INDEX_NAME = "documents"
 
 
+# Kinds of request derived from every ``benchmark`` item: (k, index, query type, part of the text that is the query,
+# s, rank, max_results, max_ctx_len); k also numbers the request. The query is the whole text (``all``), its first three
+# characters (``head``), empty (``none``) or null; a rank of None with s = 1 is the item's number times 997.
+REQUEST_KINDS = (
+    (0, INDEX_NAME, "count", "all", None, None, 3, 40), (1, INDEX_NAME, "find", "all", None, None, 3, 40),
+    (2, INDEX_NAME, "search", "all", None, None, 3, 40), (3, INDEX_NAME, "get_doc_by_rank", "all", 1, None, 3, 40),
+    (4, "missing", "count", "all", None, None, 3, 40), (5, INDEX_NAME, "grep", "all", None, None, 3, 40),
+    (6, INDEX_NAME, "get_doc_by_rank", "all", 0, -1, 3, 40),
+    (7, INDEX_NAME, "get_doc_by_rank", "all", None, 5, 3, 40), (8, INDEX_NAME, "get_doc_by_rank", "all", -1, 5, 3, 40),
+    (9, INDEX_NAME, "get_doc_by_rank", "all", NUM_SHARDS, 5, 3, 40), (10, INDEX_NAME, "search", "all", None, None, 3, -1),
+    (11, INDEX_NAME, "count", "null", None, None, 3, 40), (12, None, "find", "all", None, None, 3, 40),
+    (13, INDEX_NAME, None, "all", None, None, 3, 40), (14, INDEX_NAME, "search", "all", None, None, -1, 40),
+    (15, INDEX_NAME, "find", "head", None, None, 3, 40), (16, INDEX_NAME, "find", "none", None, None, 3, 40),
+    (17, INDEX_NAME, "search", "head", None, None, 3, 40), (18, INDEX_NAME, "search", "none", None, None, 3, 40),
+    (19, INDEX_NAME, "get_doc_by_rank", "all", 1, 1 << 50, 3, 40),
+)
+KIND_SCHEMA = ("k int, index string, query_type string, part string, s int, rank bigint, max_results int, "
+               "max_ctx_len int")
+
+
 def request_table(spark, sf_dir) -> DataFrame:
-    """Requests derived from every ``benchmark`` item: count, find, search and get_doc_by_rank of its whole
-    text, plus an unknown index, an unknown type and a negative rank (error rows)."""
-    b = _bench(spark, sf_dir)
-    kinds = F.array(
-        F.struct(F.lit(0).alias("k"), F.lit(INDEX_NAME).alias("index"), F.lit("count").alias("query_type")),
-        F.struct(F.lit(1).alias("k"), F.lit(INDEX_NAME).alias("index"), F.lit("find").alias("query_type")),
-        F.struct(F.lit(2).alias("k"), F.lit(INDEX_NAME).alias("index"), F.lit("search").alias("query_type")),
-        F.struct(F.lit(3).alias("k"), F.lit(INDEX_NAME).alias("index"), F.lit("get_doc_by_rank").alias("query_type")),
-        F.struct(F.lit(4).alias("k"), F.lit("missing").alias("index"), F.lit("count").alias("query_type")),
-        F.struct(F.lit(5).alias("k"), F.lit(INDEX_NAME).alias("index"), F.lit("grep").alias("query_type")),
-        F.struct(F.lit(6).alias("k"), F.lit(INDEX_NAME).alias("index"), F.lit("get_doc_by_rank").alias("query_type")))
-    x = b.select("item_id", "text", F.explode(kinds).alias("r"))
+    """One request of each kind for every ``benchmark`` item: all four types, short, long and empty queries, and every
+    way in which a request can be wrong."""
+    kinds = spark.createDataFrame(REQUEST_KINDS, KIND_SCHEMA).withColumnRenamed("k", "_k")
+    x = _bench(spark, sf_dir).select("item_id", "text").join(F.broadcast(kinds))
     return x.select(
-        (F.col("item_id") * 10 + F.col("r.k")).cast("bigint").alias("req_id"), F.col("r.index").alias("index"),
-        F.col("r.query_type").alias("query_type"), F.col("text").alias("query"),
-        F.when(F.col("r.k") == 3, F.lit(1)).when(F.col("r.k") == 6, F.lit(0)).cast("int").alias("s"),
-        F.when(F.col("r.k") == 3, F.col("item_id") * 997).when(F.col("r.k") == 6, F.lit(-1)).cast("bigint").alias("rank"),
-        F.lit(3).alias("max_results"), F.lit(40).alias("max_ctx_len"))
-
-
-REQUESTS_SQL = """
-WITH k AS (SELECT * FROM (VALUES (0, 'documents', 'count'), (1, 'documents', 'find'), (2, 'documents', 'search'),
-             (3, 'documents', 'get_doc_by_rank'), (4, 'missing', 'count'), (5, 'documents', 'grep'),
-             (6, 'documents', 'get_doc_by_rank')) AS t(k, idx, qt)),
-r AS (SELECT CAST(item_id * 10 + k AS BIGINT) AS req_id, idx, qt AS query_type,
-             CASE WHEN k = 6 THEN -1 ELSE item_id * 997 END AS rank FROM benchmark, k)"""
-
-
-@register("request_errors", REQUESTS_SQL + """
-SELECT req_id, CASE WHEN idx <> 'documents' THEN 'Unknown index ' || idx || '.'
-                    WHEN query_type = 'grep' THEN 'Unknown query_type grep. Allowed: [''count'', ''find'', ''get_doc_by_rank'', ''search''].'
-                    ELSE 'rank must be non-negative, got ' || CAST(rank AS VARCHAR) || '.' END AS error
-FROM r WHERE idx <> 'documents' OR query_type = 'grep' OR rank < 0""")
+        (F.col("item_id") * 100 + F.col("_k")).cast("bigint").alias("req_id"), "index", "query_type",
+        F.when(F.col("part") == "all", F.col("text")).when(F.col("part") == "head", F.substring("text", 1, 3))
+        .when(F.col("part") == "none", F.lit("")).alias("query"),
+        "s", F.when((F.col("s") == 1) & F.col("rank").isNull(), F.col("item_id") * 997).otherwise(F.col("rank"))
+        .cast("bigint").alias("rank"), "max_results", "max_ctx_len")
+
+
+def _sql_value(v) -> str:
+    return "NULL" if v is None else sq(v) if isinstance(v, str) else str(v)
+
+
+REQUESTS_SQL = f"""
+kinds AS (SELECT * FROM (VALUES {", ".join("(" + ", ".join(map(_sql_value, k)) + ")" for k in REQUEST_KINDS)})
+          AS t(k, idx, query_type, part, s, rk, max_results, max_ctx_len)),
+rq AS (SELECT CAST(item_id * 100 + k AS BIGINT) AS req_id, idx, query_type, CAST(s AS BIGINT) AS s, max_results, max_ctx_len,
+              CASE part WHEN 'all' THEN text WHEN 'head' THEN substr(text, 1, 3) WHEN 'none' THEN '' END AS query,
+              CAST(CASE WHEN s = 1 AND rk IS NULL THEN item_id * 997 ELSE rk END AS BIGINT) AS rank
+       FROM benchmark, kinds),
+ve AS (SELECT *, CASE
+         WHEN idx IS NULL OR query_type IS NULL OR query IS NULL
+           THEN 'Missing required field: index, query_type and query are required.'
+         WHEN idx <> 'documents' THEN 'Unknown index ' || idx || '.'
+         WHEN query_type = 'grep' THEN 'Unknown query_type grep. Allowed: [''count'', ''find'', ''get_doc_by_rank'', ''search''].'
+         WHEN query_type <> 'get_doc_by_rank' THEN
+           CASE WHEN max_ctx_len < 0 THEN 'max_ctx_len must be non-negative, got ' || max_ctx_len || '.' END
+         WHEN s IS NULL OR rank IS NULL THEN 'get_doc_by_rank needs s and rank.'
+         WHEN s NOT BETWEEN 0 AND {NUM_SHARDS - 1} THEN 'Shard index s=' || s || ' is out of range [0, {NUM_SHARDS}).'
+         WHEN rank < 0 THEN 'rank must be non-negative, got ' || rank || '.' END AS error FROM rq)"""
+
+
+@register("request_errors", f"WITH {REQUESTS_SQL} SELECT req_id, error FROM ve WHERE error IS NOT NULL")
 def request_errors(spark, sf_dir):
     v = RQ.validate(request_table(spark, sf_dir), [INDEX_NAME], {INDEX_NAME: NUM_SHARDS})
     return v.filter(F.col("error").isNotNull()).select("req_id", "error")
 
 
-@register("dispatch_batch")
+# Every answer by its definition: hits by their whole bytes, order by the shard's next 64 KiB among rows of equal keys.
+# The spans of a hit are one string: '0:' before a marked fragment, '-:' before another, '|' between fragments.
+DISPATCH_SQL = f"""
+WITH {LAYOUT_SQL}{HEX_SQL}{SUFFIX_ROWS_SQL},{REQUESTS_SQL},
+sh AS (SELECT shard, string_agg('FF' || hex(encode(text)), '' ORDER BY doc_ix) || '00' AS shx,
+              max(shard_bytes) AS shard_bytes FROM c GROUP BY shard),
+ks AS (SELECT shard, k, count(*) AS n,
+              coalesce(sum(count(*)) OVER (PARTITION BY shard ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+              AS r FROM keys GROUP BY shard, k),
+kr AS (SELECT keys.*, ks.r, ks.n AS same FROM keys JOIN ks ON ks.shard = keys.shard AND ks.k = keys.k),
+q AS (SELECT DISTINCT query, hex(encode(query)) AS qx, strlen(query) AS n, substr(hex(encode(query)), 1, 64) AS qk
+      FROM ve WHERE error IS NULL),
+lens AS (SELECT DISTINCT n FROM q WHERE n BETWEEN 1 AND 32),
+hits AS (
+  SELECT q.query, k.shard, k.ptr, k.doc_ix, k.r FROM lens CROSS JOIN kr k
+    JOIN q ON q.n = lens.n AND substr(k.k, 1, 2 * lens.n) = q.qx
+  UNION ALL SELECT q.query, k.shard, k.ptr, k.doc_ix, k.r FROM kr k JOIN q ON q.n > 32 AND k.k = q.qk
+    JOIN h ON h.doc_ix = k.doc_ix WHERE substr(h.hx, 2 * (k.ptr - h.data_offset - 1) + 1, 2 * q.n) = q.qx),
+u AS (SELECT shard, k, 1 AS w, 1 AS tag, NULL AS query FROM keys
+      UNION ALL SELECT sh.shard, qk, 0, 0, query FROM q CROSS JOIN sh WHERE n > 0),
+below AS (SELECT shard, query, tag, coalesce(sum(w) OVER (PARTITION BY shard ORDER BY k, tag
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM u),
+less AS (SELECT q.query, k.shard, count(*) AS lt FROM kr k JOIN q ON q.n > 32 AND k.k = q.qk JOIN h ON h.doc_ix = k.doc_ix
+         WHERE substr(h.hx, 2 * (k.ptr - h.data_offset - 1) + 1, 2 * q.n) < q.qx GROUP BY q.query, k.shard),
+eq AS (SELECT query, shard, count(*) AS c FROM hits GROUP BY query, shard),
+iv AS (SELECT q.query, below.shard, CAST(b + coalesce(lt, 0) AS BIGINT) AS lo,
+              CAST(b + coalesce(lt, 0) + coalesce(eq.c, 0) AS BIGINT) AS hi
+       FROM q JOIN below ON below.query = q.query AND below.tag = 0
+       LEFT JOIN less ON less.query = q.query AND less.shard = below.shard
+       LEFT JOIN eq ON eq.query = q.query AND eq.shard = below.shard
+       UNION ALL SELECT '', shard, 0, CAST(shard_bytes AS BIGINT) FROM sh),
+near AS (SELECT hits.* FROM hits JOIN iv ON iv.query = hits.query AND iv.shard = hits.shard WHERE r < lo + 3
+         UNION ALL SELECT '', shard, ptr, doc_ix, r FROM kr WHERE r < 3),
+ord AS (SELECT near.*, row_number() OVER (PARTITION BY near.query, near.shard
+                 ORDER BY substr(shx, 2 * ptr + 1, {2 * ORDER_BYTES})) - 1 AS i FROM near JOIN sh ON sh.shard = near.shard),
+top AS (SELECT ord.query, ord.shard, ord.ptr, ord.doc_ix, iv.lo + i AS rank,
+               row_number() OVER (PARTITION BY ord.query ORDER BY i, ord.shard) - 1 AS hit
+        FROM ord JOIN iv ON iv.query = ord.query AND iv.shard = ord.shard),
+asked AS (SELECT ve.req_id, kr.shard, kr.ptr, kr.doc_ix, ve.rank,
+                 kr.r + row_number() OVER (PARTITION BY ve.req_id ORDER BY substr(shx, 2 * ptr + 1, {2 * ORDER_BYTES})) - 1 AS at
+          FROM ve JOIN kr ON kr.shard = ve.s AND ve.rank >= kr.r AND ve.rank < kr.r + kr.same
+          JOIN sh ON sh.shard = kr.shard WHERE error IS NULL AND query_type = 'get_doc_by_rank'),
+got AS (SELECT ve.req_id, query_type, ve.query, ve.max_ctx_len, shard, ptr, doc_ix, top.rank, hit
+        FROM ve JOIN top ON top.query = ve.query AND hit < ve.max_results WHERE error IS NULL AND query_type = 'search'
+        UNION ALL SELECT ve.req_id, query_type, query, max_ctx_len, shard, ptr, doc_ix, ve.rank, NULL
+        FROM ve JOIN asked ON asked.req_id = ve.req_id AND asked.at = asked.rank),
+win AS (SELECT got.*, h.doc_len, h.metadata, h.hx, h.data_offset,
+               greatest(h.data_offset + 1, greatest(ptr - max_ctx_len, 0)) AS a,
+               least(h.data_offset + 1 + h.doc_len, ptr + strlen(query) + max_ctx_len) AS b
+        FROM got JOIN h ON h.doc_ix = got.doc_ix),
+txt AS (SELECT *, try(decode(unhex(substr(hx, 2 * (a - data_offset - 1) + 1, 2 * greatest(b - a, 0))))) AS t FROM win),
+marked AS (SELECT *, string_split(t, query) AS p FROM txt),
+answers AS (
+  SELECT req_id, query_type, NULL::BIGINT AS count, NULL::BIGINT AS shard, NULL::BIGINT AS lo, NULL::BIGINT AS hi,
+         NULL::BIGINT AS hit, NULL::BIGINT AS rank, NULL::BIGINT AS doc_ix, NULL::BIGINT AS doc_len, NULL::BIGINT AS disp_len,
+         NULL::BIGINT AS needle_offset, NULL::VARCHAR AS metadata, NULL::VARCHAR AS text, error, NULL::VARCHAR AS spans
+  FROM ve WHERE error IS NOT NULL
+  UNION ALL BY NAME SELECT req_id, query_type, CAST(sum(hi - lo) AS BIGINT) AS count FROM ve JOIN iv ON iv.query = ve.query
+    WHERE error IS NULL AND query_type = 'count' GROUP BY req_id, query_type
+  UNION ALL BY NAME SELECT req_id, query_type, shard, lo, hi FROM ve JOIN iv ON iv.query = ve.query
+    WHERE error IS NULL AND query_type = 'find'
+  UNION ALL BY NAME SELECT req_id, query_type, 'rank ' || rank || ' is out of range for shard ' || s || '.' AS error
+    FROM ve JOIN sh ON sh.shard = ve.s WHERE error IS NULL AND query_type = 'get_doc_by_rank' AND rank >= shard_bytes
+  UNION ALL BY NAME SELECT req_id, query_type, shard, CAST(rank AS BIGINT) AS rank, CAST(hit AS BIGINT) AS hit, doc_ix,
+    CAST(doc_len AS BIGINT) AS doc_len, CAST(greatest(b - a, 0) AS BIGINT) AS disp_len,
+    CAST(greatest(ptr - a, 0) AS BIGINT) AS needle_offset, metadata, t AS text,
+    CASE WHEN t IS NULL THEN {sq(RT.DECODE_ERROR)} END AS error,
+    CASE WHEN query = '' THEN '-:' || t WHEN t IS NOT NULL THEN coalesce(array_to_string(list_filter(flatten(
+      list_transform(p, lambda x, i: CASE WHEN i = 1 THEN ['-:' || x] ELSE ['0:' || query, '-:' || x] END)),
+      lambda e: e <> '-:'), '|'), '') END AS spans
+    FROM marked)
+SELECT * FROM answers"""
+
+
+@register("dispatch_batch", DISPATCH_SQL)
 def dispatch_batch(spark, sf_dir):
     corp = documents(spark, sf_dir)
     idx = suffix_index(spark, sf_dir, ranked=True)
-    return RQ.dispatch({INDEX_NAME: (corp, idx)}, request_table(spark, sf_dir))
+    out = RQ.dispatch({INDEX_NAME: (corp, idx, suffix_hist(spark, sf_dir, ranked=True))}, request_table(spark, sf_dir))
+    labelled = F.transform("spans", lambda s: F.concat(F.coalesce(s["label"], F.lit("-")), F.lit(":"), s["fragment"]))
+    return out.withColumn("spans", F.array_join(labelled, "|")).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 # ---- batch count over data-derived terms (needs the hex building blocks above) ----------------------

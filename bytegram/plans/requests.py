@@ -109,21 +109,23 @@ def search_batch(index: DataFrame, layout: DataFrame, reqs: DataFrame, k: int =
 def dispatch(corpora: dict, requests: DataFrame) -> DataFrame:
     """Answer a request table against named corpora.
 
-    ``corpora``: ``name -> (Corpus, ranked suffix table DataFrame)``. Output columns: ``req_id, query_type,
+    ``corpora``: ``name -> (Corpus, ranked suffix table[, its prefix histogram])``; with the histogram, ``find`` requests
+    aggregate only the two-byte buckets that they fall into. Output columns: ``req_id, query_type,
     count, shard, lo, hi, hit, rank, doc_ix, doc_len, disp_len, needle_offset, metadata, text, error, spans``.
     """
     names = list(corpora)
-    v = validate(requests, names, {n: c.layout.select("shard").distinct().count() for n, (c, _) in corpora.items()})
+    v = validate(requests, names, {n: c[0].layout.select("shard").distinct().count() for n, c in corpora.items()})
     out = [v.filter(F.col("error").isNotNull()).select("req_id", "query_type", "error")]
     ok = v.filter(F.col("error").isNull())
-    for name, (corpus, index) in corpora.items():
+    for name, (corpus, index, *hist) in corpora.items():
         mine = ok.filter(F.col("index") == name)
         cnt = mine.filter(F.col("query_type") == "count")
         out.append(corpus.count_batch(cnt, qid="req_id", qcol="query")
                    .select(F.col("qid").alias("req_id"), F.lit("count").alias("query_type"), "count"))
         fnd = mine.filter(F.col("query_type") == "find")
-        out.append(SX.find_batch_indexed(index, corpus.layout, fnd, qid="req_id", qcol="query")
-                   .select(F.col("qid").alias("req_id"), F.lit("find").alias("query_type"), "shard", "lo", "hi"))
+        found = (SX.find_batch_bucketed(index, hist[0], corpus.layout, fnd, qid="req_id", qcol="query") if hist
+                 else SX.find_batch_indexed(index, corpus.layout, fnd, qid="req_id", qcol="query"))
+        out.append(found.select(F.col("qid").alias("req_id"), F.lit("find").alias("query_type"), "shard", "lo", "hi"))
         gd = mine.filter(F.col("query_type") == "get_doc_by_rank").select(
             "req_id", "query", F.col("s").cast("int").alias("s"), "rank", F.octet_length(utf8("query")).alias("needle_len"),
             F.coalesce("max_ctx_len", F.lit(DEFAULT_MAX_CTX_LEN)).alias("max_ctx_len"))

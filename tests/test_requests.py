@@ -25,7 +25,7 @@ def test_request_errors(spark):
 def test_dispatch_counts_match_count_batch(spark):
     out = R.QUERIES["dispatch_batch"](spark, SF)
     counts = {r["req_id"]: r["count"] for r in out.filter("query_type = 'count' AND error IS NULL").collect()}
-    direct = {r["qid"] * 10: r["count"] for r in R.QUERIES["count_batch"](spark, SF).collect()}
+    direct = {r["qid"] * 100: r["count"] for r in R.QUERIES["count_batch"](spark, SF).collect()}
     assert counts == direct
     searches = out.filter("query_type = 'search'").groupBy("req_id").count().collect()
     assert all(r["count"] <= 3 for r in searches)
