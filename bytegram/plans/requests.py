@@ -64,7 +64,8 @@ def search_batch(index: DataFrame, layout: DataFrame, reqs: DataFrame, k: int =
     if short_lens:
         # One pass over the index: one row per (key, present length), equi-joined on (length, prefix).
         per = F.array(*[F.struct(F.lit(n).alias("n"), F.substring("key", 1, n).alias("pre")) for n in short_lens])
-        pre = (index.select("shard", "rank", "ptr", "doc_ix", F.explode(per).alias("_x"))
+        near = SX.near_keys(index, r.filter((F.col("_n") >= 1) & (F.col("_n") <= k)), "_qb")
+        pre = (near.select("shard", "rank", "ptr", "doc_ix", F.explode(per).alias("_x"))
                .select("shard", "rank", "ptr", "doc_ix", F.col("_x.n").alias("_n"), F.col("_x.pre").alias("_qb"))
                .filter(F.octet_length("_qb") == F.col("_n")))
         rs = bc(r.filter((F.col("_n") >= 1) & (F.col("_n") <= k)))
@@ -73,7 +74,7 @@ def search_batch(index: DataFrame, layout: DataFrame, reqs: DataFrame, k: int =
         # Longer queries: candidates share the whole K-byte key; verify the full query on the text.
         rl = bc(r.filter(F.col("_n") > k).withColumn("key", F.substring("_qb", 1, k)))
         docs = layout.select("doc_ix", "data_offset", terminated_bytes(layout).alias("_bt"))
-        h = (index.join(rl, "key").join(docs, "doc_ix")
+        h = (SX.near_keys(index, rl, "_qb").join(rl, "key").join(docs, "doc_ix")
              .filter(F.expr("substring(_bt, ptr - data_offset, _n)") == F.col("_qb")))
         parts.append(h.select(*cols))
     if r.filter(F.col("_n") == 0).limit(1).count():

@@ -1,8 +1,12 @@
 """Literal lists are answered from one scan; intervals of long and empty documents; spans without a shuffle."""
+from collections import Counter
+
 from bytegram.operators import count as CT
 from bytegram.operators import find as FD
 from bytegram.operators import retrieve as RT
+from bytegram.operators import suffix as SX
 from bytegram.plans.corpus import Corpus
+from bytegram.session import scratch_path
 
 from . import brute
 
@@ -39,3 +43,17 @@ def test_spans_need_no_shuffle(spark):
     assert "Exchange" not in _plan(rows)
     assert sorted((r["k"], r["span_ix"], r["fragment"], r["label"]) for r in rows.collect()) == [
         (1, 0, "a ", None), (1, 1, "the", "0"), (1, 2, " b", None), (4, 0, "the", "0"), (4, 1, "the", "0")]
+
+
+def test_key_ranges_reach_the_index_scan(spark):
+    c = Corpus.from_shards(spark, [TEXTS[:1], ["a b c d e f g", "aé zé \U0001f600"]])
+    idx = spark.read.parquet(SX.build_index(c.layout, scratch_path(spark, "ranges-idx"), ranked=False))
+    keys = [bytes(r["key"]) for r in idx.collect()]
+    for heads in (["the", "a", "zé"], ["\U0001f600", "é", "e "], ["\x00", "\x7f"], ["", "c"]):
+        q = spark.createDataFrame([(h.encode(),) for h in heads], "b binary")
+        for limit in (1, 2, 64):
+            near = SX.near_keys(idx, q, "b", limit)
+            assert "PushedFilters" in (plan := _plan(near)) and "GreaterThanOrEqual(key" in plan.replace("[", "").replace("]", "")
+            got = Counter(bytes(r["key"]) for r in near.collect())
+            assert all(got[k] == keys.count(k) for k in keys if any(h and k.startswith(h.encode()) for h in heads))
+    assert SX.near_keys(idx, spark.createDataFrame([], "b binary"), "b").count() == 0
