@@ -3,7 +3,8 @@
 Each document's histograms of character classes and of common words are compared with references for languages by
 Jensen-Shannon distance (the square root of the divergence in bits, 0 to 1). The references are means over all
 documents of a language that pass the base rules and the length guards; the nearest reference counts, so a wrong or
-missing ``lang`` does no harm. A document is judged on a histogram only if it is long enough for it.
+missing ``lang`` does no harm. A document is judged on a histogram only if it is long enough for it. Common words are
+a fifth of a text, so even a document without any is not far away in words: the limit is a share of that distance.
 
 Null and empty texts have no words and fail the base rule. Repeated rows and null ids are judged like others. If no
 document of any language can serve as a reference, no document is rejected by divergence.
@@ -27,9 +28,12 @@ COMMON_WORDS = {
     "es": "de la que el en y a los se del las un por con una su",
 }
 CLASSES = ("lower", "upper", "digit", "space", "mark", "symbol", "letter_beyond_ascii", "control")
-#: Largest distance of a document that stays, and the fewest characters or words for which a distance counts.
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.27, 0.60
+#: Largest class distance of a document that stays, and the fewest characters or words for which a distance counts.
+MAX_CLASS_DISTANCE = 0.27
 MIN_CHARS, MIN_WORDS = 200, 100
+#: Largest word distance of a document that stays, as a share of what a document without any common word is away, and
+#: the least share of common words in a language's reference for which its word distance counts.
+MAX_WORD_SHARE, MIN_COMMON = 0.80, 0.05
 
 _SPACE = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
@@ -126,6 +130,15 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip((left + right) / 2, 0, 1))
 
 
+def word_shares(words: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Least distance of each row of word shares to the word references, as a share of that of a document without common
+    words; 0 if no reference holds enough of them."""
+    bare = np.zeros((1, known.shape[1]))
+    bare[0, -1] = 1
+    some = [js_distance(words, r) / js_distance(bare, r)[0] for r in known if 1 - r[-1] >= MIN_COMMON]
+    return np.min(some, axis=0) if some else np.zeros(len(words))
+
+
 def references(stats: DataFrame) -> np.ndarray:
     """One row of class shares and word shares for each language of ``COMMON_WORDS`` that has documents.
 
@@ -162,7 +175,8 @@ def quality(docs: DataFrame) -> DataFrame:
                 near = [np.min([js_distance(h, r) for r in part], axis=0)
                         for h, part in ((classes, known[:, :size]), (words, known[:, size:]))]
             n, chars = batch.column("n_words").to_numpy(), bins[:, :size].sum(axis=1)
-            far = (near[0] > MAX_CLASS_DISTANCE) & (chars >= MIN_CHARS) | (near[1] > MAX_WORD_DISTANCE) & (n >= MIN_WORDS)
+            share = word_shares(words, known[:, size:])
+            far = (near[0] > MAX_CLASS_DISTANCE) & (chars >= MIN_CHARS) | (share > MAX_WORD_SHARE) & (n >= MIN_WORDS)
             failed = batch.column("base_failed").to_numpy(zero_copy_only=False)
             keep = [c for c in batch.schema.names if c not in ("bins", "lang")]
             yield pa.RecordBatch.from_arrays(

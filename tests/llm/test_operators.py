@@ -217,6 +217,19 @@ def test_quality_verdict_against_plain_formula(spark):
     assert (~both[both.quality == 0].kept).mean() > 0.5
 
 
+def test_quality_rejects_long_texts_without_common_words(spark):
+    rng = random.Random(11)
+    salad = lambda: " ".join("".join(rng.choices("ehilnorst", k=rng.randint(3, 9))) for _ in range(300)).capitalize()
+    rows = [(-k, salad() + ".", lang) for k, lang in enumerate(("en", "de", "fr", "es"), 1)]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    got = {r["doc_id"]: r for r in quality_rules.quality(docs.unionByName(spark.createDataFrame(rows, docs.schema))).collect()}
+    for k, _, _ in rows:
+        assert not got[k]["base_failed"] and got[k]["class_distance"] <= quality_rules.MAX_CLASS_DISTANCE
+        assert not got[k]["kept"]
+    good = {r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").filter("quality = 1").collect()}
+    assert all(got[k]["kept"] for k in good if not got[k]["base_failed"])
+
+
 def test_classifier(spark, docs, empty):
     got = queries.op8_quality_classifier(spark, SF).toPandas().merge(spark.read.parquet(f"{SF}/labels.parquet").toPandas(), on="doc_id")
     held = got[got.held_out]
