@@ -41,8 +41,9 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared(spark, "warc")
-    warc.write_captures(pages(spark, sf_dir), path, min_revisit_bytes=1000)
-    return warc.capture_digests(warc.assemble(warc.read_records(spark, path)))
+    row = F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("row")
+    warc.write_captures(pages(spark, sf_dir).select("page_id", "url", "html", row), path, min_revisit_bytes=1000)
+    return warc.capture_digests(warc.whole_captures(warc.assemble(warc.read_records(spark, path))))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

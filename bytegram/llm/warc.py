@@ -5,8 +5,8 @@ metadata. Request and metadata name the response in ``WARC-Concurrent-To``. Arch
 so in every store that Spark reaches, as gzip files of whole records; they are read as binary files and parsed by
 ``Content-Length``, so payloads may hold anything.
 
-Null payloads are empty. Line ends in urls become blanks. A null url or page id leaves its header out. Rows that repeat
-a page id are captures of their own under one record id, and come back as such.
+Null payloads are empty. Line ends in urls become blanks. A null url or page id leaves its header out. Each row is a
+capture of its own, with record ids of its own, also where rows repeat or page ids are null.
 """
 from __future__ import annotations
 
@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bytegram.llm.common import written
+
 END = "\r\n"
 RECORDS_PER_FILE = 1500
 
@@ -38,17 +40,27 @@ def _record(headers: list[tuple[str, Column]], block: Column) -> Column:
 def write_captures(pages: DataFrame, path: str, min_revisit_bytes: int = 1000,
                    captured_at: str = "1970-01-01T00:00:00Z") -> None:
     """Write the captures of ``page_id, url, html``. Of equal payloads of at least ``min_revisit_bytes`` bytes that with
-    the largest page id is stored, the others revisit it."""
+    the largest page id is stored, the others revisit it.
+
+    A number in column ``row`` tells rows apart that repeat. Without one, the rows are numbered and written first: they
+    are read twice, and need not come in the same order again.
+    """
+    numbered = pages
+    if "row" not in pages.columns:
+        numbered = written(pages.select("page_id", "url", "html", F.monotonically_increasing_id().alias("row")), "pages")
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     clean = F.regexp_replace(F.col("url").cast("string"), "[\\r\\n]+", " ")
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), clean.alias("url"), html.alias("html"))
+    pages = numbered.select(F.col("page_id").cast("long").alias("page_id"), clean.alias("url"), html.alias("html"),
+                            F.col("row").cast("long").alias("row"))
     pages = pages.withColumns({"bytes": F.octet_length("html"), "digest": F.sha1(F.col("html").cast("binary"))})
     stored = (pages.filter(F.col("bytes") >= min_revisit_bytes).groupBy("digest")
-              .agg(F.max("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first"))
+              .agg(F.max("page_id").alias("first"), F.max_by("row", "page_id").alias("first_row"), F.count("*").alias("n"))
+              .filter("n > 1").select("digest", "first", "first_row"))
     pages = pages.join(stored, "digest", "left")
     revisit = F.coalesce(F.col("page_id") < F.col("first"), F.lit(False)) | (F.col("page_id").isNull() & F.col("first").isNotNull())
     page, url, day = F.col("page_id"), F.col("url"), F.lit(captured_at)
-    response = _record_id("response", page, F.col("digest"))
+    own = (page, F.col("digest"), F.col("row"))
+    response = _record_id("response", *own)
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "),
                     F.col("bytes").cast("string"), F.lit(END + END))
     common = [("WARC-Target-URI", url), ("WARC-Date", day), ("WARC-Page-ID", page)]
@@ -56,14 +68,14 @@ def write_captures(pages: DataFrame, path: str, min_revisit_bytes: int = 1000,
     kinds = F.when(revisit, _record(
         [("WARC-Type", F.lit("revisit")), ("WARC-Record-ID", response), *common, digest,
          ("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-         ("WARC-Refers-To", _record_id("response", F.col("first"), F.col("digest"))),
+         ("WARC-Refers-To", _record_id("response", F.col("first"), F.col("digest"), F.col("first_row"))),
          ("Content-Type", F.lit("application/http; msgtype=response"))], http)).otherwise(_record(
              [("WARC-Type", F.lit("response")), ("WARC-Record-ID", response), *common, digest,
               ("Content-Type", F.lit("application/http; msgtype=response"))], F.concat(http, F.col("html"))))
-    request = _record([("WARC-Type", F.lit("request")), ("WARC-Record-ID", _record_id("request", page, F.col("digest"))),
+    request = _record([("WARC-Type", F.lit("request")), ("WARC-Record-ID", _record_id("request", *own)),
                        *common, ("WARC-Concurrent-To", response), ("Content-Type", F.lit("application/http; msgtype=request"))],
                       F.concat(F.lit("GET "), F.coalesce(url, F.lit("/")), F.lit(f" HTTP/1.1{END}{END}")))
-    metadata = _record([("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", _record_id("metadata", page, F.col("digest"))),
+    metadata = _record([("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", _record_id("metadata", *own)),
                         *common, ("WARC-Concurrent-To", response), ("Content-Type", F.lit("application/warc-fields"))],
                        F.concat(F.lit("payloadBytes: "), F.col("bytes").cast("string"), F.lit(END)))
     (pages.select(F.explode(F.array(request, kinds, metadata)).alias("value")).write
@@ -148,6 +160,17 @@ def assemble(records: DataFrame) -> DataFrame:
     return main.join(rest, "capture_id", "full")
 
 
+def whole_captures(captures: DataFrame) -> DataFrame:
+    """``captures``, which must be as ``write_captures`` makes them: a response or revisit with one request and one
+    metadata record of the same page. Any other capture fails the query."""
+    request, metadata = F.get("requests", F.lit(0)), F.get("metadata", F.lit(0))
+    page = F.col("response.page_id")
+    whole = (F.col("response").isNotNull() & (F.size("requests") == 1) & (F.size("metadata") == 1)
+             & page.eqNullSafe(request["page_id"]) & page.eqNullSafe(metadata["page_id"]))
+    return captures.withColumn("response", F.when(whole, F.col("response")).otherwise(F.raise_error(F.concat(
+        F.lit("capture without its request, response and metadata: "), F.coalesce("capture_id", F.lit("no id"))))))
+
+
 def capture_digests(captures: DataFrame) -> DataFrame:
     """``page_id, payload_bytes, payload_digest, record_type, refers_to`` (a page id) of each capture with a response."""
     rows = captures.filter("response IS NOT NULL").select("response.*")

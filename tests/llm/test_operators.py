@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from bytegram.llm import decontam, gam, langid, licenses, packing, pfor, quality_rules, queries, simhash, suffix_dedup, warc
 
@@ -289,6 +290,27 @@ def test_warc(spark, tmp_path):
     warc.write_captures(pages.limit(0), str(tmp_path / "e"))
 
 
+def test_warc_transactions_of_repeated_rows(spark, tmp_path):
+    rows = [(7, "u", "x" * 2000)] * 3 + [(5, "u", "x" * 2000)] * 2 + [(None, "u", "n")] * 3 + [(8, "u", "s")] * 2
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    warc.write_captures(pages, str(tmp_path / "w"))
+    records = warc.read_records(spark, str(tmp_path / "w"))
+    assert records.select("record_id").distinct().count() == 3 * len(rows)
+    captures = warc.whole_captures(warc.assemble(records)).collect()
+    assert len(captures) == len(rows) and all(len(r["requests"]) == len(r["metadata"]) == 1 for r in captures)
+    stored = {r["response"]["record_id"]: r["response"]["page_id"] for r in captures if r["response"]["type"] == "response"}
+    assert [stored[r["response"]["refers_to"]] for r in captures if r["response"]["type"] == "revisit"] == [7, 7]
+    for kind in ("request", "metadata", "response"):
+        some = warc.whole_captures(warc.assemble(records.filter(F.col("type") != kind)))
+        with pytest.raises(Exception, match="capture without its request"):
+            warc.capture_digests(some).collect()
+
+
+def test_warc_query_joins_the_transactions(spark):
+    plan = queries.op5_warc_transactions(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "concurrent_to" in plan and "collect_list" in plan and "Join FullOuter" in plan
+
+
 def test_decontamination(spark, empty):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(500)]
