@@ -2,9 +2,15 @@
 
 Each document's histograms of character classes and of common words are compared with references for languages by
 Jensen-Shannon distance (the square root of the divergence in bits, 0 to 1). The references are means over all
-documents of a language that pass the base rules and the length guards; the nearest reference counts, so a wrong or
-missing ``lang`` does no harm. A document is judged on a histogram only if it is long enough for it. Common words are
-a fifth of a text, so even a document without any is not far away in words: the limit is a share of that distance.
+documents of a language that pass the base rules and the length guards. A document is judged on a histogram only if it
+is long enough for it. Common words are a fifth of a text, so even a document without any is not far away in words: the
+limit is a share of that distance.
+
+Each ``lang`` with enough documents has a reference of classes, those of ``COMMON_WORDS`` one of words as well. The nearest
+counts of the references of the ``COMMON_WORDS`` languages, that of the document's own ``lang`` and, if most letters are
+beyond ASCII, those of which the same is true: so a wrong ``lang`` does no harm. A document in a language without a
+reference is not judged by it. One without a ``lang`` is judged like those of ``COMMON_WORDS``, unless most of its letters
+are beyond ASCII: then on classes only, and only if a reference is of that kind.
 
 Null and empty texts have no words and fail the base rule. Repeated rows and null ids are judged like others. If no
 document of any language can serve as a reference, no document is rejected by divergence.
@@ -34,6 +40,8 @@ MIN_CHARS, MIN_WORDS = 200, 100
 #: Largest word distance of a document that stays, as a share of what a document without any common word is away, and
 #: the least share of common words in a language's reference for which its word distance counts.
 MAX_WORD_SHARE, MIN_COMMON = 0.80, 0.05
+#: Fewest documents that make a reference.
+MIN_DOCUMENTS = 5
 
 _SPACE = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
@@ -139,23 +147,30 @@ def word_shares(words: np.ndarray, known: np.ndarray) -> np.ndarray:
     return np.min(some, axis=0) if some else np.zeros(len(words))
 
 
-def references(stats: DataFrame) -> np.ndarray:
-    """One row of class shares and word shares for each language of ``COMMON_WORDS`` that has documents.
+def references(stats: DataFrame) -> dict[str, np.ndarray]:
+    """Class shares and word shares, in one row, of each language that has documents enough.
 
     Means over all its documents that pass the base rules and are long enough; only these few rows reach the driver.
     """
-    good = stats.filter(~F.col("base_failed") & (F.col("n_words") >= MIN_WORDS) & F.col("lang").isin([*COMMON_WORDS]))
+    good = stats.filter(~F.col("base_failed") & (F.col("n_words") >= MIN_WORDS) & F.col("lang").isNotNull())
     size = len(CLASSES)
     classes = F.slice("bins", 1, size)
     words = F.slice("bins", size + 1, BINS - size)
     chars = F.aggregate(classes, F.lit(0).cast("long"), lambda a, x: a + x)
     shares = F.concat(F.transform(classes, lambda x: x / chars), F.transform(words, lambda x: x / F.col("n_words")))
     means = (good.select("lang", F.posexplode(shares).alias("slot", "share"))
-             .groupBy("lang", "slot").agg(F.avg("share").alias("share")).collect())
+             .groupBy("lang", "slot").agg(F.avg("share").alias("share"), F.count("*").alias("n"))
+             .filter(F.col("n") >= MIN_DOCUMENTS).collect())
     out = {lang: np.zeros(BINS) for lang in sorted({r["lang"] for r in means})}
     for r in means:
         out[r["lang"]][r["slot"]] = r["share"]
-    return np.array([*out.values()]).reshape(-1, BINS)
+    return out
+
+
+def beyond_ascii(classes: np.ndarray) -> np.ndarray:
+    """Of each row of class counts or shares, whether most letters are beyond ASCII."""
+    lower, upper, beyond = (classes[:, CLASSES.index(c)] for c in ("lower", "upper", "letter_beyond_ascii"))
+    return beyond > lower + upper
 
 
 def quality(docs: DataFrame) -> DataFrame:
@@ -163,20 +178,33 @@ def quality(docs: DataFrame) -> DataFrame:
     stats = statistics(docs).withColumn(
         "base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     stats = written(stats, "quality")
-    known = references(stats)
+    by_lang = references(stats)
     size = len(CLASSES)
+    known = np.array([*by_lang.values()]).reshape(-1, BINS)
+    at = {lang: i for i, lang in enumerate(by_lang)}
+    common = np.array([lang in COMMON_WORDS for lang in by_lang], dtype=bool)
+    other = beyond_ascii(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bins = batch.column("bins").flatten().to_numpy(zero_copy_only=False).reshape(-1, BINS)
             classes, words = _shares(bins)
+            langs = batch.column("lang").to_pylist()
+            own, none = np.array([at.get(x, -1) for x in langs]), np.array([x is None for x in langs])
+            beyond = beyond_ascii(classes)
             near = [np.zeros(len(bins)), np.zeros(len(bins))]
             if len(known):
-                near = [np.min([js_distance(h, r) for r in part], axis=0)
-                        for h, part in ((classes, known[:, :size]), (words, known[:, size:]))]
+                fits = common[:, None] | (np.arange(len(known))[:, None] == own) | other[:, None] & beyond
+                least = np.min(np.where(fits, [js_distance(classes, r) for r in known[:, :size]], np.inf), axis=0)
+                near[0] = np.where(np.isinf(least), 0, least)
+            if common.any():
+                near[1] = np.min([js_distance(words, r) for r in known[common, size:]], axis=0)
+            by_class = (own >= 0) | none & ~(beyond & ~other.any())
+            by_words = ~beyond & (none | (own >= 0) & np.append(common, False)[own])
             n, chars = batch.column("n_words").to_numpy(), bins[:, :size].sum(axis=1)
-            share = word_shares(words, known[:, size:])
-            far = (near[0] > MAX_CLASS_DISTANCE) & (chars >= MIN_CHARS) | (share > MAX_WORD_SHARE) & (n >= MIN_WORDS)
+            share = word_shares(words, known[common, size:])
+            far = (by_class & (near[0] > MAX_CLASS_DISTANCE) & (chars >= MIN_CHARS)
+                   | by_words & (share > MAX_WORD_SHARE) & (n >= MIN_WORDS))
             failed = batch.column("base_failed").to_numpy(zero_copy_only=False)
             keep = [c for c in batch.schema.names if c not in ("bins", "lang")]
             yield pa.RecordBatch.from_arrays(

@@ -231,6 +231,24 @@ def test_quality_rejects_long_texts_without_common_words(spark):
     assert all(got[k]["kept"] for k in good if not got[k]["base_failed"])
 
 
+def test_quality_keeps_languages_outside_the_common_four(spark):
+    rng = random.Random(12)
+    prose = lambda letters: ". ".join(" ".join("".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(9))
+                                      for _ in range(20))
+    noise = " ".join("".join(rng.choices("#|$%*&", k=6)) for _ in range(150))
+    cyrillic, greek = "абвгдежзиклмнопрстуя", "αβγδεζηθικλμνοπρστυ"
+    rows = [(-k, prose(cyrillic), "ru") for k in range(1, 9)] + [
+        (-20, prose(greek), "el"), (-21, prose("aeiolnrst"), "it"), (-22, prose(cyrillic), None), (-23, prose(cyrillic), "en")]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    more = [*rows, (-30, noise, "ru"), (-31, noise, "en"), (-32, noise, None)]
+    got = {r["doc_id"]: r for r in quality_rules.quality(docs.unionByName(spark.createDataFrame(more, docs.schema))).collect()}
+    assert not any(got[k]["base_failed"] for k, _, _ in more)
+    assert all(got[k]["kept"] for k, _, _ in rows) and not any(got[k]["kept"] for k in (-30, -31, -32))
+    some = spark.createDataFrame([(-20, prose(greek), None), (-32, noise, None)], docs.schema)
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.quality(docs.unionByName(some)).collect()}
+    assert got[-20] and not got[-32]
+
+
 def test_classifier(spark, docs, empty):
     got = queries.op8_quality_classifier(spark, SF).toPandas().merge(spark.read.parquet(f"{SF}/labels.parquet").toPandas(), on="doc_id")
     held = got[got.held_out]
