@@ -364,6 +364,19 @@ def test_decontamination(spark, empty):
     assert decontam.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_items_with_one_id_or_none(spark):
+    one, two, three, four = (" ".join(f"{c}{i}" for i in range(30)) for c in "abcd")
+    items = [(1, one), (1, two), (1, two), (None, three), (None, four), (2, one)]
+    rows = [(k, f"before it {t} after it") for k, t in enumerate((one, two, three, four, f"{one} {two} {three}"))]
+    docs = spark.createDataFrame([*rows, (9, "none of them is here at all")], "doc_id long, text string")
+    for kind in ("long", "string"):
+        bench = spark.createDataFrame(items, "item_id long, text string").selectExpr(f"cast(item_id AS {kind}) AS item_id", "text")
+        got = decontam.contaminated(docs, bench).collect()
+        assert {(r["n_shared"], r["n_shingles"]) for r in got} == {(26, 26)}
+        assert sorted((r["doc_id"], str(r["item_id"])) for r in got) == sorted([
+            (0, "1"), (0, "2"), (1, "1"), (2, "None"), (3, "None"), (4, "1"), (4, "1"), (4, "2"), (4, "None")])
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
