@@ -5,10 +5,11 @@ Languages are grouped into families by average linkage of their mean character n
 languages separates the close ones, by votes and then by margins.
 
 Features are hashed n-grams (one to three bytes, lower case, everything but letters as one blank) of the whole text. The
-model is fitted on the driver from at most ``max_rows`` documents outside the held-out fold, the same number for each
-language as far as there are so many, chosen by hash of their id; all rows are scored. Null texts and texts without a
-letter are ``und`` with score 0. Without any usable label, all are ``und``. Repeated rows and null ids are scored like
-others. Labels are the values of ``lang`` as they stand; of more than ``max_languages`` the commonest are learned.
+model is fitted on the driver from documents outside the held-out fold: of each language those with the smallest hashes of
+id and text, ``max_rows`` in all or at least ``MIN_EACH`` for each language, as far as there are so many; rows that repeat
+count once. All rows are scored. Null texts and texts without a letter are ``und`` with score 0. Without any usable label,
+all are ``und``. Repeated rows and null ids are scored like others. Labels are the values of ``lang`` as they stand; every
+one that occurs is learned.
 """
 from __future__ import annotations
 
@@ -17,12 +18,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bytegram.llm.common import fold
+from bytegram.llm.common import fold, written
 
-WIDTH, MAX_ROWS, MAX_LANGUAGES = 2048, 3000, 200
+WIDTH, MAX_ROWS, MIN_EACH = 2048, 3000, 10
 #: A document is taken as it is and as this many short runs of its words, so that short texts are learned as well.
 PARTS, PART_BYTES = 1, 80
 
@@ -78,9 +79,15 @@ class FamilyModel:
         means /= np.linalg.norm(means, axis=1, keepdims=True) if len(means) else 1
         near = means @ means.T
         groups = [[i] for i in range(len(self.langs))]
+        sums = near.astype(np.float64)
         while len(groups) > max(1, round(len(self.langs) ** 0.5)):
-            a, b = max(combinations(range(len(groups)), 2), key=lambda p: near[np.ix_(groups[p[0]], groups[p[1]])].mean())
+            n = np.array([len(g) for g in groups])
+            mean = np.where(np.triu(np.ones(sums.shape, dtype=bool), 1), sums / np.outer(n, n), -np.inf)
+            a, b = divmod(int(mean.argmax()), len(groups))
             groups[a] += groups.pop(b)
+            sums[a] += sums[b]
+            sums[:, a] += sums[:, b]
+            sums = np.delete(np.delete(sums, b, 0), b, 1)
         self.families = [[self.langs[i] for i in g] for g in groups]
         family = {a: k for k, g in enumerate(self.families) for a in g}
         of = np.array([family[a] for a in lang.tolist()])
@@ -119,22 +126,29 @@ class FamilyModel:
 def _parts(text: bytes, name: int) -> list[bytes]:
     words = text.split()
     out = [text]
-    for k in range(PARTS if len(text) > 2 * PART_BYTES else 0):
+    for k in range(PARTS if words and len(text) > 2 * PART_BYTES else 0):
         begin = (name * 7919 + k * 104729) % len(words)
         out.append(b" ".join(words[begin:begin + 12])[:PART_BYTES])
     return [t for t in out if has_letter(t)]
 
 
-def fit(docs: DataFrame, max_rows: int = MAX_ROWS, max_languages: int = MAX_LANGUAGES) -> FamilyModel | None:
-    """A model of ``lang`` from documents outside the held-out fold; none if there is nothing to learn from."""
+def training_rows(docs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """``lang, hash, doc_id, text`` of the documents to fit on: the same number for each language that occurs."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~fold(docs, 3, 1))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    if not counts:
-        return None
-    each = max(1, max_rows // len(counts))
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, each / r["count"]))])
-    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    sample = known.filter(part < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)))
+    known = known.select("lang", F.xxhash64("doc_id", "text").alias("hash"), "doc_id", "text")
+    names = written(known.select("lang", "hash").distinct(), "training-names")
+    counts = names.groupBy("lang").agg(F.count("*").alias("n"))
+    each = max(MIN_EACH, max_rows // max(1, counts.count()))
+    part = F.pmod("hash", F.lit(1 << 30))
+    few = names.join(F.broadcast(counts), "lang").filter(part / float(1 << 30) < (2 * each + 50) / F.col("n"))
+    order = Window.partitionBy("lang").orderBy(part, "hash")  # at most some 2 * each + 50 rows of a language
+    few = few.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= each).select("lang", "hash")
+    return known.join(F.broadcast(few), ["lang", "hash"]).dropDuplicates(["lang", "hash"])
+
+
+def fit(docs: DataFrame, max_rows: int = MAX_ROWS) -> FamilyModel | None:
+    """A model of ``lang`` from documents outside the held-out fold; none if there is nothing to learn from."""
+    sample = training_rows(docs, max_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,7 +159,6 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS, max_languages: int = MAX_LANG
 
     sample = sample.select("lang", F.col("text").cast("string").cast("binary").alias("text"),
                            F.abs(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)) % 1_000_003).alias("name"))
-    sample = sample.limit(2 * each * len(counts))  # never reached by an even hash: a bound, not a choice
     rows = sample.mapInArrow(run, "lang string, x binary").collect()
     if not rows:
         return None
@@ -158,9 +171,9 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS, max_languages: int = MAX_LANG
     return FamilyModel().fit(x, lang)
 
 
-def identify(docs: DataFrame, max_rows: int = MAX_ROWS, max_languages: int = MAX_LANGUAGES) -> DataFrame:
+def identify(docs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` of each document."""
-    model = fit(docs, max_rows, max_languages)
+    model = fit(docs, max_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

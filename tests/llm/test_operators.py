@@ -274,6 +274,24 @@ def test_language(spark, docs, empty):
     assert not langid.has_letter("12 – 3!".encode()) and langid.has_letter("é".encode())
 
 
+def test_language_learns_every_label(spark, monkeypatch):
+    def text(k, n):  # words of three letters of its own for each language
+        rng = random.Random(1000 * k + n)
+        return " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz"[k % 23:k % 23 + 3], k=4 + k // 23)) for _ in range(40))
+
+    rows = [(1000 * k + n, text(k, n), f"l{k:03}") for k in range(230) for n in range(3 if k else 9)]
+    blank = [(7_000_000 + k, c * 400, "l001") for k, c in enumerate(" \n\t")]
+    hot = [(None, text(5, 0), "l005")] * 3000 + [(6_000_000, text(6, 0), "l006")] * 3000
+    docs = spark.createDataFrame([*rows, *blank, *hot], "doc_id long, text string, lang string").repartition(4)
+    some = langid.training_rows(docs)
+    assert some.count() == some.select("lang", "doc_id", "text").distinct().count()
+    want = {x for k, _, x in rows if zlib.crc32(str(k).encode()) % 3 != 1}
+    assert {r["lang"] for r in some.select("lang").distinct().collect()} >= want and len(want) > 200
+    assert langid.training_rows(docs, 230).groupBy("lang").count().agg({"count": "max"}).first()[0] <= langid.MIN_EACH
+    monkeypatch.setattr(langid, "svm", lambda x, y: np.zeros(x.shape[1] + 1, dtype=np.float32))  # 230 labels: only who is learned
+    assert set(langid.fit(docs).langs) >= want
+
+
 def test_licenses(spark, empty):
     mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
     rows = [(1, "a/b/LICENSE", mit), (2, "a/b/c/x", "no word of it"), (3, "a/LICENSE", gpl), (4, "a/d/x", None), (5, "z/x", ""),
