@@ -4,6 +4,9 @@ A Structured Streaming file source tracks which files were already taken (its ch
 manifest). Every micro-batch is laid out as one new shard whose id is derived from the batch id, and is
 written with dynamic partition overwrite, so a retried batch rewrites the same shard instead of adding a
 copy. ``doc_ix`` continues after the documents of all earlier shards.
+
+The stream reads JSON-lines sources only. A Parquet source in the folder is not left out in silence: the ingest does not
+start, and a batch that finds one fails before it writes.
 """
 from __future__ import annotations
 
@@ -20,10 +23,19 @@ def _existing(spark: SparkSession, corpus_path: str, below_shard: int) -> int:
     return int(spark.read.parquet(corpus_path).filter(F.col("shard") < below_shard).count())
 
 
+def _no_parquet(spark: SparkSession, source_dir: str) -> None:
+    """Fail if there are Parquet sources among the stream's files."""
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(RC.qualify(source_dir).rstrip("/") + "/*.parquet")
+    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern)
+    if found:
+        raise ValueError(f"{len(found)} Parquet source(s) that the stream cannot ingest, as {found[0].getPath().toString()}")
+
+
 def ingest_stream(spark: SparkSession, source_dir: str, corpus_path: str, checkpoint_dir: str,
                   text_key: str = "text", available_now: bool = True, max_files_per_batch: int | None = None):
     """Start the ingest query; returns the ``StreamingQuery``. Each batch → one shard."""
     root = RC.qualify(source_dir).rstrip("/") + "/"
+    _no_parquet(spark, source_dir)
     reader = spark.readStream.format("text").option("pathGlobFilter", "*.{jsonl,json.gz,zst,zstd}")
     if max_files_per_batch:
         reader = reader.option("maxFilesPerTrigger", max_files_per_batch)
@@ -31,6 +43,7 @@ def ingest_stream(spark: SparkSession, source_dir: str, corpus_path: str, checkp
         RC.file_path_col().alias("_abs"), F.col("_metadata.file_block_start").alias("_blk"), "value")
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
+        _no_parquet(spark, source_dir)
         recs = RC.parse_jsonl_lines(RC.text_line_numbers(batch), root, text_key)
         shard = int(batch_id)
         base = _existing(spark, corpus_path, shard)

@@ -2,6 +2,8 @@ import json
 import os
 import tempfile
 
+import pytest
+
 from bytegram import Corpus
 from bytegram.streaming.ingest import ingest_stream
 
@@ -25,3 +27,13 @@ def test_incremental_ingest_new_files_become_shards(spark):
     assert len({s for s, _, _ in rows}) == 2
     assert c.count("beta").first()["count"] == 3
     assert os.path.isdir(ck)
+
+
+def test_parquet_sources_are_not_left_out_in_silence(spark, tmp_path):
+    src = tmp_path / "src"
+    src.mkdir()
+    (src / "a.jsonl").write_text(json.dumps({"text": "alpha"}) + "\n")
+    spark.createDataFrame([("beta",)], "text string").write.parquet(str(src / "b.parquet"))
+    with pytest.raises(ValueError, match="b.parquet"):
+        ingest_stream(spark, str(src), str(tmp_path / "corpus"), str(tmp_path / "ck"))
+    assert not (tmp_path / "corpus").exists()
