@@ -1,9 +1,10 @@
 """Best-fit packing of tokenised documents into sequences, by hierarchical residual packing.
 
 Round one runs where the documents lie: each task packs blocks of pieces by best fit (longest first) and emits nearly
-full bins. Underfull bins are then items themselves: each later round deals them into fewer groups of bounded size and
-packs them again by best fit, until one group is left, or a round saves next to nothing. No task ever holds more than
-``GROUP_BINS`` bins (about) or ``BLOCK_PIECES`` pieces, whatever the input.
+full bins. Underfull bins are then items themselves, a row with id and fill each: every later round deals them into
+fewer groups of bounded size and packs them again by best fit, until one group is left, or a round saves next to nothing.
+What the rounds decided reaches the pieces in one join by bin. A group holds about ``GROUP_BINS`` rows or ``BLOCK_PIECES``
+pieces, whatever the input.
 """
 from __future__ import annotations
 
@@ -92,31 +93,33 @@ def pack_documents(docs: DataFrame, tokenizer: str, keep_space: bool, end_id: in
             yield packed()
 
     def next_round(number: int):
-        def again(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.drop(columns="deal")
-            bins = rows.groupby("bin", sort=True)["fill"].first()
-            bin_of, offset, fill = best_fit(bins.to_numpy(), capacity)
-            at = bins.index.get_indexer(rows["bin"])
+        def again(key: tuple, bins: pd.DataFrame) -> pd.DataFrame:
+            bins = bins.sort_values("bin")
+            bin_of, offset, fill = best_fit(bins["fill"].to_numpy(), capacity)
             base = (number << 58) | (int(key[0]) << 36)
-            return rows.assign(bin=base + bin_of[at], offset=rows["offset"].to_numpy() + offset[at],
-                               fill=fill[bin_of[at]])
+            return pd.DataFrame({"was": bins["bin"], "bin": base + bin_of, "shift": offset, "fill": fill[bin_of]})
 
         return again
 
     rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
                    .mapInArrow(first_round, _COLUMNS), "packing")
-    done = rows.filter(F.col("fill") >= enough)
-    under = rows.filter(F.col("fill") < enough)
+    under = written(rows.filter(F.col("fill") < enough).groupBy("bin").agg(F.first("fill").alias("fill")), "bins")
+    # where each underfull bin of round one lies by now
+    moved = under.select(F.col("bin").alias("first"), "bin", F.lit(0).cast("long").alias("shift"))
     number, before = 0, None
     while True:
-        bins = under.filter("offset = 0").count()
+        bins = under.count()
         if bins <= 1 or before is not None and (before[1] == 1 or bins > 0.98 * before[0]):
             break
         groups = -(-bins // GROUP_BINS)
         before, number = (bins, groups), number + 1
         dealt = under.withColumn("deal", F.pmod(F.xxhash64("bin"), F.lit(groups)))
-        rows = written(dealt.groupBy("deal").applyInPandas(next_round(number), _COLUMNS), "packing")
-        done = done.unionByName(rows.filter(F.col("fill") >= enough))
-        under = rows.filter(F.col("fill") < enough)
-    return done.unionByName(under).select("doc_id", "piece", "start", "length", "ids_crc32",
-                                          F.col("bin").alias("sequence_id"), "offset")
+        made = written(dealt.groupBy("deal").applyInPandas(next_round(number), "was long, bin long, shift long, fill long"), "bins")
+        step = made.select("was", F.col("bin").alias("now"), F.col("shift").alias("more"))
+        moved = written(moved.join(step, moved["bin"] == step["was"], "left").select(
+            "first", F.coalesce("now", "bin").alias("bin"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift")), "moved")
+        under = made.filter(F.col("fill") < enough).groupBy("bin").agg(F.first("fill").alias("fill"))
+    moved = moved.select("first", F.col("bin").alias("now"), "shift")
+    return rows.join(moved, rows["bin"] == moved["first"], "left").select(
+        "doc_id", "piece", "start", "length", "ids_crc32", F.coalesce("now", "bin").alias("sequence_id"),
+        (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"))

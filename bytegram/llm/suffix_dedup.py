@@ -210,8 +210,11 @@ def remove_repeats(docs: DataFrame, length: int = 200, batches: int = 4, with_te
     for b in range(batches):
         family.add(found.filter(F.col("batch") == b).select("name"))
         released(spark)
-    some = written(found.join(family.repeated().distinct(), "name", "left_semi").drop("batch"), "candidates")
+    # written, so that both sides of the join are dealt out plainly and a hot name can be split
+    names = written(family.repeated().distinct(), "names")
+    some = written(found.join(names, "name", "left_semi").drop("batch"), "candidates")
     family.drop()
+    dropped(names)
     dropped(found)
     released(spark)
 
@@ -259,7 +262,8 @@ def _pass(texts: DataFrame, runs: DataFrame, length: int, look_for: str | None,
     Runs with a name are looked into for ``look_for``: "parts" (strings that all windows of a quarter of the run hold)
     or "windows"; without ``look_for`` all runs are repeated. What was found goes on with the text.
     """
-    runs = runs.groupBy("id", "hash").agg(F.collect_list("run").alias("runs"))  # at most as many as the text has places
+    # a set: rows that repeat as a whole have the same runs, which count once; so a text has at most as many as places
+    runs = runs.groupBy("id", "hash").agg(F.collect_set("run").alias("runs"))
     carried = [c for c in ("lows", "highs") if c in texts.columns]
     if carried:
         texts = texts.filter("text IS NOT NULL")

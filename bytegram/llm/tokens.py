@@ -3,7 +3,8 @@
 A text is cut where the tokenizer's own pre-tokenizer always cuts, before a blank or a line end. The distinct chunks of
 a batch are found by Arrow; each is encoded by the ``tokenizers`` library, and the ids of a text are the joined ids of
 its chunks. A chunk that is one Latin word with ASCII punctuation behind it is cut into these two pre-tokens, which go
-straight to the tokenizer's BPE model. A text in which white space makes a cut unsafe is encoded whole. The result
+straight to the tokenizer's BPE model. A text in which white space makes a cut unsafe is encoded whole, and so is one
+that holds the string of a special token, which becomes that token's id, as in a plain call of the library. The result
 equals encoding the whole text, which the tests check.
 """
 from __future__ import annotations
@@ -18,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pre-tokens whose ids a Python worker keeps at most.
+#: Pre-tokens, and chunks, whose ids a Python worker keeps at most.
 CACHED = 400_000
 #: Bytes of text that are encoded together.
 TOGETHER = 12 << 20
@@ -27,6 +28,20 @@ _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII punctuation without the ap
 _LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
+class _Chunks(dict):
+    """Ids of chunks, kept from one batch to the next; begins anew when it is full."""
+
+    def __init__(self, encoder: WordEncoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, chunk: str) -> bytes | None:
+        if len(self) >= CACHED:
+            self.clear()
+        found = self[chunk] = self.encoder._chunk(chunk)
+        return found
+
+
 class WordEncoder:
     """Encodes string arrays to ids. ``keep_space``: the tokenizer keeps white space in its tokens (byte level)."""
 
@@ -35,10 +50,11 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.model = self.tok.model
         self.keep_space = keep_space
         self.pieces: dict[str, bytes] = {}
+        self.chunks = _Chunks(self)
         # byte-level alphabet: printable bytes stand for themselves, the rest follow from code point 256 on
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(kept)]
@@ -72,6 +88,8 @@ class WordEncoder:
         if not chunk or chunk[-1].isspace():  # a longer run of white space
             return None
         line = chunk[0] == "\n"
+        if line and chunk[1:2].isspace():  # the line end would become one token with it
+            return None
         word = chunk.rstrip(_MARKS)
         if not _LATIN.fullmatch(word, line):
             return self.whole(chunk if line else " " + chunk)
@@ -89,7 +107,7 @@ class WordEncoder:
         ends = parts.offsets.to_numpy()
         named = parts.flatten().dictionary_encode()
         codes = named.indices.to_numpy()
-        found = [self._chunk(c) for c in named.dictionary.to_pylist()]
+        found = [self.chunks[c] for c in named.dictionary.to_pylist()]
         size = np.array([len(f) // 4 if f is not None else 0 for f in found], dtype=np.int64)
         pool = np.frombuffer(b"".join(f for f in found if f), dtype="<u4")
         n = size[codes]
@@ -99,10 +117,13 @@ class WordEncoder:
         if self.keep_space:
             unsafe[ends[:-1]] = False  # the empty chunk before the added line end
         bad = np.concatenate([[0], np.cumsum(unsafe)])[ends]
+        special = np.zeros(len(texts), dtype=bool)
+        for s in self.special:
+            special |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
         doc = upto[ends]
         out = []
         for i in range(len(texts)):
-            if bad[i + 1] > bad[i]:
+            if special[i] or bad[i + 1] > bad[i]:
                 out.append(np.frombuffer(self.whole(texts[i].as_py()), dtype="<u4"))
             else:
                 out.append(ids[doc[i] + self.keep_space:doc[i + 1]])
