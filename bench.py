@@ -50,8 +50,7 @@ def main() -> None:
         times[name] = round(time.time() - t0, 3)
 
     timed("layout", lambda: R.documents(spark, SF_DIR).layout)
-    timed("build_index", lambda: R.suffix_index(spark, SF_DIR, ranked=False))
-    timed("build_ranked_index", lambda: R.suffix_index(spark, SF_DIR, ranked=True))
+    timed("build_index", lambda: R.ordered_index(spark, SF_DIR))
     for name in HEADLINE:
         timed(name, lambda n=name: R.QUERIES[n](spark, SF_DIR).write.format("noop").mode("overwrite").save())
     q = {k: v for k, v in times.items() if k in HEADLINE}

@@ -17,6 +17,10 @@ DEFAULT_MAX_RESULTS = 10
 DEFAULT_MAX_CTX_LEN = 200
 QUERY_TYPES = ("count", "find", "get_doc_by_rank", "search")
 
+# Texts of refused arguments.
+SHARD_RANGE = "Shard index s={s} is out of range [0, {n})."
+NEGATIVE = "{name} must be non-negative, got {value}."
+
 # Highlight label of a needle fragment.
 HIGHLIGHT_LABEL = "0"
 

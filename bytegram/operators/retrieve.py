@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..constants import DEFAULT_MAX_CTX_LEN, DEFAULT_MAX_RESULTS, SUFFIX_KEY_BYTES
+from ..constants import DEFAULT_MAX_CTX_LEN, DEFAULT_MAX_RESULTS, NEGATIVE, SUFFIX_KEY_BYTES
 from ..functions.bytes import lit_bytes, successor, utf8
 from .find import terminated_bytes
 
@@ -82,6 +82,13 @@ def context_windows(hits: DataFrame, layout: DataFrame, needle_len: int | Column
                     F.when(F.col("data_offset").isNotNull(), F.col("metadata")).alias("metadata"))
 
 
+def check_limits(max_ctx_len: int, needle_len: int = 0) -> None:
+    """Raise for lengths that no request may have."""
+    for name, value in (("needle_len", needle_len), ("max_ctx_len", max_ctx_len)):
+        if value < 0:
+            raise ValueError(NEGATIVE.format(name=name, value=value))
+
+
 # ---- ranked access -------------------------------------------------------------------------------
 
 def ranked_hits(index: DataFrame, q: str, max_per_shard: int | None = None,

@@ -250,8 +250,9 @@ def count_batch(spark, sf_dir):
 # ---- find by scan --------------------------------------------------------------------------------
 
 from ..operators import find as FD  # noqa: E402
+from ..operators import ordered as OD  # noqa: E402
 from ..operators import retrieve as RT  # noqa: E402
-from ..operators import suffix as SX  # noqa: E402
+from ..operators.pruning import local  # noqa: E402
 
 FIND_QUERIES = (Q_COMMON, Q_MULTIBYTE, Q_BORDER, Q_ABSENT)
 
@@ -431,23 +432,18 @@ from pyspark.errors import AnalysisException  # noqa: E402
 from ..session import stable_path  # noqa: E402
 
 
-def suffix_index(spark: SparkSession, sf_dir: str, ranked: bool) -> DataFrame:
-    """The suffix table of the ``documents`` corpus, built once per session into the shared checkpoint
-    folder and reopened by later queries."""
-    tag = hashlib.sha1(f"{sf_dir}|{NUM_SHARDS}|{ranked}".encode()).hexdigest()[:12]
-    path = stable_path(spark, f"suffix-index-{tag}")
+def ordered_index(spark: SparkSession, sf_dir: str) -> OD.OrderedIndex:
+    """The sorted suffix table of the ``documents`` corpus and its directories, built once per session into the shared
+    checkpoint folder and reopened by later queries."""
+    path = stable_path(spark, "ordered-" + hashlib.sha1(f"{sf_dir}|{NUM_SHARDS}".encode()).hexdigest()[:12])
     try:
-        return spark.read.parquet(path)
+        return OD.open_ordered(spark, path)
     except AnalysisException:
-        SX.build_index(documents(spark, sf_dir).layout, path, ranked=ranked)
-        return spark.read.parquet(path)
+        return OD.build_ordered(documents(spark, sf_dir).layout, path)
 
 
-def suffix_hist(spark: SparkSession, sf_dir: str, ranked: bool) -> DataFrame:
-    """The two-byte prefix histogram written next to the suffix table."""
-    suffix_index(spark, sf_dir, ranked)
-    tag = hashlib.sha1(f"{sf_dir}|{NUM_SHARDS}|{ranked}".encode()).hexdigest()[:12]
-    return spark.read.parquet(SX.hist_path(stable_path(spark, f"suffix-index-{tag}")))
+def _asked(spark: SparkSession, queries) -> DataFrame:
+    return local(spark, list(enumerate(queries)), ["qid", "query"])
 
 
 SUFFIX_ROWS_SQL = f"""{heads_sql(32, "heads32")},
@@ -461,32 +457,19 @@ keys AS (
 WITH {LAYOUT_SQL}{HEX_SQL}{SUFFIX_ROWS_SQL}
 SELECT shard, CAST(ptr AS BIGINT) AS ptr, doc_ix, k AS key_hex FROM keys""")
 def suffix_table(spark, sf_dir):
-    idx = suffix_index(spark, sf_dir, ranked=False)
+    idx = ordered_index(spark, sf_dir).rows
     return idx.select(F.col("shard").cast("bigint").alias("shard"), "ptr", "doc_ix", F.hex("key").alias("key_hex"))
 
 
 @register("count_indexed", literal_counts_sql(FIND_QUERIES))
 def count_indexed(spark, sf_dir):
-    idx = suffix_index(spark, sf_dir, ranked=False)
-    lay = documents(spark, sf_dir).layout
-    out = None
-    hist = suffix_hist(spark, sf_dir, ranked=False)
-    for q in FIND_QUERIES:
-        r = SX.count_indexed(idx, lay, q, hist=hist)
-        out = r if out is None else out.unionByName(r)
-    return out
+    found = OD.find(ordered_index(spark, sf_dir), documents(spark, sf_dir).layout, _asked(spark, FIND_QUERIES))
+    return found.groupBy("query").agg(F.sum(F.col("hi") - F.col("lo")).cast("bigint").alias("count"))
 
 
 @register("find_indexed", find_sql(FIND_QUERIES + ("",)))
 def find_indexed(spark, sf_dir):
-    idx = suffix_index(spark, sf_dir, ranked=False)
-    lay = documents(spark, sf_dir).layout
-    out = None
-    hist = suffix_hist(spark, sf_dir, ranked=False)
-    for q in FIND_QUERIES + ("",):
-        r = SX.find_indexed(idx, lay, q, hist=hist)
-        out = r if out is None else out.unionByName(r)
-    return out
+    return OD.find(ordered_index(spark, sf_dir), documents(spark, sf_dir).layout, _asked(spark, FIND_QUERIES + ("",))).drop("qid")
 
 
 @register("find_batch", f"""
@@ -505,10 +488,7 @@ SELECT q.qid, q.query, r.shard, CAST(r.before + coalesce(lt2, 0) AS BIGINT) AS l
        CAST(r.before + coalesce(lt2, 0) + coalesce(eq2, 0) AS BIGINT) AS hi
 FROM q JOIN r ON r.qid = q.qid AND r.tag = 0 LEFT JOIN v ON v.qid = q.qid AND v.shard = r.shard""")
 def find_batch(spark, sf_dir):
-    idx = suffix_index(spark, sf_dir, ranked=False)
-    lay = documents(spark, sf_dir).layout
-    hist = suffix_hist(spark, sf_dir, ranked=False)
-    return SX.find_batch_bucketed(idx, hist, lay, _bench(spark, sf_dir), qid="item_id", qcol="text")
+    return OD.find(ordered_index(spark, sf_dir), documents(spark, sf_dir).layout, _bench(spark, sf_dir), "item_id", "text")
 
 
 # ---- ranked access (exact suffix order) ----------------------------------------------------------------
@@ -541,31 +521,28 @@ w AS (SELECT *, try(decode(unhex(substr(hx, 2 * (a - data_offset - 1) + 1, 2 * g
 
 def _ranked_requests(spark, sf_dir, q: str) -> DataFrame:
     """Requests for every rank of ``q``'s intervals (derived from the index)."""
-    idx = suffix_index(spark, sf_dir, ranked=True)
-    f = SX.find_indexed(idx, documents(spark, sf_dir).layout, q)
+    f = OD.find(ordered_index(spark, sf_dir), documents(spark, sf_dir).layout, _asked(spark, [q]))
     return (f.filter(F.col("hi") > F.col("lo"))
-            .select(F.col("shard").cast("int").alias("s"), F.explode(F.sequence("lo", F.col("hi") - 1)).alias("rank")))
+            .select(F.col("shard").cast("int").alias("shard"), F.explode(F.sequence("lo", F.col("hi") - 1)).alias("rank")))
 
 
 @register("rank_to_ptr", ranked_sql(Q_BORDER).format(ctx=0) + " SELECT shard, rank, ptr, doc_ix FROM rk")
 def rank_to_ptr(spark, sf_dir):
-    idx = suffix_index(spark, sf_dir, ranked=True)
-    r = SX.rank_to_ptr(idx, _ranked_requests(spark, sf_dir, Q_BORDER))
-    return r.select(F.col("s").cast("bigint").alias("shard"), "rank", "ptr", "doc_ix")
+    ix = ordered_index(spark, sf_dir)
+    r = OD.hits_at(ix, documents(spark, sf_dir).layout, _ranked_requests(spark, sf_dir, Q_BORDER).checkpoint())
+    return r.select(F.col("shard").cast("bigint").alias("shard"), "rank", "ptr", "doc_ix")
 
 
 @register("ranked_hits", ranked_sql(Q_BORDER).format(ctx=0) + " SELECT shard, rank, i, ptr, doc_ix FROM rk")
 def ranked_hits(spark, sf_dir):
-    idx = suffix_index(spark, sf_dir, ranked=True)
-    h = RT.ranked_hits(idx, Q_BORDER)
+    h = OD.ranked_hits(ordered_index(spark, sf_dir), documents(spark, sf_dir).layout, Q_BORDER)
     return h.select(F.col("shard").cast("bigint").alias("shard"), "rank", "i", "ptr", "doc_ix")
 
 
 @register("search_round_robin", ranked_sql(Q_BORDER).format(ctx=0)
           + f" SELECT shard, rank, i, ptr, doc_ix FROM rk ORDER BY i, shard LIMIT {SEARCH_MAX}")
 def search_round_robin(spark, sf_dir):
-    idx = suffix_index(spark, sf_dir, ranked=True)
-    h = RT.search_round_robin(idx, Q_BORDER, SEARCH_MAX)
+    h = OD.search_round_robin(ordered_index(spark, sf_dir), documents(spark, sf_dir).layout, Q_BORDER, SEARCH_MAX)
     return h.select(F.col("shard").cast("bigint").alias("shard"), "rank", "i", "ptr", "doc_ix")
 
 
@@ -576,8 +553,7 @@ SELECT CAST(row_number() OVER (ORDER BY i, shard) - 1 AS BIGINT) AS hit, shard,
        CASE WHEN t IS NULL THEN {sq(RT.DECODE_ERROR)} END AS error
 FROM w ORDER BY i, shard LIMIT {SEARCH_MAX}""")
 def search(spark, sf_dir):
-    idx = suffix_index(spark, sf_dir, ranked=True)
-    return RT.search(idx, documents(spark, sf_dir).layout, Q_BORDER, SEARCH_MAX, 200).drop("spans")
+    return OD.search(ordered_index(spark, sf_dir), documents(spark, sf_dir).layout, Q_BORDER, SEARCH_MAX, 200).drop("spans")
 
 
 @register("search_spans", ranked_sql(Q_BORDER).format(ctx=200) + f""",
@@ -590,8 +566,7 @@ f AS (SELECT hit, list_filter(s, lambda e: e.fragment <> '') AS s FROM sp),
 u AS (SELECT hit, unnest(s) AS e, generate_subscripts(s, 1) AS k FROM f)
 SELECT CAST(hit AS BIGINT) AS hit, CAST(k - 1 AS BIGINT) AS span_ix, e.fragment AS fragment, e.label AS label FROM u""")
 def search_spans(spark, sf_dir):
-    idx = suffix_index(spark, sf_dir, ranked=True)
-    hits = RT.search(idx, documents(spark, sf_dir).layout, Q_BORDER, SEARCH_MAX, 200)
+    hits = OD.search(ordered_index(spark, sf_dir), documents(spark, sf_dir).layout, Q_BORDER, SEARCH_MAX, 200)
     spans = hits.select("hit", F.posexplode("spans").alias("span_ix", "span"))
     return spans.select("hit", F.col("span_ix").cast("bigint").alias("span_ix"), "span.fragment", "span.label")
 
@@ -602,11 +577,10 @@ SELECT shard, rank, doc_ix, CAST(doc_len AS BIGINT) AS doc_len, CAST(greatest(b
        CASE WHEN t IS NULL THEN {sq(RT.DECODE_ERROR)} END AS error
 FROM w""")
 def get_doc_by_rank(spark, sf_dir):
-    idx = suffix_index(spark, sf_dir, ranked=True)
     req = (_ranked_requests(spark, sf_dir, Q_BORDER)
-           .select(F.col("rank").alias("req_id"), "s", "rank",
-                   F.lit(len(Q_BORDER.encode())).alias("needle_len"), F.lit(SEARCH_CTX).alias("max_ctx_len")))
-    g = RT.get_doc_by_rank(idx, documents(spark, sf_dir).layout, req)
+           .select(F.col("rank").alias("req_id"), F.col("shard").alias("s"), "rank",
+                   F.lit(len(Q_BORDER.encode())).alias("needle_len"), F.lit(SEARCH_CTX).alias("max_ctx_len"))).checkpoint()
+    g = OD.get_doc_by_rank(ordered_index(spark, sf_dir), documents(spark, sf_dir).layout, req)
     return g.select(F.col("shard").cast("bigint").alias("shard"), "rank", "doc_ix", "doc_len", "disp_len",
                     "needle_offset", "metadata", "text", "error")
 
@@ -954,8 +928,7 @@ SELECT * FROM answers"""
 @register("dispatch_batch", DISPATCH_SQL)
 def dispatch_batch(spark, sf_dir):
     corp = documents(spark, sf_dir)
-    idx = suffix_index(spark, sf_dir, ranked=True)
-    out = RQ.dispatch({INDEX_NAME: (corp, idx, suffix_hist(spark, sf_dir, ranked=True))}, request_table(spark, sf_dir))
+    out = RQ.dispatch({INDEX_NAME: (corp, ordered_index(spark, sf_dir))}, request_table(spark, sf_dir))
     labelled = F.transform("spans", lambda s: F.concat(F.coalesce(s["label"], F.lit("-")), F.lit(":"), s["fragment"]))
     return out.withColumn("spans", F.array_join(labelled, "|")).withColumn("rank", F.col("rank").cast("bigint"))
 

@@ -6,10 +6,14 @@ result rows or one error row; branches run as batch operators and are unioned by
 """
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..constants import DEFAULT_MAX_CTX_LEN, DEFAULT_MAX_RESULTS, QUERY_TYPES, SUFFIX_KEY_BYTES
+from ..constants import (DEFAULT_MAX_CTX_LEN, DEFAULT_MAX_RESULTS, NEGATIVE, QUERY_TYPES, SHARD_RANGE,
+                         SUFFIX_KEY_BYTES)
 from ..functions.bytes import utf8
+from ..operators import ordered as OD
 from ..operators import retrieve as RT
 from ..operators import suffix as SX
 from ..operators.find import terminated_bytes
@@ -18,6 +22,12 @@ from ..operators.find import terminated_bytes
 BROADCAST_REQUESTS = 1_000_000
 
 
+def _filled(template: str, **columns: F.Column) -> F.Column:
+    """A text with ``{name}`` places filled from columns."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[columns[p].cast("string") if i % 2 else F.lit(p) for i, p in enumerate(parts)])
+
+
 def validate(requests: DataFrame, index_names: list[str], num_shards: dict[str, int]) -> DataFrame:
     """Add ``error`` (NULL when the request is valid), in the order the checks apply."""
     known = F.col("index").isin(*index_names) if index_names else F.lit(False)
@@ -33,13 +43,11 @@ def validate(requests: DataFrame, index_names: list[str], num_shards: dict[str,
            .when((t == "get_doc_by_rank") & (F.col("s").isNull() | F.col("rank").isNull()),
                  F.lit("get_doc_by_rank needs s and rank."))
            .when((t == "get_doc_by_rank") & ((F.col("s") < 0) | (F.col("s") >= shards)),
-                 F.concat(F.lit("Shard index s="), F.col("s").cast("string"), F.lit(" is out of range [0, "),
-                          shards.cast("string"), F.lit(").")))
+                 _filled(SHARD_RANGE, s=F.col("s"), n=shards))
            .when((t == "get_doc_by_rank") & (F.col("rank") < 0),
-                 F.concat(F.lit("rank must be non-negative, got "), F.col("rank").cast("string"), F.lit(".")))
+                 _filled(NEGATIVE, name=F.lit("rank"), value=F.col("rank")))
            .when(F.coalesce(F.col("max_ctx_len"), F.lit(0)) < 0,
-                 F.concat(F.lit("max_ctx_len must be non-negative, got "), F.col("max_ctx_len").cast("string"),
-                          F.lit("."))))
+                 _filled(NEGATIVE, name=F.lit("max_ctx_len"), value=F.col("max_ctx_len"))))
     return requests.withColumn("error", err)
 
 
@@ -110,27 +118,34 @@ def search_batch(index: DataFrame, layout: DataFrame, reqs: DataFrame, k: int =
 def dispatch(corpora: dict, requests: DataFrame) -> DataFrame:
     """Answer a request table against named corpora.
 
-    ``corpora``: ``name -> (Corpus, ranked suffix table[, its prefix histogram])``; with the histogram, ``find`` requests
-    aggregate only the two-byte buckets that they fall into. Output columns: ``req_id, query_type,
-    count, shard, lo, hi, hit, rank, doc_ix, doc_len, disp_len, needle_offset, metadata, text, error, spans``.
+    ``corpora``: ``name -> (Corpus, OrderedIndex)``, or with the ranked suffix table ``name -> (Corpus, table[, its prefix
+    histogram])``. Output columns: ``req_id, query_type, count, shard, lo, hi, hit, rank, doc_ix, doc_len, disp_len,
+    needle_offset, metadata, text, error, spans``.
     """
     names = list(corpora)
-    v = validate(requests, names, {n: c[0].layout.select("shard").distinct().count() for n, c in corpora.items()})
+    shards = {n: len(c[1].shards) if isinstance(c[1], OD.OrderedIndex) else c[0].layout.select("shard").distinct().count()
+              for n, c in corpora.items()}
+    v = validate(requests, names, shards).checkpoint()
     out = [v.filter(F.col("error").isNotNull()).select("req_id", "query_type", "error")]
     ok = v.filter(F.col("error").isNull())
     for name, (corpus, index, *hist) in corpora.items():
         mine = ok.filter(F.col("index") == name)
+        ordered = isinstance(index, OD.OrderedIndex)
         cnt = mine.filter(F.col("query_type") == "count")
         out.append(corpus.count_batch(cnt, qid="req_id", qcol="query")
                    .select(F.col("qid").alias("req_id"), F.lit("count").alias("query_type"), "count"))
         fnd = mine.filter(F.col("query_type") == "find")
-        found = (SX.find_batch_bucketed(index, hist[0], corpus.layout, fnd, qid="req_id", qcol="query") if hist
-                 else SX.find_batch_indexed(index, corpus.layout, fnd, qid="req_id", qcol="query"))
+        if ordered:
+            found = OD.find(index, corpus.layout, fnd, "req_id", "query")
+        elif hist:
+            found = SX.find_batch_bucketed(index, hist[0], corpus.layout, fnd, qid="req_id", qcol="query")
+        else:
+            found = SX.find_batch_indexed(index, corpus.layout, fnd, qid="req_id", qcol="query")
         out.append(found.select(F.col("qid").alias("req_id"), F.lit("find").alias("query_type"), "shard", "lo", "hi"))
         gd = mine.filter(F.col("query_type") == "get_doc_by_rank").select(
             "req_id", "query", F.col("s").cast("int").alias("s"), "rank", F.octet_length(utf8("query")).alias("needle_len"),
             F.coalesce("max_ctx_len", F.lit(DEFAULT_MAX_CTX_LEN)).alias("max_ctx_len"))
-        docs = RT.get_doc_by_rank(index, corpus.layout, gd)
+        docs = (OD if ordered else RT).get_doc_by_rank(index, corpus.layout, gd).checkpoint()
         out.append(docs.select("req_id", F.lit("get_doc_by_rank").alias("query_type"),
                                F.col("shard").cast("bigint").alias("shard"), "rank", "doc_ix", "doc_len", "disp_len",
                                "needle_offset", "metadata", "text", "error", "spans"))
@@ -140,7 +155,7 @@ def dispatch(corpora: dict, requests: DataFrame) -> DataFrame:
             F.concat(F.lit("rank "), F.col("rank").cast("string"), F.lit(" is out of range for shard "),
                      F.col("s").cast("string"), F.lit(".")).alias("error"))
         out.append(missing)
-        srch = search_batch(index, corpus.layout, mine.filter(F.col("query_type") == "search"))
+        srch = (OD.search_batch if ordered else search_batch)(index, corpus.layout, mine.filter(F.col("query_type") == "search"))
         if srch is not None:
             out.append(srch.withColumn("query_type", F.lit("search")))
     res = out[0]

@@ -11,81 +11,17 @@ anyway and two scalars (min and max path) for the common root.
 from __future__ import annotations
 
 import posixpath
-import re
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..constants import SOURCE_SUFFIXES
+from .discovery import list_sources, qualify  # noqa: F401
+from .footers import column_groups, footers
+from .lines import file_path_col, may_be_cut, numbered, records
 
 _JSONL = (".jsonl", ".json.gz", ".zst", ".zstd")
 
 
-def qualify(path: str) -> str:
-    """Local paths in the URI form Spark reports in ``_metadata.file_path`` and listings."""
-    if "://" in path or path.startswith("file:"):
-        return path
-    return "file:" + posixpath.abspath(path)
-
-
-def file_path_col() -> F.Column:
-    """``_metadata.file_path`` is URI-encoded; decode it (keeping a literal ``+``) to match listings."""
-    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-
-
-def _suffix_filter(col, suffixes) -> F.Column:
-    cond = F.lit(False)
-    for s in suffixes:
-        cond = cond | F.col(col).endswith(s)
-    return cond
-
-
-def list_sources(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """Recursive listing of accepted source files: ``path, length``, sorted by path.
-
-    Entries are files, directories (walked whole, names with ``_`` or ``.`` included) and globs, where ``**`` stands
-    for any number of directories. Only names and sizes are read, through Spark's file systems. An entry that is
-    missing, or a glob without a match, raises.
-    """
-    found: dict[str, int] = {}
-    for entry in [paths] if isinstance(paths, str) else list(paths):
-        some = dict(_entry_files(spark, qualify(entry)))
-        if not some:
-            raise FileNotFoundError(f"no file at {entry}")
-        found |= {p: n for p, n in some.items() if p.endswith(tuple(SOURCE_SUFFIXES))}
-    return spark.createDataFrame(sorted(found.items()), "path string, length bigint").orderBy("path")
-
-
-def glob_pattern(glob: str) -> str:
-    """A regular expression for a path glob: ``*`` and ``?`` stay inside a name, ``**/`` spans directories."""
-    out, i = "", 0
-    while i < len(glob):
-        part = re.match(r"\*\*/|\*\*|\*|\?|\[[^\]]+\]|.", glob[i:], re.S)[0]
-        i += len(part)
-        if part.startswith("[") and len(part) > 1:
-            out += "[^" + part[2:] if part[1] == "!" else part
-        else:
-            out += {"**/": "(?:[^/]+/)*", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(part) or re.escape(part)
-    return out
-
-
-def _entry_files(spark: SparkSession, entry: str):
-    """``(path, length)`` of every file that a listing entry stands for."""
-    jvm = spark.sparkContext._jvm
-    magic = re.search(r"[*?\[]", entry)
-    base = entry[:entry.rindex("/", 0, magic.start())] or "/" if magic else entry
-    root = jvm.org.apache.hadoop.fs.Path(base)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return
-    wanted = re.compile(glob_pattern(entry)) if magic else None
-    files = fs.listFiles(root, True)
-    while files.hasNext():
-        status = files.next()
-        path = status.getPath().toString()
-        if wanted is None or wanted.fullmatch(path):
-            yield path, status.getLen()
-
-
 def common_root(listing: DataFrame) -> str:
     """Deepest directory containing every listed file.
 
@@ -111,72 +47,53 @@ def relative_path(abs_col: F.Column, root: str) -> F.Column:
 
 
 def parquet_records(spark: SparkSession, files: list[str], root: str, text_key: str = "text",
-                    on_bad: str = "fail") -> DataFrame:
+                    on_bad: str = "fail", listing: DataFrame | None = None) -> DataFrame:
     """Parquet rows as records. ``linenum`` is the row index inside the file.
 
-    Files may differ in their columns: every column of any file is kept, null where a file lacks it.
+    Files may differ in their columns, also in the types of columns of one name: files with the same columns are one
+    scan, and a record has the fields of its own file only. ``listing`` saves listing ``files`` (or folders) again.
     """
-    df = spark.read.option("mergeSchema", "true").parquet(*files)
-    if text_key not in df.columns:
-        raise KeyError(f"text field {text_key!r} not in {df.columns}")
-    others = [c for c in df.columns if c != text_key]
-    fields = F.to_json(F.struct(*[F.col(c) for c in others]), {"ignoreNullFields": "false"}) if others \
-        else F.lit("{}")
-    rec = df.select(
-        relative_path(file_path_col(), root).alias("path"),
-        F.col("_metadata.row_index").cast("bigint").alias("linenum"),
-        F.col(text_key).alias("text"),
-        fields.alias("fields"))
-    return _bad_rows(rec, on_bad)
+    groups = column_groups(spark, listing if listing is not None else list_sources(spark, files))
+    out = None
+    for group in groups:
+        df = spark.read.parquet(*group)
+        if text_key not in df.columns:
+            raise KeyError(f"text field {text_key!r} not in {df.columns}")
+        others = [F.col(f"`{c}`") for c in df.columns if c != text_key]
+        rec = df.select(
+            relative_path(file_path_col(), root).alias("path"),
+            F.col("_metadata.row_index").cast("bigint").alias("linenum"),
+            F.col(text_key).cast("string").alias("text"),
+            (F.to_json(F.struct(*others), {"ignoreNullFields": "false"}) if others else F.lit("{}")).alias("fields"))
+        out = rec if out is None else out.unionByName(rec)
+    if out is None:
+        raise FileNotFoundError("no Parquet source files")
+    return _bad_rows(out, on_bad)
 
 
 def text_line_numbers(lines: DataFrame) -> DataFrame:
-    """0-based line numbers of a ``spark.read.text`` scan, absolute in each file even when the file is cut
-    into several splits.
-
-    Rows of one split arrive in file order inside one task; ``monotonically_increasing_id`` gives their
-    order there. A per-split table (one row per split: line count, first id) gives each split its base
-    by a running sum over the splits of the same file.
-    """
-    if "_abs" in lines.columns:   # metadata already selected (e.g. by a streaming query)
-        x = lines.select("_abs", "_blk", F.monotonically_increasing_id().alias("_mid"), "value")
-    else:
-        x = lines.select(
-            file_path_col().alias("_abs"),
-            F.col("_metadata.file_block_start").alias("_blk"),
-            F.monotonically_increasing_id().alias("_mid"),
-            F.col("value"))
-    splits = x.groupBy("_abs", "_blk").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_mid0"))
-    w = Window.partitionBy("_abs").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.select("_abs", "_blk", "_mid0", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_base"))
-    return (x.join(splits, ["_abs", "_blk"])
-            .select("_abs", (F.col("_base") + F.col("_mid") - F.col("_mid0")).cast("bigint").alias("linenum"),
-                    "value"))
+    """``_abs, linenum, value`` of a text scan: 0-based line numbers, absolute in each file however it is cut."""
+    return numbered(lines, cut=True)
 
 
 def parse_jsonl_lines(lines: DataFrame, root: str, text_key: str = "text", on_bad: str = "fail",
-                      meta_key: str | None = None) -> DataFrame:
-    """``_abs, linenum, value`` lines → records (text out, every other field kept as JSON)."""
-    parsed = lines.select("_abs", "linenum", F.from_json("value", "map<string,variant>").alias("_m"))
-    text = F.variant_get(F.element_at(F.col("_m"), F.lit(text_key)), "$", "string")
-    if meta_key is None:
-        fields = F.to_json(F.map_filter("_m", lambda k, v: k != F.lit(text_key)))
-    else:
-        # Variant input: metadata is the object under ``meta_key`` (empty object when absent).
-        fields = F.coalesce(F.to_json(F.element_at(F.col("_m"), F.lit(meta_key))), F.lit("{}"))
-    rec = parsed.select(
-        relative_path(F.col("_abs"), root).alias("path"),
-        F.col("linenum"),
-        F.when(F.col("_m").isNotNull() & F.map_contains_key("_m", F.lit(text_key)), text).alias("text"),
-        fields.alias("fields"))
+                      meta_key: str | None = None, cut: bool = True) -> DataFrame:
+    """A text scan's lines → records: text out, every other field kept as JSON, or only the object under ``meta_key``."""
+    rec = records(lines, cut, text_key, meta_key).select(relative_path(F.col("_abs"), root).alias("path"), "linenum", "text", "fields")
     return _bad_rows(rec, on_bad)
 
 
-def jsonl_records(spark: SparkSession, files: list[str], root: str, text_key: str = "text",
+def jsonl_records(spark: SparkSession, files: list[tuple[str, int]], root: str, text_key: str = "text",
                   on_bad: str = "fail", meta_key: str | None = None) -> DataFrame:
     """JSON-lines records (``.jsonl``, ``.json.gz``, ``.zst``, ``.zstd``; codec chosen by Spark from the
-    file ending). The line reader ends records at ``\n``, ``\r\n`` or a lone ``\r``."""
-    return parse_jsonl_lines(text_line_numbers(spark.read.text(files)), root, text_key, on_bad, meta_key)
+    file ending) of ``(path, length)``. The line reader ends records at ``\n``, ``\r\n`` or a lone ``\r``."""
+    out = None
+    for cut in (False, True):
+        some = [p for p, n in files if may_be_cut(spark, p, n) == cut]
+        if some:
+            rec = parse_jsonl_lines(spark.read.text(some), root, text_key, on_bad, meta_key, cut)
+            out = rec if out is None else out.unionByName(rec)
+    return out
 
 
 def _bad_rows(rec: DataFrame, on_bad: str) -> DataFrame:
@@ -190,21 +107,18 @@ def _bad_rows(rec: DataFrame, on_bad: str) -> DataFrame:
         .otherwise(F.col("text")))
 
 
-def read_records(spark: SparkSession, paths: list[str] | str, text_key: str = "text",
-                 on_bad: str = "fail", meta_key: str | None = None) -> DataFrame:
-    """All accepted files under ``paths`` as one record table (Parquet and JSON-lines unioned)."""
-    listing = list_sources(spark, paths)
-    root = common_root(listing)
-    # The file list is metadata Spark's file index holds on the driver anyway.
-    files = [r["path"] for r in listing.select("path").collect()]
-    hidden = [f for f in files if posixpath.basename(f)[0] in "_."]
+def read_listing(spark: SparkSession, listing: DataFrame, root: str, text_key: str = "text", on_bad: str = "fail",
+                 meta_key: str | None = None) -> DataFrame:
+    """The files of ``listing (path, length)`` as one record table (Parquet and JSON-lines unioned)."""
+    # Names and lengths: Spark's readers take a list of files, and their file index holds it on the driver anyway.
+    files = [(r["path"], r["length"]) for r in listing.select("path", "length").collect()]
+    hidden = [p for p, _ in files if posixpath.basename(p)[0] in "_."]
     if hidden:
         raise ValueError(f"Spark's readers skip file names that begin with '_' or '.': rename {hidden[:3]}")
     parts = []
-    pq = [f for f in files if f.endswith(".parquet")]
-    js = [f for f in files if f.endswith(_JSONL)]
-    if pq:
-        parts.append(parquet_records(spark, pq, root, text_key, on_bad))
+    if any(p.endswith(".parquet") for p, _ in files):
+        parts.append(parquet_records(spark, [], root, text_key, on_bad, listing=listing))
+    js = [f for f in files if f[0].endswith(_JSONL)]
     if js:
         parts.append(jsonl_records(spark, js, root, text_key, on_bad, meta_key))
     out = parts[0]
@@ -213,6 +127,13 @@ def read_records(spark: SparkSession, paths: list[str] | str, text_key: str = "t
     return out
 
 
+def read_records(spark: SparkSession, paths: list[str] | str, text_key: str = "text",
+                 on_bad: str = "fail", meta_key: str | None = None) -> DataFrame:
+    """All accepted files under ``paths`` as one record table."""
+    listing = list_sources(spark, paths)
+    return read_listing(spark, listing, common_root(listing), text_key, on_bad, meta_key)
+
+
 def metadata_envelope(records: DataFrame) -> F.Column:
     """``{"path": …, "linenum": …, "metadata": {…}}`` as one JSON string per record (nulls kept)."""
     head = F.to_json(F.struct(F.col("path"), F.col("linenum")))
@@ -223,6 +144,18 @@ def records_per_file(records: DataFrame) -> DataFrame:
     return records.groupBy("path").agg(F.count(F.lit(1)).cast("bigint").alias("records"))
 
 
+def source_counts(spark: SparkSession, listing: DataFrame) -> DataFrame:
+    """``path, records`` of each listed file, without reading a record: Parquet files say it in their footers, of
+    JSON-lines files the lines are counted and not parsed."""
+    out = footers(spark, listing).select("path", "records")
+    js = [r["path"] for r in listing.collect() if r["path"].endswith(_JSONL)]
+    if js:
+        counted = spark.read.text(js).groupBy(file_path_col().alias("path")).agg(F.count(F.lit(1)).alias("records"))
+        empty = listing.filter(F.col("path").isin(js)).join(counted, "path", "left")
+        out = out.unionByName(empty.select("path", F.coalesce("records", F.lit(0)).cast("bigint").alias("records")))
+    return out
+
+
 def record_slice(records: DataFrame, path: str, start: int, end: int = -1) -> DataFrame:
     """Half-open record range ``[start, end)`` of one file; ``end = -1`` means to the end."""
     cond = (F.col("path") == F.lit(path)) & (F.col("linenum") >= F.lit(start))
@@ -231,6 +164,13 @@ def record_slice(records: DataFrame, path: str, start: int, end: int = -1) -> Da
     return records.filter(cond)
 
 
+def read_slice(spark: SparkSession, listing: DataFrame, root: str, path: str, start: int, end: int = -1,
+               text_key: str = "text", on_bad: str = "fail") -> DataFrame:
+    """:func:`record_slice` that reads no other file of the listing."""
+    mine = listing.filter(relative_path(F.col("path"), root) == F.lit(path))
+    return record_slice(read_listing(spark, mine, root, text_key, on_bad), path, start, end)
+
+
 def pending_sources(listing: DataFrame, manifest: DataFrame) -> DataFrame:
     """Resume: listed files not yet recorded (same path and size) in the manifest of finished work."""
     return listing.join(manifest.select("path", "length"), ["path", "length"], "left_anti")
