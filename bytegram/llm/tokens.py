@@ -12,33 +12,40 @@ from __future__ import annotations
 import os
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pre-tokens, and chunks, whose ids a Python worker keeps at most.
-CACHED = 400_000
+#: Words, and other chunks, whose ids a Python worker keeps at most, twice over.
+CACHED = 250_000
+_NEW = object()
 #: Bytes of text that are encoded together.
 TOGETHER = 12 << 20
 
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII punctuation without the apostrophe, which can start a suffix
-_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_LATIN = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
+_NO_SPACE, _KEPT_SPACE = (rf"^(?P<word>{line}{_LATIN})(?P<marks>[{re.escape(_MARKS)}]*)\z" for line in ("", r"\n?"))
 
 
-class _Chunks(dict):
-    """Ids of chunks, kept from one batch to the next; begins anew when it is full."""
+class _Kept(dict):
+    """Results of a function, kept from one batch to the next. When it is full, those that are not met again until it is full
+    once more are forgotten, so that frequent ones stay."""
 
-    def __init__(self, encoder: WordEncoder):
+    def __init__(self, made: Callable[[str], bytes | None]):
         super().__init__()
-        self.encoder = encoder
+        self.made, self.before = made, {}
 
-    def __missing__(self, chunk: str) -> bytes | None:
+    def __missing__(self, key: str) -> bytes | None:
         if len(self) >= CACHED:
+            self.before = dict(self)
             self.clear()
-        found = self[chunk] = self.encoder._chunk(chunk)
+        found = self.before.get(key, _NEW)
+        if found is _NEW:
+            found = self.made(key)
+        self[key] = found
         return found
 
 
@@ -53,8 +60,7 @@ class WordEncoder:
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.model = self.tok.model
         self.keep_space = keep_space
-        self.pieces: dict[str, bytes] = {}
-        self.chunks = _Chunks(self)
+        self.words, self.marks, self.others = _Kept(self._word), _Kept(self._piece), _Kept(self._other)
         # byte-level alphabet: printable bytes stand for themselves, the rest follow from code point 256 on
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(kept)]
@@ -67,34 +73,43 @@ class WordEncoder:
 
     def _piece(self, piece: str) -> bytes:
         """Ids of one pre-token, from the tokenizer's BPE model."""
-        got = self.pieces.get(piece)
-        if got is None:
-            if len(self.pieces) > CACHED:
-                self.pieces.clear()
-            shown = piece if piece.isascii() and piece[0] > " " else piece.encode().decode("latin-1").translate(self.alphabet)
-            ids = [t.id for t in self.model.tokenize(shown)]
-            got = self.pieces[piece] = struct.pack(f"<{len(ids)}I", *ids)
-        return got
-
-    def _chunk(self, chunk: str) -> bytes | None:
-        """Ids of a chunk; null where the cut behind it isn't safe."""
+        if not piece:
+            return b""
+        shown = piece if piece.isascii() and piece[0] > " " else piece.encode().decode("latin-1").translate(self.alphabet)
+        ids = [t.id for t in self.model.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a Latin word, of which a blank or a line end was cut off or is the first character."""
+        if not self.keep_space:
+            return self._piece(word.lower())
+        return self._piece("\n") + self._piece(word[1:]) if word[0] == "\n" else self._piece(" " + word)
+
+    def _other(self, chunk: str) -> bytes | None:
+        """Ids of any other chunk; null where the cut behind it isn't safe."""
         if not self.keep_space:
-            if not chunk:
-                return b""
-            word = chunk.rstrip(_MARKS)
-            if not _LATIN.fullmatch(word):
-                return self.whole(chunk)
-            return self._piece(word.lower()) + (self._piece(chunk[len(word):]) if len(word) < len(chunk) else b"")
+            return self.whole(chunk) if chunk else b""
         if not chunk or chunk[-1].isspace():  # a longer run of white space
             return None
         line = chunk[0] == "\n"
-        if line and chunk[1:2].isspace():  # the line end would become one token with it
+        if line and chunk[1].isspace():  # the line end would become one token with it
             return None
-        word = chunk.rstrip(_MARKS)
-        if not _LATIN.fullmatch(word, line):
-            return self.whole(chunk if line else " " + chunk)
-        out = self._piece("\n") + self._piece(word[1:]) if line else self._piece(" " + word)
-        return out + self._piece(chunk[len(word):]) if len(word) < len(chunk) else out
+        return self.whole(chunk if line else " " + chunk)
+
+    def _chunks(self, chunks: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Ids of distinct chunks, and which of them are unsafe. Words and marks are parted and named by Arrow."""
+        split = pc.extract_regex(chunks, _KEPT_SPACE if self.keep_space else _NO_SPACE)
+        parts = []
+        for name, known in (("word", self.words), ("marks", self.marks)):
+            named = pc.struct_field(split, name).dictionary_encode()
+            ids = [known[x] for x in named.dictionary.to_numpy(zero_copy_only=False)]
+            parts.append(pa.array(ids, pa.large_binary()).take(named.indices))
+        ids = pc.binary_join_element_wise(*parts, pa.scalar(b"", pa.large_binary()))
+        rest = split.is_null()
+        found = [self.others[x] for x in chunks.filter(rest).to_numpy(zero_copy_only=False)]
+        unsafe = np.zeros(len(chunks), dtype=bool)
+        unsafe[rest.to_numpy(zero_copy_only=False)] = [f is None for f in found]
+        return pc.replace_with_mask(ids, rest, pa.array([f or b"" for f in found], pa.large_binary())), unsafe
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids (``<u4``) of each whole text; null counts as empty."""
@@ -106,14 +121,12 @@ class WordEncoder:
         parts = pc.split_pattern(cut, " ")
         ends = parts.offsets.to_numpy()
         named = parts.flatten().dictionary_encode()
-        codes = named.indices.to_numpy()
-        found = [self.chunks[c] for c in named.dictionary.to_pylist()]
-        size = np.array([len(f) // 4 if f is not None else 0 for f in found], dtype=np.int64)
-        pool = np.frombuffer(b"".join(f for f in found if f), dtype="<u4")
-        n = size[codes]
-        upto = np.concatenate([[0], np.cumsum(n)])
-        ids = pool[np.repeat((np.cumsum(size) - size)[codes] - upto[:-1], n) + np.arange(upto[-1])]
-        unsafe = np.array([f is None for f in found], dtype=bool)[codes]
+        codes = named.indices
+        found, unsafe = self._chunks(named.dictionary)
+        joined = found.take(codes)
+        ids = np.frombuffer(joined.buffers()[2] or b"", dtype="<u4")
+        upto = np.frombuffer(joined.buffers()[1] or bytes(8), dtype=np.int64, count=len(joined) + 1) // 4
+        unsafe = unsafe[codes.to_numpy()]
         if self.keep_space:
             unsafe[ends[:-1]] = False  # the empty chunk before the added line end
         bad = np.concatenate([[0], np.cumsum(unsafe)])[ends]
