@@ -138,3 +138,22 @@ def explicit_shards(docs: DataFrame) -> DataFrame:
          .withColumn("shard", F.col("shard").cast("int"))
          .drop("_g", "_gm", "_g0", "_gm0", "_g_total", "_gm_total", "_mlen"))
     return with_bytes(x)
+
+
+def corpus_offsets(records: DataFrame, corpus: str) -> DataFrame:
+    """``records`` (``path, linenum, text, fields`` and a ``corpus`` column whose values are runs of paths) as one corpus for
+    each value: ``corpus, k, data_offset, metadata`` of each document in order, and a last row with the total.
+
+    Sums run over all records once, in two levels; a corpus is a segment whose first sum is taken off.
+    """
+    order = Window.partitionBy(corpus).orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    x = global_doc_index(records)
+    files = x.groupBy(corpus, "path").agg(F.count(F.lit(1)).alias("_n"))
+    files = files.select("path", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_before"))
+    lengths = exclusive_prefix_sums(x.select("doc_ix", corpus, "path", "linenum", byte_len("text").alias("_len"),
+                                             F.col("fields").alias("metadata")), "doc_ix", {"_g": F.col("_len") + 1})
+    base = lengths.groupBy(corpus).agg(F.min("_g").alias("_g0"), F.count(F.lit(1)).alias("k"), F.sum(F.col("_len") + 1).alias("_total"))
+    rows = lengths.join(base.select(corpus, "_g0"), corpus).join(files, "path").select(
+        F.col(corpus).alias("corpus"), (F.col("_before") + F.col("linenum")).alias("k"), (F.col("_g") - F.col("_g0")).alias("data_offset"), "metadata")
+    ends = base.select(F.col(corpus).alias("corpus"), "k", F.col("_total").alias("data_offset"), F.lit(None).cast("string").alias("metadata"))
+    return rows.unionByName(ends)

@@ -42,8 +42,9 @@ class Corpus:
 
     @classmethod
     def from_files(cls, spark: SparkSession, paths, text_key: str = "text", num_shards: int = 1,
-                   get_metadata: bool = True, on_bad: str = "fail") -> "Corpus":
-        return cls.from_records(spark, _rec.read_records(spark, paths, text_key, on_bad), num_shards,
+                   get_metadata: bool = True, on_bad: str = "fail", meta_key: str | None = None) -> "Corpus":
+        """``meta_key``: a record's metadata are the object in this field, not all other fields (JSON-lines only)."""
+        return cls.from_records(spark, _rec.read_records(spark, paths, text_key, on_bad, meta_key), num_shards,
                                 get_metadata)
 
     @classmethod
@@ -51,7 +52,7 @@ class Corpus:
                      get_metadata: bool = True) -> "Corpus":
         """One Parquet file (or a list) as the corpus; record number = row index in the file."""
         files = [_rec.qualify(p) for p in ([path] if isinstance(path, str) else list(path))]
-        root = _common(files)
+        root = _rec.common_folder(min(files), max(files))
         recs = _rec.parquet_records(spark, files, root, text_key)
         return cls.from_records(spark, recs, num_shards, get_metadata)
 
@@ -69,8 +70,29 @@ class Corpus:
         return cls(spark, docs.drop("shard"), len(shards), layout=lay, get_metadata=get_metadata)
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, get_metadata: bool = True) -> "Corpus":
-        """Open a corpus written by :meth:`write` (shard-partitioned Parquet). Checks the schema."""
+    def open(cls, spark: SparkSession, path: str | list[str], get_metadata: bool = True) -> "Corpus":
+        """Open a corpus written by :meth:`write` (shard-partitioned Parquet). Checks the schema.
+
+        Several tables are one corpus: shards and documents of a later one are numbered on after those of the earlier.
+        """
+        paths = [path] if isinstance(path, str) else list(path)
+        lay, shards, documents = None, 0, 0
+        for p in paths:
+            one = cls._table(spark, p)
+            if len(paths) > 1:
+                n, docs = one.select("shard", "shard_docs").distinct().agg(F.max("shard") + 1, F.sum("shard_docs")).first()
+                one = one.withColumns({"shard": (F.col("shard") + shards).cast("int"), "doc_ix": F.col("doc_ix") + documents,
+                                       "shard_first_doc": F.col("shard_first_doc") + documents})
+                shards, documents = shards + (n or 0), documents + (docs or 0)
+            lay = one if lay is None else lay.unionByName(one)
+        if not get_metadata:
+            lay = lay.withColumn("metadata", F.lit(""))
+        n = lay.select("shard").distinct().count()
+        docs = lay.select("doc_ix", "path", "linenum", "text", "metadata")
+        return cls(spark, docs, n, layout=lay, get_metadata=get_metadata)
+
+    @staticmethod
+    def _table(spark: SparkSession, path: str) -> DataFrame:
         try:
             lay = spark.read.parquet(path)
             cols = lay.columns
@@ -79,11 +101,7 @@ class Corpus:
         missing = [c for c in CORPUS_COLUMNS if c not in cols]
         if missing:
             raise ValueError(f"{path} is not a corpus table; missing {missing}")
-        if not get_metadata:
-            lay = lay.withColumn("metadata", F.lit(""))
-        n = lay.select("shard").distinct().count()
-        docs = lay.select("doc_ix", "path", "linenum", "text", "metadata")
-        return cls(spark, docs, n, layout=lay, get_metadata=get_metadata)
+        return lay.select(*CORPUS_COLUMNS)
 
     # ---- layout -------------------------------------------------------------------------------
     @cached_property
@@ -135,12 +153,3 @@ class Corpus:
 
     def count_batch(self, queries: DataFrame, qid: str = "qid", qcol: str = "query") -> DataFrame:
         return _count.count_batch(self.texts, queries, qid, qcol, empty_count=_count.count_empty(self.layout))
-
-
-def _common(files: list[str]) -> str:
-    lo, hi = min(files), max(files)
-    n = 0
-    while n < min(len(lo), len(hi)) and lo[n] == hi[n]:
-        n += 1
-    p = lo[:n]
-    return p[: p.rfind("/") + 1]

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import count as C
 from ..operators import layout as L
+from .catalog import Catalog
 from .corpus import Corpus
+from .ingest import ingest
 
 NUM_SHARDS = 4
 
@@ -647,12 +649,15 @@ def line_numbers(spark, sf_dir):
                         F.get_json_object("value", "$.doc_id").cast("bigint").alias("doc_id"), "linenum")
 
 
-@register("source_listing")
+@register("source_listing", """
+SELECT DISTINCT folder || '/source=' || source || '/docs' || ending AS path FROM documents,
+  (VALUES ('jsonl', '.jsonl'), ('meta', '.jsonl'), ('gz', '.json.gz'), ('zst', '.zst')) AS f(folder, ending)
+WHERE folder <> 'gz' OR source LIKE '%1%'""")
 def source_listing(spark, sf_dir):
     root = derived_sources(spark, sf_dir)
-    lst = RC.list_sources(spark, root)
+    lst = RC.list_sources(spark, [f"{root}/[!g]*", f"{root}/jsonl", f"{root}/**/source=*1*/*.json.gz"])
     base = RC.common_root(lst)
-    return lst.select(RC.relative_path(F.col("path"), base).alias("path"), "length")
+    return lst.filter("length > 0").select(RC.relative_path(F.col("path"), base).alias("path"))
 
 
 @register("relative_paths", """
@@ -670,19 +675,47 @@ def records_per_file(spark, sf_dir):
                                             "records")
 
 
+def mixed_parquet(spark: SparkSession, sf_dir: str) -> str:
+    """``documents`` as Parquet files with different columns, and different types under one name, by ``doc_id % 3``."""
+    root = stable_path(spark, "mixed-" + hashlib.sha1(sf_dir.encode()).hexdigest()[:12])
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kinds = (("doc_id", "n_chars"), ("doc_id", F.concat(F.lit("c"), "n_chars").alias("n_chars"), "lang"), ("source", "doc_id", "text"))
+    for k, columns in enumerate(kinds):
+        some = docs.filter(F.col("doc_id") % 3 == k).orderBy("doc_id")
+        some = some.select(*columns) if k == 2 else some.select("text", *columns)
+        try:
+            spark.read.parquet(f"{root}/kind{k}")
+        except AnalysisException:
+            some.coalesce(1).write.parquet(f"{root}/kind{k}")
+    return root
+
+
+@register("scan_parquet_mixed", """
+SELECT 'kind' || doc_id % 3 AS folder, CAST(row_number() OVER (PARTITION BY doc_id % 3 ORDER BY doc_id) - 1 AS BIGINT) AS linenum, text,
+       CASE doc_id % 3 WHEN 0 THEN json_object('doc_id', doc_id, 'n_chars', n_chars)
+                       WHEN 1 THEN json_object('doc_id', doc_id, 'n_chars', 'c' || n_chars, 'lang', lang)
+                       ELSE json_object('source', source, 'doc_id', doc_id) END::VARCHAR AS fields
+FROM documents""")
+def scan_parquet_mixed(spark, sf_dir):
+    recs = RC.read_records(spark, mixed_parquet(spark, sf_dir))
+    return recs.select(F.regexp_extract("path", "^([^/]+)/", 1).alias("folder"), "linenum", "text", "fields")
+
+
+@register("records_from_footers", """
+SELECT 'kind' || doc_id % 3 AS folder, CAST(count(*) AS BIGINT) AS records FROM documents GROUP BY doc_id % 3
+UNION ALL SELECT 'source=' || source, CAST(count(*) AS BIGINT) FROM documents GROUP BY source""")
+def records_from_footers(spark, sf_dir):
+    listing = RC.list_sources(spark, [mixed_parquet(spark, sf_dir), f"{derived_sources(spark, sf_dir)}/jsonl"])
+    return RC.source_counts(spark, listing).select(F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1).alias("folder"), "records")
+
+
 @register("record_slice", """
 SELECT doc_id, linenum FROM (
   SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS linenum FROM documents
   WHERE source = 'src3') WHERE linenum >= 10 AND linenum < 30""")
 def record_slice(spark, sf_dir):
-    root = derived_sources(spark, sf_dir)
-    recs = RC.read_records(spark, f"{root}/jsonl")
-    # The file of folder source=src3, from the listing (file names only).
-    lst = RC.list_sources(spark, f"{root}/jsonl")
-    base = RC.common_root(lst)
-    path = [r["p"] for r in lst.select(RC.relative_path(F.col("path"), base).alias("p")).collect()
-            if r["p"].startswith("source=src3/")][0]
-    sl = RC.record_slice(recs, path, 10, 30)
+    lst = RC.list_sources(spark, f"{derived_sources(spark, sf_dir)}/jsonl")
+    sl = RC.read_slice(spark, lst, RC.common_root(lst), "source=src3/docs.jsonl", 10, 30)
     return sl.select(F.get_json_object("fields", "$.doc_id").cast("bigint").alias("doc_id"), "linenum")
 
 
@@ -738,6 +771,19 @@ def open_corpus(spark, sf_dir):
         F.count(F.lit(1)).cast("bigint").alias("doc_cnt"), F.max("shard_bytes").cast("bigint").alias("shard_bytes"))
 
 
+@register("ingest_resumed", """
+SELECT doc_id, CAST(row_number() OVER (ORDER BY source, doc_id) - 1 AS BIGINT) AS doc_ix FROM documents""")
+def ingest_resumed(spark, sf_dir):
+    path = stable_path(spark, "resumed-" + hashlib.sha1(sf_dir.encode()).hexdigest()[:12])
+    sources = f"{derived_sources(spark, sf_dir)}/jsonl"
+    size = RC.list_sources(spark, sources).agg(F.sum("length")).first()[0]
+    next(ingest(spark, sources, path, size // 4), None)  # a run that stops behind its first shard
+    for _ in ingest(spark, sources, path, size // 4):
+        pass
+    docs = Corpus.open(spark, path).docs
+    return docs.select(F.get_json_object("metadata", "$.metadata.doc_id").cast("bigint").alias("doc_id"), "doc_ix")
+
+
 @register("ingest_per_source", """
 WITH d AS (SELECT source, doc_id, strlen(text) AS doc_len,
                   row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k FROM documents)
@@ -750,20 +796,9 @@ FROM d
 UNION ALL
 SELECT source, CAST(count(*) AS BIGINT), CAST(sum(strlen(text) + 1) AS BIGINT), NULL FROM documents GROUP BY source""")
 def ingest_per_source(spark, sf_dir):
-    from ..operators import layout as LY
     recs = RC.read_records(spark, f"{derived_sources(spark, sf_dir)}/meta", meta_key="meta")
-    recs = LY.global_doc_index(recs).withColumn("corpus", F.regexp_extract("path", r"^source=([^/]+)/", 1))
-    x = LY.exclusive_prefix_sums(recs, "doc_ix", {"_g": F.octet_length("text") + 1})
-    base = x.groupBy("corpus").agg(F.min("_g").alias("_g0"), F.count(F.lit(1)).alias("_n"),
-                                   F.sum(F.octet_length("text") + 1).alias("_tot"))
-    rows = (x.join(F.broadcast(base), "corpus")
-            .select("corpus", "linenum", (F.col("_g") - F.col("_g0")).alias("data_offset"),
-                    F.col("fields").alias("metadata")))
-    # The offsets list of each corpus ends with its total (n + 1 entries).
-    ends = base.select("corpus", F.col("_n").alias("linenum"), F.col("_tot").alias("data_offset"),
-                       F.lit(None).cast("string").alias("metadata"))
-    return rows.unionByName(ends).select("corpus", F.col("linenum").cast("bigint").alias("k"),
-                                         F.col("data_offset").cast("bigint").alias("data_offset"), "metadata")
+    out = L.corpus_offsets(recs.withColumn("source", F.regexp_extract("path", r"^source=([^/]+)/", 1)), "source")
+    return out.select("corpus", F.col("k").cast("bigint").alias("k"), F.col("data_offset").cast("bigint").alias("data_offset"), "metadata")
 
 
 @register("corpus_catalog", """
@@ -772,14 +807,14 @@ SELECT corpus, CAST(count(*) AS BIGINT) AS docs, CAST(sum(strlen(t)) AS BIGINT)
 FROM (SELECT 'documents' AS corpus, text AS t FROM documents UNION ALL SELECT 'pages', html FROM pages
       UNION ALL SELECT 'conversations', text FROM conversations) GROUP BY corpus""")
 def corpus_catalog(spark, sf_dir):
-    parts = [("documents", "text"), ("pages", "html"), ("conversations", "text")]
-    u = None
-    for name, col in parts:
-        t = spark.read.parquet(f"{sf_dir}/{name}.parquet").select(F.lit(name).alias("corpus"), F.col(col).alias("t"))
-        u = t if u is None else u.unionByName(t)
-    return u.groupBy("corpus").agg(
-        F.count(F.lit(1)).cast("bigint").alias("docs"), F.sum(F.octet_length("t")).cast("bigint").alias("text_bytes"),
-        (F.sum(F.octet_length("t") + 1) + 1).cast("bigint").alias("size"))
+    root = stable_path(spark, "catalog-" + hashlib.sha1(sf_dir.encode()).hexdigest()[:12])
+    cat = Catalog(spark, f"{root}/entries")
+    known = {r["name"] for r in cat.entries().collect()}
+    for name, col in (("documents", "text"), ("pages", "html"), ("conversations", "text")):
+        if name not in known:
+            Corpus.from_parquet(spark, f"{sf_dir}/{name}.parquet", text_key=col).write(f"{root}/{name}")
+            cat.register(name, f"{root}/{name}")
+    return cat.summary()
 
 
 # ---- request table -------------------------------------------------------------------------------------

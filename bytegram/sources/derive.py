@@ -1,7 +1,7 @@
 """Write JSON-lines source files derived from a table (for ingest tests and registered checks).
 
 Spark's text writer names files ``part-….txt[.gz|.zst]``; the accepted endings are fixed, so the files
-are renamed through the Hadoop file system (a metadata operation on the driver).
+are renamed through the Hadoop file system (a metadata operation on the driver), to ``docs`` with the ending.
 """
 from __future__ import annotations
 
@@ -24,7 +24,8 @@ def _rename_parts(spark: SparkSession, path: str, old: str, new: str) -> None:
         p = it.next().getPath()
         name = p.getName()
         if name.startswith("part-") and name.endswith(old):
-            fs.rename(p, jvm.org.apache.hadoop.fs.Path(p.getParent(), name[: -len(old)] + new))
+            # all lines of a folder come from one task, and so from one file
+            fs.rename(p, jvm.org.apache.hadoop.fs.Path(p.getParent(), "docs" + new))
 
 
 def _write_zst_partitions(df: DataFrame, path: str, file_col: str) -> None:
@@ -46,12 +47,14 @@ def _write_zst_partitions(df: DataFrame, path: str, file_col: str) -> None:
                 if v not in outs:
                     d = os.path.join(local, f"{file_col}={v}")
                     os.makedirs(d, exist_ok=True)
-                    fh = open(os.path.join(d, f"part-{uuid.uuid4().hex}.zst"), "wb")
+                    fh = open(os.path.join(d, f".{uuid.uuid4().hex}"), "wb")
                     outs[v] = (fh, zstandard.ZstdCompressor().stream_writer(fh))
                 outs[v][1].write(r[1].encode("utf-8") + b"\n")
         finally:
             for fh, zw in outs.values():
                 zw.close()
+        for fh, zw in outs.values():  # whole files take their name, so that a task that runs again changes nothing
+            os.replace(fh.name, os.path.join(os.path.dirname(fh.name), "docs.zst"))
 
     df.foreachPartition(write_part)
 

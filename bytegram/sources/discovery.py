@@ -7,8 +7,8 @@ next frontier. So neither one process nor one directory level lists the whole tr
 Segments follow the usual rules of globs: ``*`` and ``?`` stay inside a name, ``[...]`` is a set (``[!...]`` its complement),
 ``**`` stands for any number of directories, and none of them matches a name that begins with a dot unless the segment
 does so itself. A directory that a glob matches is walked whole, names with dots included, as is a directory given by name.
-Links to directories are followed where a name or a single segment matches them, not by ``**`` and not in a tree that
-counts whole. A file is listed once, however many entries or patterns find it.
+Links to directories are followed where a pattern matches them, and not in a tree that counts whole. A file is listed once,
+however many entries or patterns find it.
 """
 from __future__ import annotations
 
@@ -60,7 +60,10 @@ class PythonFiles:
     def children(self, path: str) -> list[Child]:
         from pyarrow import fs
 
-        found = self.fs.get_file_info(fs.FileSelector(self._own(path) or "/", recursive=False))
+        try:
+            found = self.fs.get_file_info(fs.FileSelector(self._own(path) or "/", recursive=False))
+        except (FileNotFoundError, NotADirectoryError):  # a name before a pattern that is no directory
+            return []
         return [(x.base_name, x.type == fs.FileType.Directory, self.local and os.path.islink(x.path), x.size or 0)
                 for x in found if x.type != fs.FileType.NotFound]
 
@@ -85,7 +88,8 @@ class HadoopFiles:
         return status.getPath().getName(), status.isDirectory(), False, status.getLen()
 
     def children(self, path: str) -> list[Child]:
-        return [self._child(x) for x in self.fs.listStatus(self.path(path))]
+        at = self.path(path)
+        return [self._child(x) for x in self.fs.listStatus(at)] if self.fs.exists(at) else []
 
     def stat(self, path: str) -> Child | None:
         at = self.path(path)
@@ -135,13 +139,14 @@ def step(files, entry: int, path: str, todo: list[str] | None) -> Iterator[tuple
         return
     segment, rest = todo[0], todo[1:]
     if segment == "**":
-        if not rest:  # matches the directory itself, and so all below it
-            yield "dir", entry, path, None, None
-            return
-        yield "dir", entry, path, None, rest
+        # the directory itself is a match, and at the end of a pattern all that lies in it counts
+        yield ("dir", entry, path, None, rest) if rest else ("other", entry, path, None, None)
         for child in files.children(path):
-            if child[1] and not child[2] and not child[0].startswith("."):
-                yield "dir", entry, f"{path.rstrip('/')}/{child[0]}", None, todo
+            at = f"{path.rstrip('/')}/{child[0]}"
+            if child[1] and not child[0].startswith("."):
+                yield "dir", entry, at, None, todo
+            elif not rest and not (child[1] and child[2]):
+                yield from reached(at, child, None)
     elif _MAGIC.search(segment):
         for child in files.children(path):
             if _fits(child[0], segment):

@@ -31,14 +31,15 @@ def common_root(listing: DataFrame) -> str:
     row = listing.agg(F.min("path").alias("lo"), F.max("path").alias("hi")).first()
     if row is None or row["lo"] is None:
         raise FileNotFoundError("no supported source files")
-    lo, hi = row["lo"], row["hi"]
+    return common_folder(row["lo"], row["hi"])
+
+
+def common_folder(lo: str, hi: str) -> str:
+    """The deepest folder that holds both of two paths, with a slash behind it."""
     n = 0
     while n < min(len(lo), len(hi)) and lo[n] == hi[n]:
         n += 1
-    prefix = lo[:n]
-    if lo == hi or not prefix.endswith("/"):
-        prefix = prefix[: prefix.rfind("/") + 1]
-    return prefix
+    return lo[:lo.rfind("/", 0, n) + 1]
 
 
 def relative_path(abs_col: F.Column, root: str) -> F.Column:

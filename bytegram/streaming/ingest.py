@@ -24,11 +24,10 @@ def _existing(spark: SparkSession, corpus_path: str, below_shard: int) -> int:
 
 
 def _no_parquet(spark: SparkSession, source_dir: str) -> None:
-    """Fail if there are Parquet sources among the stream's files."""
-    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(RC.qualify(source_dir).rstrip("/") + "/*.parquet")
-    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern)
-    if found:
-        raise ValueError(f"{len(found)} Parquet source(s) that the stream cannot ingest, as {found[0].getPath().toString()}")
+    """Fail if there are sources in the folder, or below it, that the stream would leave out."""
+    left = RC.list_sources(spark, source_dir).filter(F.col("path").endswith(".parquet") | F.col("path").rlike(r"/[_.][^/]*$")).take(1)
+    if left:
+        raise ValueError(f"the stream cannot ingest {left[0]['path']}: a Parquet source, or a name that Spark's readers skip")
 
 
 def ingest_stream(spark: SparkSession, source_dir: str, corpus_path: str, checkpoint_dir: str,
@@ -36,7 +35,7 @@ def ingest_stream(spark: SparkSession, source_dir: str, corpus_path: str, checkp
     """Start the ingest query; returns the ``StreamingQuery``. Each batch → one shard."""
     root = RC.qualify(source_dir).rstrip("/") + "/"
     _no_parquet(spark, source_dir)
-    reader = spark.readStream.format("text").option("pathGlobFilter", "*.{jsonl,json.gz,zst,zstd}")
+    reader = spark.readStream.format("text").option("pathGlobFilter", "*.{jsonl,json.gz,zst,zstd}").option("recursiveFileLookup", "true")
     if max_files_per_batch:
         reader = reader.option("maxFilesPerTrigger", max_files_per_batch)
     lines = reader.load(source_dir).select(
@@ -44,7 +43,7 @@ def ingest_stream(spark: SparkSession, source_dir: str, corpus_path: str, checkp
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         _no_parquet(spark, source_dir)
-        recs = RC.parse_jsonl_lines(RC.text_line_numbers(batch), root, text_key)
+        recs = RC.parse_jsonl_lines(batch, root, text_key)
         shard = int(batch_id)
         base = _existing(spark, corpus_path, shard)
         docs = LY.global_doc_index(recs)

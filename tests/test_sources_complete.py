@@ -27,8 +27,9 @@ def test_listing_is_complete(spark, tmp_path):
         return {r["path"].split(root + "/")[1] for r in RC.list_sources(spark, entry).collect()}
 
     assert listed(root) == set(names)
-    assert listed(f"{root}/**/*.jsonl") == set(names)
-    assert listed(f"{root}/*.jsonl") == {"v.jsonl", "_x.jsonl", ".y.jsonl"}
+    # patterns pass over names that begin with a dot, as globs do
+    assert listed(f"{root}/**/*.jsonl") == {"v.jsonl", "a/b/w.jsonl", "_x.jsonl"}
+    assert listed(f"{root}/*.jsonl") == {"v.jsonl", "_x.jsonl"}
     assert listed([f"{root}/a/*/w.jsonl", f"{root}/v.jsonl"]) == {"a/b/w.jsonl", "v.jsonl"}
     with pytest.raises(FileNotFoundError):
         RC.list_sources(spark, f"{root}/[!v].jsonl")
@@ -38,11 +39,11 @@ def test_listing_is_complete(spark, tmp_path):
         RC.read_records(spark, root)
 
 
-def test_parquet_files_keep_all_columns(spark, tmp_path):
+def test_parquet_records_have_the_columns_of_their_file(spark, tmp_path):
     for name, col in (("a", "a"), ("b", "b")):
         spark.createDataFrame([(f"text {name}", 7)], f"text string, {col} int").coalesce(1).write.parquet(f"{tmp_path}/{name}.dir")
     got = {r["text"]: r["fields"] for r in RC.read_records(spark, str(tmp_path)).collect()}
-    assert got == {"text a": '{"a":7,"b":null}', "text b": '{"a":null,"b":7}'}
+    assert got == {"text a": '{"a":7}', "text b": '{"b":7}'}
 
 
 def test_empty_query_by_shard_and_negative_limits(spark, tmp_path):
