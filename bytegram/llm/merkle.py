@@ -83,13 +83,13 @@ def build(rows: DataFrame, fan: int = FAN) -> tuple[DataFrame, DataFrame]:
     placed = numbered(rows, ["grp"], [F.col("id").asc_nulls_first(), F.col("leaf").asc()], "placed", trees)
     struct = F.struct((F.col("pos") % fan).alias("slot"), "id", "leaf", F.coalesce("now", "leaf").alias("now"))
     runs = (placed.groupBy("tree", F.floor(F.col("pos") / fan).alias("pos"))
-            .agg(F.array_sort(F.collect_list(struct)).alias("kids"), F.first("n").alias("n")))
+            .agg(F.array_sort(F.collect_list(struct)).alias("kids"), F.first("n").alias("leaves_n")))
     run = F.unhex(F.array_join(F.transform("kids", lambda x: F.hex(x["leaf"])), ""))
-    lone = F.col("n") == 1  # a lone leaf is its tree's subroot itself
+    lone = F.col("leaves_n") == 1  # a lone leaf is its tree's subroot itself
     folded = lambda x: F.when(lone, x["now"]).otherwise(digest(shown(F.concat(
         F.substr("run", F.lit(1), 32 * x["slot"]), x["now"], F.substr("run", 32 * x["slot"] + 33)))))
     starts = runs.withColumn("run", run).select(
-        "tree", F.when(lone, 0).otherwise(1).alias("level"), "pos", F.ceil(F.col("n") / fan).alias("n"), "run",
+        "tree", F.when(lone, 0).otherwise(1).alias("level"), "pos", F.ceil(F.col("leaves_n") / fan).alias("n"), "run",
         F.when(lone, F.col("run")).otherwise(digest(shown(F.col("run")))).alias("hash"),
         F.transform("kids", lambda x: F.struct(x["id"].alias("id"), x["leaf"].alias("leaf"), folded(x).alias("folded")))
         .alias("leaves"))

@@ -52,7 +52,6 @@ def _rows(docs):
 
 def _ids(name, text):
     tok = tokenizers.Tokenizer.from_file(P.path(name))
-    tok.encode_special_tokens = True
     return tok.encode(text, add_special_tokens=False).ids
 
 
