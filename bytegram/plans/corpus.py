@@ -50,10 +50,11 @@ class Corpus:
     @classmethod
     def from_parquet(cls, spark: SparkSession, path: str, text_key: str = "text", num_shards: int = 1,
                      get_metadata: bool = True) -> "Corpus":
-        """One Parquet file (or a list) as the corpus; record number = row index in the file."""
+        """One Parquet table (a file, a folder or a list) as the corpus; record number = row index in the file. Files that
+        are not one table, and so differ in their columns, go through :meth:`from_files`."""
         files = [_rec.qualify(p) for p in ([path] if isinstance(path, str) else list(path))]
         root = _rec.common_folder(min(files), max(files))
-        recs = _rec.parquet_records(spark, files, root, text_key)
+        recs = _rec.parquet_records(spark, files, root, text_key, one_table=True)
         return cls.from_records(spark, recs, num_shards, get_metadata)
 
     @classmethod

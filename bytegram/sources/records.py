@@ -48,16 +48,17 @@ def relative_path(abs_col: F.Column, root: str) -> F.Column:
 
 
 def parquet_records(spark: SparkSession, files: list[str], root: str, text_key: str = "text",
-                    on_bad: str = "fail", listing: DataFrame | None = None) -> DataFrame:
+                    on_bad: str = "fail", listing: DataFrame | None = None, one_table: bool = False) -> DataFrame:
     """Parquet rows as records. ``linenum`` is the row index inside the file.
 
     Files may differ in their columns, also in the types of columns of one name: files with the same columns are one
     scan, and a record has the fields of its own file only. ``listing`` saves listing ``files`` (or folders) again.
+    ``one_table``: ``files`` are one table, whose columns all records have (null where a file lacks one); no footer is looked at.
     """
-    groups = column_groups(spark, listing if listing is not None else list_sources(spark, files))
+    groups = [files] if one_table else column_groups(spark, listing if listing is not None else list_sources(spark, files))
     out = None
     for group in groups:
-        df = spark.read.parquet(*group)
+        df = spark.read.option("mergeSchema", one_table).parquet(*group)
         if text_key not in df.columns:
             raise KeyError(f"text field {text_key!r} not in {df.columns}")
         others = [F.col(f"`{c}`") for c in df.columns if c != text_key]
