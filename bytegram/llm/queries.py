@@ -83,34 +83,39 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _license_sql() -> str:
     rows = ", ".join("({}, '{}', '{}')".format(i, *(x.replace("'", "''") for x in t)) for i, t in enumerate(licenses.TEMPLATES))
-    hinted = " OR ".join("contains(lower({0}), '%s')" % h for h in licenses.HINTS)
-    tokens = "unnest(regexp_extract_all(lower({0}), '%s'))" % licenses.TOKEN
+    low = f"translate({{}}, '{licenses.UPPER}', '{licenses.LOWER}')"
+    tokens = "unnest(list_distinct(regexp_extract_all({0}, '%s')))" % licenses.TOKEN
     return f"""
 WITH templates(template, license, text) AS (VALUES {rows}),
-tt AS (SELECT template, license, token, count(*) AS tf
-       FROM (SELECT template, license, {tokens.format('text')} AS token FROM templates) GROUP BY ALL),
+tt AS (SELECT template, license, {tokens.format(low.format('text'))} AS token FROM templates),
 n AS (SELECT count(*)::DOUBLE AS n FROM templates),
 idf AS (SELECT token, ln((1 + any_value(n.n)) / (1 + count(*))) + 1 AS idf FROM tt, n GROUP BY token),
-tw AS (SELECT template, license, token, tf * idf AS w FROM tt JOIN idf USING (token)),
+tw AS (SELECT template, license, token, idf AS w FROM tt JOIN idf USING (token)),
 tn AS (SELECT template, sqrt(sum(w * w)) AS norm FROM tw GROUP BY template),
-files AS (SELECT doc_id, text, concat_ws('/', coalesce(source, '_'), coalesce(lang, '_'),
+files AS (SELECT doc_id, coalesce(text, '') AS text, concat_ws('/', coalesce(source, '_'), coalesce(lang, '_'),
                  CASE WHEN doc_id // 1000 > 0 THEN (doc_id // 1000)::VARCHAR END, doc_id::VARCHAR) AS path FROM documents),
 named AS (SELECT *, regexp_replace(path, '/?[^/]*$', '') AS dir FROM files),
-split AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM files WHERE {hinted.format('text')}),
-lines AS (SELECT doc_id, unnest(l) AS text, generate_subscripts(l, 1) AS line FROM split),
-lt AS (SELECT doc_id, line, token, count(*) AS tf
-       FROM (SELECT doc_id, line, {tokens.format('text')} AS token FROM lines WHERE {hinted.format('text')}) GROUP BY ALL),
-lw AS (SELECT doc_id, line, token, tf * coalesce(idf, ln(1 + n.n) + 1) AS q FROM lt LEFT JOIN idf USING (token), n),
-ln_ AS (SELECT doc_id, line, sqrt(sum(q * q)) AS norm FROM lw GROUP BY ALL),
-dots AS (SELECT doc_id, line, template, license, sum(q * w / tn.norm) AS dot
-         FROM lw JOIN tw USING (token) JOIN tn USING (template) GROUP BY ALL),
-scored AS (SELECT doc_id, line, license, round(dot / norm, 6) AS score FROM dots JOIN ln_ USING (doc_id, line)),
-own AS (SELECT doc_id, license, score FROM scored WHERE score >= 0.6
-        QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line, license) = 1),
-head AS (SELECT named.*, license, score, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS n_words
+lowered AS (SELECT doc_id, low, l, list_position(list_transform(l, lambda x: NOT regexp_matches(x, '{licenses.COMMENT}')), true) AS stop
+            FROM (SELECT doc_id, {low.format('text')} AS low, string_split({low.format('text')}, chr(10)) AS l FROM files)),
+parts AS (SELECT doc_id, [low, CASE WHEN stop > 1 THEN array_to_string(l[1:stop - 1], chr(10)) ELSE '' END]
+                 || string_split_regex(low, '{licenses.BLANK_LINES}') || l AS u FROM lowered),
+units AS (SELECT doc_id, unnest(u) AS text, generate_subscripts(u, 1) - 1 AS place FROM parts),
+ut AS (SELECT doc_id, place, {tokens.format('text')} AS token FROM units),
+uw AS (SELECT doc_id, place, token, coalesce(idf, ln(1 + n.n) + 1) AS q FROM ut LEFT JOIN idf USING (token), n),
+un AS (SELECT doc_id, place, sqrt(sum(q * q)) AS norm FROM uw GROUP BY ALL),
+dots AS (SELECT doc_id, place, template, license, sum(q * w / tn.norm) AS dot
+         FROM uw JOIN tw USING (token) JOIN tn USING (template) GROUP BY ALL),
+scored AS (SELECT doc_id, place, license, round(dot / norm, 6) AS score FROM dots JOIN un USING (doc_id, place)),
+found AS (SELECT doc_id, CASE WHEN place < 2 THEN 1 ELSE 2 END AS level, place, license, score FROM scored WHERE score >= 0.6
+          UNION ALL SELECT doc_id, 0, 1, regexp_extract(text, '{licenses.SPDX}', 1), 1.0 FROM files
+                    WHERE regexp_extract(text, '{licenses.SPDX}', 1) <> ''),
+own AS (SELECT doc_id, license, score, bool_or(place = 0) OVER (PARTITION BY doc_id) AS whole FROM found
+        QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY level, score DESC, place, license) = 1),
+head AS (SELECT named.*, license, score, whole, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS n_words
          FROM named LEFT JOIN own USING (doc_id)),
 above AS (SELECT dir AS license_dir, license AS above, score AS above_score FROM head
-          WHERE license IS NOT NULL AND n_words <= 40
+          WHERE license IS NOT NULL
+            AND (whole OR n_words <= 40 OR regexp_matches(lower(split_part(path, '/', -1)), '{licenses.LICENSE_NAME}'))
           QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, path) = 1),
 dirs AS (SELECT DISTINCT dir FROM named),
 near AS (SELECT dir, license_dir, above, above_score FROM dirs JOIN above
