@@ -9,6 +9,9 @@ from .positions import chunks, grams_multi
 
 # Query tables beyond this size are joined by a shuffle of their pieces instead of a broadcast.
 QUERY_BROADCAST_BYTES = 64 << 20
+# Words (64 bits) of the filter of query pieces at most: its broadcast is bounded whatever the query table's size.
+FILTER_WORDS = 1 << 21
+PIECES_PER_WORD = 4
 
 
 def count_literal(docs: DataFrame, q: str) -> DataFrame:
@@ -77,6 +80,63 @@ def _anchors(q: DataFrame, pieces: DataFrame) -> DataFrame:
     return q.join(best, "qid").select("qid", "qb", "n", "_a.s", "_a.o", "_a.piece")
 
 
+def _word_and_mask(value: str, words: int):
+    """Number of a value's word in a filter of ``words`` words, and its four bits there."""
+    h = F.xxhash64(value)
+    bit = [F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(h, 6 * i).bitwiseAND(F.lit(63)).cast("int"))
+           for i in range(4)]
+    return (F.pmod(F.shiftrightunsigned(h, 24), F.lit(words)).alias("_word"),
+            bit[0].bitwiseOR(bit[1]).bitwiseOR(bit[2]).bitwiseOR(bit[3]).alias("_mask"))
+
+
+def known_grams(g: DataFrame, pieces: DataFrame, words: int) -> DataFrame:
+    """Rows of ``g`` whose ``gram`` is in ``pieces``, and about one in a hundred others: a blocked Bloom filter, a block a word.
+
+    No true match is lost. The filter has at most ``words`` rows and is tested in the task that made the gram.
+    """
+    bits = pieces.select(*_word_and_mask("piece", words)).groupBy("_word").agg(F.bit_or("_mask").alias("_bits"))
+    mask = F.col("_mask")
+    return (g.select("*", *_word_and_mask("gram", words)).join(F.broadcast(bits), "_word")
+            .filter(F.col("_bits").bitwiseAND(mask) == mask).drop("_word", "_mask", "_bits"))
+
+
+def _all_pieces(q: DataFrame, seed_bytes: int) -> tuple[DataFrame, list[int]]:
+    """``seed_pieces`` of all queries with their length ``s``, and the lengths in use (at most ``seed_bytes`` many)."""
+    classes = sorted(r["s"] for r in q.select(F.least(F.col("n"), F.lit(seed_bytes)).alias("s")).distinct().collect())
+    pieces = None
+    for s in classes:
+        ps = seed_pieces(q.filter(F.least(F.col("n"), F.lit(seed_bytes)) == s), s).withColumn("s", F.lit(s))
+        pieces = ps if pieces is None else pieces.unionByName(ps)
+    return pieces, classes
+
+
+def _count_anchored(docs: DataFrame, q: DataFrame, maxn: int, seed_bytes: int) -> DataFrame:
+    """``qid, cnt`` of queries that are small enough together to be broadcast."""
+    pieces, classes = _all_pieces(q, seed_bytes)
+    pj = F.broadcast(_anchors(q, pieces))
+    # Pieces of the longest class may sit up to maxn - s bytes after an owned start.
+    g = grams_multi(chunks(docs, overlap=maxn - 1), classes, maxn - classes[-1], keep=("cb",))
+    start = F.col("p") - F.col("o")
+    j = g.join(pj, (g["s"] == pj["s"]) & (g["gram"] == pj["piece"]) & (start >= 1) & (start <= F.col("own"))
+               & (F.substring("cb", start, F.col("n")) == F.col("qb")))
+    return j.groupBy("qid").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def _count_pieces(docs: DataFrame, q: DataFrame, n_pieces: int, seed_bytes: int) -> DataFrame:
+    """``qid, cnt`` of any number of queries of any length: chunks reach one piece further, pieces meet by place in the document."""
+    pieces, classes = _all_pieces(q, seed_bytes)
+    g = grams_multi(chunks(docs, overlap=classes[-1] - 1), classes, keep=("cstart",))
+    g = known_grams(g, pieces, max(1, min(FILTER_WORDS, -(-n_pieces // PIECES_PER_WORD))))
+    j = (g.join(pieces, (g["s"] == pieces["s"]) & (g["gram"] == pieces["piece"]))
+         .withColumn("start", F.col("cstart") + F.col("p") - F.col("o")).filter(F.col("start") >= 1))
+    single = j.filter(F.col("m") == 1).groupBy("qid").agg(F.count(F.lit(1)).alias("cnt"))
+    multi = (j.filter(F.col("m") > 1)
+             .groupBy("doc_ix", "start", "qid", "m").agg(F.count(F.lit(1)).alias("_k"))
+             .filter(F.col("_k") == F.col("m"))
+             .groupBy("qid").agg(F.count(F.lit(1)).alias("cnt")))
+    return single.unionByName(multi)
+
+
 def count_batch(docs: DataFrame, queries: DataFrame, qid: str = "qid", qcol: str = "query",
                 empty_count: DataFrame | None = None, seed_bytes: int = SEED_BYTES,
                 broadcast_bytes: int = QUERY_BROADCAST_BYTES) -> DataFrame:
@@ -86,42 +146,20 @@ def count_batch(docs: DataFrame, queries: DataFrame, qid: str = "qid", qcol: str
     once into grams of the lengths in use (chunked documents, positions stay inside one task) and equi-joined
     with the query pieces. A query table whose summed size is at most ``broadcast_bytes`` is broadcast: each query
     is anchored at its piece that fewest queries share and compared as a whole with the chunk in the same task, and
-    only counts by query are shuffled. A larger table is joined by a shuffle of all pieces: the (document, start,
-    query) groups with all pieces present are the matches. Partial aggregation happens before every shuffle.
+    only counts by query are shuffled. A larger table is joined by a shuffle of pieces: grams pass a broadcast filter of
+    the pieces first, so that only candidates are shuffled; chunks reach one piece further, however long a query is;
+    the (document, start, query) groups with all pieces present are the matches. Partial aggregation happens
+    before every shuffle.
     """
     q = _query_table(queries, qid, qcol)
     st = q.agg(F.max("n").alias("maxn"), F.sum("n").alias("tot"), F.count(F.lit(1)).alias("cnt"),
                F.sum(F.when(F.col("n") == 0, 1).otherwise(0)).alias("empties")).first()
-    maxn = int(st["maxn"] or 0)
-    classes = sorted(r["s"] for r in q.filter(F.col("n") > 0)
-                     .select(F.least(F.col("n"), F.lit(seed_bytes)).alias("s")).distinct().collect())
-    counts = []
-    if classes:
-        ch = chunks(docs, overlap=max(0, maxn - 1))
-        pieces = None
-        for s in classes:
-            ps = seed_pieces(q.filter(F.least(F.col("n"), F.lit(seed_bytes)) == s), s).withColumn("s", F.lit(s))
-            pieces = ps if pieces is None else pieces.unionByName(ps)
-        # Pieces of the longest class may sit up to maxn - s bytes after an owned start.
-        extra = max(0, maxn - classes[-1])
-        start = F.col("p") - F.col("o")
-        if int(st["tot"]) + 96 * int(st["cnt"]) <= broadcast_bytes:
-            pj = F.broadcast(_anchors(q, pieces))
-            g = grams_multi(ch, classes, extra, keep=("cb",))
-            j = g.join(pj, (g["s"] == pj["s"]) & (g["gram"] == pj["piece"]) & (start >= 1) & (start <= F.col("own"))
-                       & (F.substring("cb", start, F.col("n")) == F.col("qb")))
-            counts.append(j.groupBy("qid").agg(F.count(F.lit(1)).alias("cnt")))
-        else:
-            g = grams_multi(ch, classes, extra)
-            j = (g.join(pieces, (g["s"] == pieces["s"]) & (g["gram"] == pieces["piece"]))
-                 .withColumn("start", start)
-                 .filter((F.col("start") >= 1) & (F.col("start") <= F.col("own"))))
-            single = j.filter(F.col("m") == 1).groupBy("qid").agg(F.count(F.lit(1)).alias("cnt"))
-            multi = (j.filter(F.col("m") > 1)
-                     .groupBy("doc_ix", "c", "start", "qid", "m").agg(F.count(F.lit(1)).alias("_k"))
-                     .filter(F.col("_k") == F.col("m"))
-                     .groupBy("qid").agg(F.count(F.lit(1)).alias("cnt")))
-            counts += [single, multi]
+    maxn, total_bytes, n_queries = (int(st[k] or 0) for k in ("maxn", "tot", "cnt"))
+    some, counts = q.filter(F.col("n") > 0), []
+    if maxn and total_bytes + 96 * n_queries <= broadcast_bytes:
+        counts.append(_count_anchored(docs, some, maxn, seed_bytes))
+    elif maxn:
+        counts.append(_count_pieces(docs, some, total_bytes // seed_bytes + 2 * n_queries, seed_bytes))
     out = q.select("qid", "query", "n")
     if counts:
         allc = counts[0]

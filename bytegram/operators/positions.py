@@ -59,7 +59,7 @@ def grams_multi(ch: DataFrame, lengths: list[int], extra: int = 0, keep: tuple[s
     smin = lengths[0]
     last = F.least(F.octet_length("cb") - smin + 1, F.col("own") + extra)
     pos = (ch.filter(last >= 1)
-           .select("doc_ix", "c", "own", "cb", F.explode(F.sequence(F.lit(1), last)).alias("p")))
+           .select("doc_ix", "c", "own", "cb", *[k for k in keep if k != "cb"], F.explode(F.sequence(F.lit(1), last)).alias("p")))
     if len(lengths) == 1:
         return pos.select("doc_ix", "c", "own", "p", *keep, F.lit(smin).alias("s"),
                           F.substring("cb", F.col("p"), F.lit(smin)).alias("gram"))

@@ -1,4 +1,6 @@
 """The corpus table is pruned Parquet; batch counts agree on both plans; spans belong to hits."""
+import random
+
 from pyspark.sql import functions as F
 
 from bytegram.operators import count as CT
@@ -43,6 +45,26 @@ def test_count_batch_by_broadcast_and_by_shuffle(spark):
         assert {r["qid"]: r["count"] for r in got.collect()} == want
 
 
+def test_count_batch_by_pieces_across_chunks(spark):
+    long = "".join(random.Random(3).choices("abcé ", k=70_000))
+    cut = len(long.encode()[:65_536].decode(errors="ignore"))
+    texts = [long, "x" + long, "ab" * 40, long[cut - 150:cut + 150], ""]
+    queries = [long[cut - 100:cut + 100], long[cut - 40:cut + 3], long[:1000], "ab" * 20, "é a", long[cut - 9:cut + 9] + "z", long[-20:]]
+    c = Corpus.from_shards(spark, [texts[:2], texts[2:]])
+    q = spark.createDataFrame([*enumerate(queries)], "qid long, query string")
+    want = {i: sum(brute.overlap_count(t, s) for t in texts) for i, s in enumerate(queries)}
+    got = CT.count_batch(c.texts, q, broadcast_bytes=0)
+    assert {r["qid"]: r["count"] for r in got.collect()} == want and want[0] == 3
+
+
+def test_filter_of_query_pieces_keeps_every_match_and_few_others(spark):
+    grams = spark.range(200_000).select(F.col("id").cast("string").cast("binary").alias("gram"), "id")
+    pieces = spark.range(0, 200_000, 50).select(F.col("id").cast("string").cast("binary").alias("piece"))
+    kept = {r["id"] for r in CT.known_grams(grams, pieces, 1000).collect()}
+    assert kept >= set(range(0, 200_000, 50)) and len(kept) < 4000 + 4000
+    assert CT.known_grams(grams, pieces.limit(0), 1).count() == 0
+
+
 def test_spans_of_any_needle(spark):
     rows = [("a.b a.b c", "a.b"), ("plain", ""), ("x\\Ey\\E", "\\E"), ("éé", "é"), (None, "q"), ("none", "q"), ("", "q")]
     df = spark.createDataFrame(rows, "text string, needle string")
