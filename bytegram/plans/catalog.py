@@ -100,7 +100,7 @@ class Catalog:
         corpus = Corpus.open(self.spark, entry["paths"], entry["get_metadata"])
         if entry["keep"]:
             corpus.layout.persist(StorageLevel.MEMORY_AND_DISK)
-        return corpus, OD.open_ordered(self.spark, entry["index"]) if entry["index"] else None
+        return corpus, OD.open_ordered(self.spark, entry["index"], layout=corpus.layout) if entry["index"] else None
 
     def open(self, name: str) -> Corpus:
         return self._open(self._entry(name))[0]
