@@ -47,6 +47,12 @@ def released(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def sorted_join(df: DataFrame) -> DataFrame:
+    """``df`` for a join that sorts both sides, and never broadcasts one. Spark sizes a written table by its packed files, and what is
+    exploded as if it were not, so that it may take for small what does not fit the driver."""
+    return df.hint("merge")
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete the files of tables made by ``written`` that nothing reads any more."""
     for df in tables:

@@ -4,12 +4,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytegram.llm.common import dropped, written
+from bytegram.llm.common import dropped, sorted_join, written
 
 
 def _lowest(edges: DataFrame) -> DataFrame:
     """``a, b, low``: each row of ``edges`` with the smallest ``b`` of its ``a`` (summed up before the shuffle)."""
-    return edges.join(edges.groupBy("a").agg(F.min("b").alias("low")), "a")
+    return edges.join(sorted_join(edges.groupBy("a").agg(F.min("b").alias("low"))), "a")
 
 
 def components(links: DataFrame) -> DataFrame:

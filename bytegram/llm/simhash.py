@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bytegram.llm.common import written
+from bytegram.llm.common import sorted_join, written
 from bytegram.llm.components import components
 
 #: First bit and length of the three segments.
@@ -87,7 +87,8 @@ def links(distinct: DataFrame, max_bits: int = 4) -> DataFrame:
             ((part == 0) & (bit == first)) | (part == F.expr(f"shiftleft(1L, a.bit - {first})")))
         accepted = accepted | (earlier & here)
         earlier = earlier & (F.bit_count(part) >= 2)
-    found = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp"))
+    # 64 keys for each fingerprint: Spark sizes them as if they were one, and would broadcast them
+    found = a.join(sorted_join(b), (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp"))
                    & (F.bit_count(x) <= max_bits) & accepted)
     return found.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
@@ -103,11 +104,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> Dat
     distinct = written(prints.groupBy("fp").agg(first), "simhash")
     joined = components(links(distinct, max_bits))
     group = F.coalesce("component", "fp")
-    named = written(distinct.join(joined, distinct["fp"] == joined["node"], "left")
+    named = written(distinct.join(sorted_join(joined), distinct["fp"] == joined["node"], "left")
                     .select("fp", group.alias("component"), "first"), "simhash")
     firsts = named.groupBy("component").agg(F.min("first").alias("lead"))
-    named = named.join(firsts, "component").select("fp", "lead")
-    return prints.join(named, "fp").select(
+    named = named.join(sorted_join(firsts), "component").select("fp", "lead")
+    return prints.join(sorted_join(named), "fp").select(
         "doc_id", "text_hash", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.col("lead.doc_id").alias("component_id"),
         (F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("text_hash") == F.col("lead.text_hash"))).alias("kept"))
