@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytegram.llm.common import dropped, released, shared, written
+from bytegram.llm.common import dropped, released, shared, sorted_join, written
 
 GRAM = 64
 #: Windows that are looked at together; longer texts are taken in pieces.
@@ -212,7 +212,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, batches: int = 4, with_te
         released(spark)
     # written, so that both sides of the join are dealt out plainly and a hot name can be split
     names = written(family.repeated().distinct(), "names")
-    some = written(found.join(names, "name", "left_semi").drop("batch"), "candidates")
+    some = written(found.join(sorted_join(names), "name", "left_semi").drop("batch"), "candidates")
     family.drop()
     dropped(names)
     dropped(found)
@@ -223,7 +223,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, batches: int = 4, with_te
     # written, so that the joins on a name with very many classes can be split
     mixed = written(classes.groupBy("name").agg(F.count("*").alias("k")).filter("k > 1").select("name"), "mixed")
     split = classes.join(mixed, "name", "left_semi")  # one entry of each class, where classes of a name differ
-    whole = some.join(classes.filter("n > 1").select("name", "cls"), ["name", "cls"], "left_semi")
+    whole = some.join(sorted_join(classes.filter("n > 1").select("name", "cls")), ["name", "cls"], "left_semi")
     # per text: repeated runs of windows, and runs that have to be looked into
     low, span = F.shiftright("place", _SPAN), F.col("place").bitwiseAND(F.lit((1 << _SPAN) - 1))
     runs = whole.select("id", "hash", F.struct(low.alias("low"), span.alias("span"), F.lit(None).cast("long").alias("name"),
@@ -247,7 +247,7 @@ def _shared(texts: DataFrame) -> DataFrame:
     """``id, hash, run`` of the found strings that two classes of a name share."""
     found = texts.filter("text IS NOT NULL").select("id", "hash", F.explode("found").alias("x")).select("id", "hash", "x.*")
     twice = found.groupBy("name", "w").agg(F.count("*").alias("n")).filter("n > 1").select("name", "w")
-    return found.join(twice, ["name", "w"], "left_semi").select(
+    return found.join(sorted_join(twice), ["name", "w"], "left_semi").select(
         "id", "hash", F.struct("low", "span", "name", "alone").alias("run"))
 
 

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bytegram.llm import components, simhash
+from bytegram.llm import components, simhash, suffix_dedup
 from bytegram.llm.common import written
 
 
@@ -29,3 +29,12 @@ def test_fingerprinted_rows_meet_their_groups_without_a_broadcast(spark):
     docs = spark.createDataFrame([(i, f"some words of text {i % 3}") for i in range(30)] + [(None, None)], "doc_id long, text string")
     out = simhash.near_duplicates(docs)
     assert "Broadcast" not in _plan(out) and out.count() == 31
+
+
+def test_shared_strings_are_not_broadcast(spark):
+    shape = "id long, hash long, text binary, found " + suffix_dedup._FOUND
+    run = {"name": 1, "w": 5, "low": 0, "span": 3, "alone": False}
+    texts = written(spark.createDataFrame([(1, 1, b"x", [run]), (2, 2, b"x", [run, run | {"w": 6}]), (3, 3, None, None)], shape), "texts")
+    out = suffix_dedup._shared(texts)
+    assert "Broadcast" not in _plan(out)
+    assert sorted(r["id"] for r in out.collect()) == [1, 2]
